@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.mixing import mix_to_targets
+from quern.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +29,19 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)
 """
+
+
+def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_entropy_mixing"] = op8_entropy_mixing
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op5_vector_packing"] = op5_vector_packing
