@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quern.llm import langid, quality_classifier
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.mixing import mix_to_targets
 from quern.llm.packing import pack_documents
+from quern.llm.pii import BASE, find_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +48,38 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_vector_packing"] = op5_vector_packing
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("max_score"))
+
+
+QUERIES["op7_pii"] = op7_pii
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.remainder("doc_id", 5) == 0
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op10_langid"] = op10_langid
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.remainder("doc_id", 4) == 2
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels").where(~held))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES["op3_quality"] = op3_quality
