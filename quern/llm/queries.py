@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, quality_classifier
+from quern.llm import langid, quality_classifier, quality_rules
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.mixing import mix_to_targets
 from quern.llm.packing import pack_documents
@@ -83,3 +83,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_quality"] = op3_quality
+
+
+def op9_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_perplexity_rules"] = op9_perplexity_rules
