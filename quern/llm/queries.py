@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, quality_classifier, quality_rules
+from quern.llm import langid, quality_classifier, quality_rules, warc
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.mixing import mix_to_targets
 from quern.llm.packing import pack_documents
@@ -56,9 +56,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("max_score"))
+    def of(*kinds):
+        return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*BASE)), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("max_score"))
 
 
 QUERIES["op7_pii"] = op7_pii
@@ -90,3 +92,11 @@ def op9_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_perplexity_rules"] = op9_perplexity_rules
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
+QUERIES["op1_warc"] = op1_warc
