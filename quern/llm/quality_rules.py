@@ -8,7 +8,8 @@ fits, so the sorted key arrays that tasks hold have a proven bound.  Lower order
 continuation counts, each order its own three discounts from its counts of counts.
 
 A document's perplexity is compared with its language's band: WIDTH times the quartile
-distance of the language's documents below the first and above the third quartile.
+distance of the language's documents below the first and above the third quartile, and
+somewhat wider for short texts, whose perplexity varies more.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language
 is a language of its own; languages beyond MAX_LANGUAGES (by size, then name) share one model
@@ -30,7 +31,9 @@ from quern.llm.scratch import stage
 
 SYMBOLS, SHIFT = 64, 6
 ORDER, MAX_ENTRIES, MAX_LANGUAGES = 4, 4_000_000, 63
-WIDTH = 3.0
+WIDTH = 4.0
+#: A text of this many characters gets a band wider by the square root of two; longer ones less.
+SHORT = 1000.0
 #: Base rules: fewer words fail, and so does a larger share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT, WINDOW = 50, 50, 3
 SLICE = 1 << 19  # characters worked on at once
@@ -268,8 +271,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     low, high = F.col("q")[0], F.col("q")[1]
     # at least a tenth of a nat, so that a language of near copies does not reject the rest
     reach = F.greatest(F.lit(0.1), width * (high - low))
-    bands = bands.select("_lang", (low - reach).alias("low"), (high + reach).alias("high"))
+    bands = bands.select("_lang", low.alias("q1"), high.alias("q3"), reach.alias("reach"))
     out = rows.join(F.broadcast(bands), "_lang", "left")  # a row a language, MAX_LANGUAGES + 1 at most
+    reach = F.col("reach") * F.sqrt(1.0 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
+    out = out.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
