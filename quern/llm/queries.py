@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm import langid, quality_classifier, quality_rules, warc
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.mixing import mix_to_targets
+from quern.llm.near_dedup import near_dedup
 from quern.llm.packing import pack_documents
 from quern.llm.pii import BASE, find_pii
 
@@ -100,3 +101,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_warc"] = op1_warc
+
+
+def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), words=4, threshold=80)
+
+
+QUERIES["op6_circulant_minhash"] = op6_circulant_minhash
