@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, quality_classifier, quality_rules, warc
+from quern.llm import katz, langid, quality_classifier, quality_rules, warc
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.mixing import mix_to_targets
 from quern.llm.near_dedup import near_dedup
@@ -108,3 +108,13 @@ def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_circulant_minhash"] = op6_circulant_minhash
+
+
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.remainder("doc_id", 7) == 2
+    model = katz.fit(docs.where(~held))
+    return katz.score(model, docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES["op2_katz_backoff"] = op2_katz_backoff
