@@ -14,15 +14,16 @@ that repeat are judged one by one; without any labelled document everything is `
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCS_PER_LANGUAGE = 3000
 #: Bounds of the model: entries of each kind a language, shared out when there are many languages.
@@ -34,11 +35,15 @@ FLOOR = 0.1
 EVIDENCE = 12.0
 CACHE = 200_000
 
-_WORD = regex.compile(r"\p{L}+")
+#: Runs of letters, nearly: this takes in the few numerals that are neither digits nor letters.
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    runs = _RUN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [letters for w in runs if (letters := "".join(filter(str.isalpha, w)))]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -63,20 +68,20 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_l
 
 
 class LanguageModel:
-    """languages, and for each n (0: words) a table from gram to log frequencies."""
+    """languages; for each n (0: words) a table from gram to row; rows of log frequencies."""
 
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
-        self.languages, self.tables = languages, tables
+    def __init__(self, languages: list[str], tables: list[dict[str, int]], rows: np.ndarray):
+        self.languages, self.tables, self.rows = languages, tables, rows
 
     def score(self, word: str) -> np.ndarray:
         got = self.tables[0].get(word)
         if got is not None:
-            return got
+            return self.rows[got]
         for n in range(MAX_N, 0, -1):
-            table = self.tables[n]
-            known = [v for g in grams_of(word, n) if (v := table.get(g)) is not None]
+            find = self.tables[n].get
+            known = [k for g in grams_of(word, n) if (k := find(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.rows.take(known, 0).sum(0) / len(known)
         return np.zeros(len(self.languages), np.float32)
 
 
@@ -117,16 +122,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         totals[r["n"], place[r["lang"]]] = r["total"]
         row = seen[r["n"]].setdefault(r["gram"], np.zeros(len(languages), np.float32))
         row[place[r["lang"]]] = r["c"]
+    tables: list[dict[str, int]] = []
+    rows = np.zeros((sum(map(len, seen)), len(languages)), np.float32)
+    at = 0
     for n, table in enumerate(seen):
-        for g, row in table.items():
-            table[g] = (np.log(np.maximum(row, FLOOR)) - np.log(totals[n])).astype(np.float32)
-    return LanguageModel(languages, seen)
+        tables.append({g: at + k for k, g in enumerate(table)})
+        for row in table.values():
+            rows[at] = np.log(np.maximum(row, FLOOR)) - np.log(totals[n])
+            at += 1
+    return LanguageModel(languages, tables, rows)
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every row; the extra columns of ``df`` are kept out."""
+def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, lang_pred, score of every row, with the columns in ``keep`` besides."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_ENTRIES
-    source = df.select(df[id_col], df[text_col])
+    source = df.select(df[id_col], df[text_col], *(df[c].alias(f"_keep_{c}") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -161,7 +171,8 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
                     best = int(np.argmax(odds))
                     preds.append(m.languages[best])
                     scores.append(float(odds[best] / odds.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+                extra = [part.column(i + 2) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *extra], [id_col, "lang_pred", "score", *(f"_keep_{c}" for c in keep)])
 
-    kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    schema = T.StructType([source.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *source.schema.fields[2:]])
+    return source.mapInArrow(run, schema)
