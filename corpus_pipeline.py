@@ -27,8 +27,9 @@ def _kept(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(langid.remainder("doc_id", 5) != 0))
-    found = langid.identify(docs, model)
-    return _kept(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)))
+    found = langid.identify(docs, model, keep=tuple(COLUMNS))
+    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return sure.select(*(F.col(f"_keep_{c}").alias(c) for c in COLUMNS))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,365 @@
+"""Declarative layer graphs: description, shapes, inference and training over DataFrames.
+
+A description is a list of layers; each takes the one before it, or the layers named in
+``parents``.  Inference runs in Arrow batches with the parameters as one broadcast vector;
+networks of linear and element-wise layers can also be turned into column expressions, which
+stay inside the JVM.  Training evaluates the gradient of a step's batches in parallel, sums
+it through a tree, and lets the driver take the optimiser's step.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quern.functions import arrays as A
+from quern.plans import kernels as K
+
+
+@dataclass
+class Layer:
+    type: str
+    id: str = ""
+    parents: list[str] = field(default_factory=list)
+    options: dict = field(default_factory=dict)
+
+
+def _layer(kind: str, *names: str, **defaults):
+    def make(*args, id: str = "", parents: list[str] | None = None, **options) -> Layer:
+        return Layer(kind, id, list(parents or []), {**defaults, **dict(zip(names, args)), **options})
+
+    return make
+
+
+input_ = _layer("input", "width", "height", "channels", height=1, channels=1)
+linear = _layer("linear", "size")
+softmax = _layer("softmax", channels=1)
+relu, swish, selu, logistic, tanh = (_layer(k) for k in ("relu", "swish", "selu", "logistic", "tanh"))
+prelu = _layer("prelu", scale=0.25)
+dropout = _layer("dropout", "keep")
+multiplicative_dropout = _layer("multiplicative_dropout", "variance")
+convolutional = _layer("convolutional", "kernel", "pad", "stride", "kernels", pad=0, stride=1)
+max_pooling = _layer("pooling", "kernel", "pad", "stride", pad=0, stride=1, op="max")
+batch_normalization = _layer("batch_normalization", ave_factor=0.9, epsilon=1e-4)
+local_response_normalization = _layer("lrn", n=5, k=2.0, alpha=1e-4, beta=0.75)
+concatenate, split = _layer("concatenate"), _layer("split")
+join = _layer("join", "operation", operation="+")
+
+
+def linear_then(kind: str):
+    """A linear layer followed by an activation, whose id the pair bears."""
+
+    def make(size: int, id: str = "") -> list[Layer]:
+        return [linear(size), Layer(kind, id, [], {"channels": 1} if kind == "softmax" else {})]
+
+    return make
+
+
+linear_softmax, linear_relu, linear_swish, linear_selu, linear_tanh, linear_logistic = (linear_then(k) for k in ("softmax", "relu", "swish", "selu", "tanh", "logistic"))
+
+_PASS_TRAIN_ONLY = {"dropout", "multiplicative_dropout", "split"}
+_ELEMENTWISE = set(A.ACTIVATIONS)
+
+
+@dataclass
+class Network:
+    layers: list[Layer]
+    shapes: dict[str, tuple[int, int, int]]  # channels, height, width
+    parameters: dict[str, np.ndarray]
+    losses: dict[str, str]
+    frozen: set[str] = field(default_factory=set)
+    state: dict[str, np.ndarray] = field(default_factory=dict)
+
+    # -- building -----------------------------------------------------------------------------
+
+    @staticmethod
+    def build(description: list, seed: int = 0) -> Network:
+        flat: list[Layer] = []
+        for x in description:
+            flat += x if isinstance(x, list) else [x]
+        layers, counts, last = [], {}, None
+        for x in flat:
+            n = counts[x.type] = counts.get(x.type, 0) + 1
+            name = x.id or f"{x.type}-{n}"
+            if any(y.id == name for y in layers):
+                raise ValueError(f"two layers are named {name}")
+            parents = list(x.parents) or ([last] if last and x.type != "input" else [])
+            for p in parents:
+                if all(y.id != p for y in layers):
+                    raise ValueError(f"{name} comes before its parent {p}")
+            layers.append(Layer(x.type, name, parents, dict(x.options)))
+            last = name
+        net = Network(layers, {}, {}, {})
+        rng = np.random.RandomState(seed)
+        for x in layers:
+            net._shape(x, rng)
+        for leaf in net.leaves():
+            net.losses[leaf] = "softmax" if net.layer(leaf).type == "softmax" else "mse"
+        return net
+
+    def layer(self, name: str) -> Layer:
+        return next(x for x in self.layers if x.id == name)
+
+    def leaves(self) -> list[str]:
+        used = {p for x in self.layers for p in x.parents}
+        return [x.id for x in self.layers if x.id not in used]
+
+    def roots(self) -> list[str]:
+        return [x.id for x in self.layers if not x.parents]
+
+    def width(self, name: str) -> int:
+        return int(np.prod(self.shapes[name]))
+
+    def _shape(self, x: Layer, rng) -> None:
+        o = x.options
+        if x.type == "input":
+            self.shapes[x.id] = (o["channels"], o["height"], o["width"])
+            return
+        ins = [self.shapes[p] for p in x.parents]
+        c, h, w = ins[0]
+        n_in = int(np.prod(ins[0]))
+        if x.type == "linear":
+            n = o["size"]
+            self.shapes[x.id] = (1, 1, n)
+            self.parameters[f"{x.id}.weights"] = initial(self._kind_of(x), (n, n_in), rng)
+            self.parameters[f"{x.id}.bias"] = np.zeros(n)
+        elif x.type == "convolutional":
+            k, p, s = o["kernel"], o["pad"], o["stride"]
+            self.shapes[x.id] = (o["kernels"], K.out_size(h, k, p, s), K.out_size(w, k, p, s))
+            self.parameters[f"{x.id}.weights"] = initial(self._kind_of(x), (o["kernels"], c * k * k), rng)
+            self.parameters[f"{x.id}.bias"] = np.zeros(o["kernels"])
+        elif x.type == "pooling":
+            k, p, s = o["kernel"], o["pad"], o["stride"]
+            self.shapes[x.id] = (c, K.out_size(h, k, p, s, ceil=True), K.out_size(w, k, p, s, ceil=True))
+        elif x.type == "concatenate":
+            self.shapes[x.id] = (1, 1, sum(int(np.prod(i)) for i in ins))
+        elif x.type == "join":
+            widest = max(ins, key=lambda i: int(np.prod(i)))
+            self.shapes[x.id] = widest
+        else:
+            self.shapes[x.id] = ins[0]
+        if x.type == "batch_normalization":
+            if o["epsilon"] < 1e-5:
+                raise ValueError("epsilon must be 1e-5 or more")
+            self.parameters[f"{x.id}.scale"], self.parameters[f"{x.id}.bias"] = np.ones(n_in), np.zeros(n_in)
+            self.state[f"{x.id}.mean"], self.state[f"{x.id}.variance"] = np.zeros(n_in), np.ones(n_in)
+            self.state[f"{x.id}.seen"] = np.zeros(1)
+        if x.type == "prelu":
+            self.parameters[f"{x.id}.scale"] = np.full(n_in if (h == 1 and w == 1) else c, float(o["scale"]))
+
+    def _kind_of(self, x: Layer) -> str:
+        at = self.layers.index(x)
+        after = self.layers[at + 1].type if at + 1 < len(self.layers) else ""
+        return "relu" if after in ("relu", "swish") else "xavier"
+
+    # -- parameters as one vector ---------------------------------------------------------------
+
+    def names(self) -> list[str]:
+        return [k for k in self.parameters if k.split(".")[0] not in self.frozen]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.parameters[k].ravel() for k in self.names()] or [np.zeros(0)])
+
+    def assign(self, x: np.ndarray) -> None:
+        at = 0
+        for k in self.names():
+            n = self.parameters[k].size
+            self.parameters[k] = x[at : at + n].reshape(self.parameters[k].shape).copy()
+            at += n
+
+    # -- one batch -------------------------------------------------------------------------------
+
+    def forward(self, inputs: dict[str, np.ndarray], training: bool = False, seed: int = 0) -> tuple[dict, dict]:
+        """Outputs of every layer (rows x width), and what the backward pass needs."""
+        out, kept = {}, {}
+        rng = np.random.RandomState(seed)
+        for x in self.layers:
+            if x.type == "input":
+                out[x.id] = np.asarray(inputs[x.id], float)
+                continue
+            ins = [out[p] for p in x.parents]
+            if not training and x.type in _PASS_TRAIN_ONLY:
+                out[x.id] = ins[0]
+                continue
+            out[x.id], kept[x.id] = K.forward(self, x, ins, training, rng)
+        return out, kept
+
+    def backward(self, out: dict, kept: dict, grads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Gradients of the parameters from those of the leaves; frozen layers get none."""
+        grads = dict(grads)
+        result = {k: np.zeros_like(v) for k, v in self.parameters.items()}
+        for x in reversed(self.layers):
+            if x.type == "input" or x.id not in grads:
+                continue
+            back, own = K.backward(self, x, [out[p] for p in x.parents], out[x.id], kept.get(x.id), grads[x.id])
+            for k, g in own.items():
+                result[f"{x.id}.{k}"] += g
+            for p, g in zip(x.parents, back):
+                grads[p] = grads[p] + g if p in grads else g
+        return result
+
+    def loss(self, out: dict, labels: dict[str, np.ndarray]) -> tuple[float, dict]:
+        """Sum over rows of all leaves' losses, and the leaves' gradients a row."""
+        value, grads = 0.0, {}
+        for leaf, kind in self.losses.items():
+            v, g = K.LOSSES[kind](out[leaf], np.asarray(labels[leaf], float))
+            value += float(v.sum())
+            grads[leaf] = g
+        return value, grads
+
+    # -- DataFrames ------------------------------------------------------------------------------
+
+    def project(self, df: DataFrame, input_col: str, output: str = "output") -> DataFrame:
+        """Adds the (last) leaf's output by column expressions alone: linear and element-wise
+        layers, softmax, joins.  A layer is a projection of its own, which the optimiser merges
+        only where that repeats no work."""
+        col = {x.id: F.col(f"_layer_{x.id}") for x in self.layers}
+        kept = list(df.columns)
+        for x in self.layers:
+            ins = [col[p] for p in x.parents]
+            if x.type == "input":
+                made = A.doubles(F.col(input_col))
+            elif x.type in _PASS_TRAIN_ONLY:
+                made = ins[0]
+            elif x.type == "linear":
+                made = A.linear(self.parameters[f"{x.id}.weights"].tolist(), self.parameters[f"{x.id}.bias"].tolist(), ins[0])
+            elif x.type in _ELEMENTWISE:
+                made = A.activate(x.type, ins[0])
+            elif x.type == "softmax" and x.options.get("channels", 1) == 1:
+                made = A.softmax(ins[0])
+            elif x.type == "concatenate":
+                made = F.concat(*ins)
+            elif x.type == "join" and len(ins) == 2:
+                made = A.join_vectors(x.options["operation"], *ins)
+            else:
+                raise ValueError(f"{x.type} has no column form")
+            df = df.withColumn(f"_layer_{x.id}", made)
+        return df.select(*kept, col[self.leaves()[-1]].alias(output))
+
+    def transform(self, df: DataFrame, inputs: dict[str, str], prefix: str = "") -> DataFrame:
+        """Adds an ARRAY<DOUBLE> column for each leaf, named prefix + leaf."""
+        leaves = self.leaves()
+        shared = df.sparkSession.sparkContext.broadcast(self)
+        pick = F.struct(*(A.doubles(F.col(c)).alias(k) for k, c in inputs.items()))
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            net = shared.value
+            data = {k: np.stack([np.asarray(v, float) for v in rows[k]]) for k in inputs} if len(rows) else {k: np.zeros((0, net.width(k))) for k in inputs}
+            out, _ = net.forward(data)
+            return pd.DataFrame({k: list(out[k]) for k in leaves})
+
+        schema = "struct<" + ", ".join(f"`{k}`: array<double>" for k in leaves) + ">"
+        run.__annotations__ = {"rows": pd.DataFrame, "return": pd.DataFrame}
+        got = df.withColumn("_out", F.pandas_udf(run, schema)(pick))
+        return got.select(*df.columns, *(F.col("_out").getField(k).alias(prefix + k) for k in leaves))
+
+    def step_gradient(self, df: DataFrame, inputs: dict[str, str], labels: dict[str, str], batch: str, seed: int) -> tuple[np.ndarray, float, int]:
+        """Summed gradient, loss and number of rows of the batches of ``df``.  A task works on
+        one batch; sums of about sqrt(batches) tasks meet before the driver adds them."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            net = shared.value
+            data = {k: np.stack([np.asarray(v, float) for v in pdf[c]]) for k, c in inputs.items()}
+            truth = {k: np.stack([np.asarray(v, float) for v in pdf[c]]) for k, c in labels.items()}
+            out, kept = net.forward(data, True, seed + int(pdf[batch].iloc[0]))
+            value, grads = net.loss(out, truth)
+            g = net.backward(out, kept, grads)
+            flat = np.concatenate([g[k].ravel() for k in net.names()])
+            stats = {k: np.stack([v["mean"], v["variance"]]).tobytes() for k, v in kept.items() if isinstance(v, dict) and "mean" in v}
+            return pd.DataFrame({"lane": [int(pdf[batch].iloc[0]) % 16], "g": [flat.tobytes()], "loss": [value], "rows": [len(pdf)], "stats": [json.dumps({k: v.hex() for k, v in stats.items()})]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            g = np.sum([np.frombuffer(x) for x in pdf["g"]], axis=0)
+            return pd.DataFrame({"lane": [pdf["lane"].iloc[0]], "g": [g.tobytes()], "loss": [pdf["loss"].sum()], "rows": [pdf["rows"].sum()], "stats": [pdf["stats"].iloc[-1]]})
+
+        schema = "lane int, g binary, loss double, rows long, stats string"
+        parts = df.groupBy(batch).applyInPandas(one, schema).groupBy("lane").applyInPandas(add, schema).collect()  # 16 rows
+        if not parts:
+            return np.zeros(len(self.flat())), 0.0, 0
+        for k, v in json.loads(parts[-1]["stats"]).items():
+            mean, var = np.frombuffer(bytes.fromhex(v)).reshape(2, -1)
+            f = self.layer(k).options["ave_factor"] if self.state[f"{k}.seen"][0] else 0.0
+            self.state[f"{k}.mean"] = f * self.state[f"{k}.mean"] + (1 - f) * mean
+            self.state[f"{k}.variance"] = f * self.state[f"{k}.variance"] + (1 - f) * var
+            self.state[f"{k}.seen"] = np.ones(1)
+        return sum(np.frombuffer(p["g"]) for p in parts), float(sum(p["loss"] for p in parts)), int(sum(p["rows"] for p in parts))
+
+    def train(self, batches: DataFrame, inputs: dict[str, str], labels: dict[str, str], optimizer, batch: str = "batch_id", step: int = 1, seed: int = 0) -> float:
+        """One epoch: ``step`` batches at a time give one optimiser step.  Mean loss a row."""
+        n = (batches.agg(F.max(batch)).first()[0] or 0) + 1
+        total, rows = 0.0, 0
+        for k in range(0, n, step):
+            g, value, count = self.step_gradient(batches.where((F.col(batch) >= k) & (F.col(batch) < k + step)), inputs, labels, batch, seed + k)
+            if count:
+                self.assign(optimizer.step(self.flat(), g / count))
+                total, rows = total + value, rows + count
+        return total / max(1, rows)
+
+    def evaluate(self, df: DataFrame, inputs: dict[str, str], labels: dict[str, str]) -> DataFrame:
+        """leaf, loss, value: the mean loss of every leaf."""
+        out = self.transform(df, inputs, "_p_")
+        forms = {"mse": A.mse_loss, "softmax": A.softmax_loss, "censor": A.censor_loss}
+        aggs = [F.avg(forms[kind](F.col(f"`_p_{leaf}`"), A.doubles(F.col(labels[leaf])))).alias(leaf) for leaf, kind in self.losses.items()]
+        rows = F.array(*(F.struct(F.lit(k).alias("leaf"), F.lit(v).alias("loss"), F.col(f"`{k}`").alias("value")) for k, v in self.losses.items()))
+        return out.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+
+    # -- description ---------------------------------------------------------------------------
+
+    def without(self, first_removed: str) -> Network:
+        """A network without this layer and all that depend on it, parameters kept."""
+        gone = {first_removed}
+        for x in self.layers:
+            if gone & set(x.parents):
+                gone.add(x.id)
+        return self._like([x for x in self.layers if x.id not in gone])
+
+    def append(self, more: list) -> Network:
+        if len(self.leaves()) != 1:
+            raise ValueError("only a network with one leaf can grow")
+        return self._like([*self.layers, *more])
+
+    def _like(self, layers: list) -> Network:
+        net = Network.build(layers)
+        net.parameters.update({k: v for k, v in self.parameters.items() if k in net.parameters and net.parameters[k].shape == v.shape})
+        net.state.update({k: v for k, v in self.state.items() if k in net.state})
+        net.frozen = {k for k in self.frozen if any(x.id == k for x in net.layers)}
+        return net
+
+    def summary(self) -> list[tuple]:
+        return [(x.id, x.type, self.shapes[x.id], sum(v.size for k, v in self.parameters.items() if k.split(".")[0] == x.id)) for x in self.layers]
+
+    def to_json(self) -> str:
+        return json.dumps({"layers": [x.__dict__ for x in self.layers], "losses": self.losses, "frozen": sorted(self.frozen)})
+
+
+def initial(kind: str, shape: tuple[int, int], rng) -> np.ndarray:
+    """Weights with exact mean 0 and the variance of the named rule."""
+    out, n = shape
+    variance = {"xavier": 1.0 / n, "relu": 2.0 / n, "bengio-glorot": 2.0 / (n + out)}
+    if kind == "orthogonal":
+        q, _ = np.linalg.qr(rng.normal(size=(max(shape), min(shape))))
+        return np.sqrt(2.0) * (q if q.shape == shape else q.T)
+    w = rng.normal(size=shape)
+    w = w - w.mean()
+    spread = w.std()
+    return w * np.sqrt(variance[kind]) / (spread if spread > 0 else 1.0)
+
+
+def epochs(net: Network, batches: DataFrame, inputs, labels, optimizer, count: int, test=None) -> Iterator[tuple[int, float, float | None]]:
+    """(epoch, training loss, test value); the parameters of the best test value are kept."""
+    best, held = None, None
+    for k in range(count):
+        loss = net.train(batches, inputs, labels, optimizer, seed=k * 1_000_003)
+        value = test(net) if test else None
+        if value is not None and (best is None or value < best):
+            best, held = value, net.flat().copy()
+        yield k, loss, value
+    if held is not None:
+        net.assign(held)
