@@ -37,14 +37,14 @@ class Tree:
 def split_scores(df: DataFrame, node: list[str], value: str, label: str) -> DataFrame:
     """node columns, threshold, score: the mean gini of both sides of every value, 1 where a
     side is empty."""
-    counts = df.groupBy(*node, value, label).agg(F.count("*").alias("c"))
+    counts = df.groupBy(*node, value, label).agg(F.count("*").alias("_c"))
     # for every value: counts of each label at or below it
     values = counts.select(*node, F.col(value).alias("_v")).distinct()
     labels = counts.select(*node, label).distinct()
     grid = values.join(labels, node) if node else values.crossJoin(labels)
     keys = [*node, "_v", label]
-    full = grid.join(counts.withColumnRenamed(value, "_v"), keys, "left").fillna(0, ["c"])
-    run = full.withColumn("l", F.sum("c").over(W.partitionBy(*node, label).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("t", F.sum("c").over(W.partitionBy(*node, label)))
+    full = grid.join(counts.withColumnRenamed(value, "_v"), keys, "left").fillna(0, ["_c"])
+    run = full.withColumn("l", F.sum("_c").over(W.partitionBy(*node, label).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("t", F.sum("_c").over(W.partitionBy(*node, label)))
     sides = run.groupBy(*node, "_v").agg(*(F.sum(x).alias(n) for n, x in (("nl", F.col("l")), ("nr", F.col("t") - F.col("l")), ("ql", F.col("l") * F.col("l")), ("qr", (F.col("t") - F.col("l")) * (F.col("t") - F.col("l"))))))
     gini = lambda q, n: 1.0 - F.col(q) / (F.col(n) * F.col(n))
     score = F.when((F.col("nl") == 0) | (F.col("nr") == 0), 1.0).otherwise((gini("ql", "nl") + gini("qr", "nr")) / 2.0)
@@ -71,10 +71,10 @@ def grow(df: DataFrame, features: list[str], label: str, depth: int = 4, seed: i
     where = F.lit(0)
     for level in range(depth + 1):
         rows = data.withColumn("_node", where).where(F.col("_node").isin(list(paths)))
-        votes = rows.groupBy("_node", label).agg(F.count("*").alias("c")).collect()  # labels of open nodes
+        votes = rows.groupBy("_node", label).agg(F.count("*").alias("_c")).collect()  # labels of open nodes
         by: dict[int, dict] = {}
         for r in votes:
-            by.setdefault(r["_node"], {})[r[label]] = r["c"]
+            by.setdefault(r["_node"], {})[r[label]] = r["_c"]
         open_ = {}
         for k, t in paths.items():
             seen = by.get(k, {})
