@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SEEN: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,7 +29,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    """A fresh path in a folder of this application, which goes when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_root(spark)}/quern/{app}"
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
