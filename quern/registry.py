@@ -171,9 +171,9 @@ def softmax_rows(spark, sf):
     return _long(_embeddings(spark, sf), A.softmax(F.col("v")), "vec_id")
 
 
-@register("argmax_last", _E + ", m AS (SELECT vec_id, max(v) AS top FROM e GROUP BY vec_id) SELECT vec_id, CAST(max(i) AS INT) AS at FROM e JOIN m USING (vec_id) WHERE v = top GROUP BY vec_id")
+@register("argmax_last", _E + ", m AS (SELECT vec_id, max(v) AS top FROM e GROUP BY vec_id) SELECT vec_id, CAST(max(i) AS INT) AS arg FROM e JOIN m USING (vec_id) WHERE v = top GROUP BY vec_id")
 def argmax_last(spark, sf):
-    return _embeddings(spark, sf).select("vec_id", A.argmax(F.col("v")).alias("at"))
+    return _embeddings(spark, sf).select("vec_id", A.argmax(F.col("v")).alias("arg"))
 
 
 _S = "1 / (1 + exp(-y))"

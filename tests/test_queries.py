@@ -33,7 +33,7 @@ def test_against_sql(spark, duck, name):
     want = duck.sql(registry.ORACLES[name])
     assert sorted(want.columns) == names
     rows = sorted((tuple(value(r[c]) for c in names) for r in got.collect()), key=str)
-    other = sorted((tuple(map(value, r)) for r in duck.sql(f"SELECT {', '.join(names)} FROM ({registry.ORACLES[name]})").fetchall()), key=str)
+    other = sorted((tuple(map(value, r)) for r in duck.sql("SELECT " + ", ".join(f'"{n}"' for n in names) + f" FROM ({registry.ORACLES[name]})").fetchall()), key=str)
     assert len(rows) == len(other)
     for a, b in zip(rows, other):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 * max(1.0, abs(x)) for x, y in zip(a, b)), (a, b)
