@@ -6,12 +6,13 @@ its circle by k for coordinate k.  Documents that agree on all coordinates of a
 candidates.  Every link is confirmed on the full sets, 100 * intersection >= threshold *
 union, and components of confirmed links give each document its class.
 
-Nothing emits all pairs of a group.  Documents with equal sets are one node.  Round one
-compares each node with the smallest node it shares a band with; round two compares it with
-the smallest nodes of its other bands, where they are not joined yet; round three compares
-what shares a band and still lies in different components.  So a large group of near
-copies costs about one comparison a member, and no candidate that could join two
-components is left out.
+Nothing emits all pairs of a group.  Documents with equal sets are one node, and a node's
+shingles that no other candidate has bound what it can be linked to: nodes with too many of
+them drop out.  Of the nodes in a band, the one with the smallest share of such shingles is
+the head.  Round one compares each node with its best head, round two with its other heads,
+where they are not joined yet; round three compares what shares a band and still lies in
+different components, as far as the bound allows.  So a large group of near copies costs
+about one comparison a member, and no candidate that could join two components is left out.
 
 Defined cases: null and empty texts, and texts without a word, have the empty set and no
 links; with fewer words than a shingle has, the whole sequence is the one shingle; a null id
@@ -20,12 +21,13 @@ for linking; other columns are ignored; an empty table gives an empty result.
 """
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +37,19 @@ from quern.llm.scratch import drop, release_shuffles, stage
 WORDS, THRESHOLD = 5, 80
 #: A pair at Jaccard 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Signatures that agree on less than this never reach 0.8 (five standard deviations below).
-AGREE = 0.64
+#: Coordinates beyond those of the bands, which make the signatures' estimates sharper.
+EXTRA = 320
+#: Standard deviations below the threshold from which an estimate rules a pair out (5e-6).
+SIGMAS = 4.43
 _SEED = np.uint32(0x5BD1E995)
 
 
+def least_agreement(threshold: int, coordinates: int) -> float:
+    """Share of equal coordinates that a pair at the threshold falls below with probability 5e-6."""
+    j = threshold / 100.0
+    return j - SIGMAS * math.sqrt(j * (1 - j) / coordinates)
+
+
 def _permute(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 32-bit numbers."""
     x = x ^ (x >> np.uint32(16))
@@ -103,17 +113,17 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                 hashes: list = [None] * len(sets)
                 sigs: list = [None] * len(sets)
                 if len(full):
-                    sig = signatures(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(n[full])]), bands * rows)
+                    sig = signatures(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(n[full])]), bands * rows + EXTRA)
                     low = (sig & np.uint32(255)).astype(np.uint8)
-                    wide = sig.reshape(len(full), bands, rows).astype(H.U64)
+                    wide = sig[:, : bands * rows].reshape(len(full), bands, rows).astype(H.U64)
                     key = np.broadcast_to(np.arange(1, bands + 1, dtype=H.U64), (len(full), bands)).copy()
                     for r in range(rows):
                         key = H.mix(key * H.U64(0xD1342543DE82EF95) + wide[:, :, r])
                     for j, i in enumerate(full):
-                        keys[i], hashes[i], sigs[i] = _set_key(sets[i]), H.signed(key[j]), low[j].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "n", "set_key", "bands", "sig"])
+                        keys[i], hashes[i], sigs[i] = _set_key(sets[i]), H.signed(key[j]), low[j].view(np.int8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int8()))], ["id", "n", "set_key", "bands", "sig"])
 
-    return source.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sig binary")
+    return source.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sig array<tinyint>")
 
 
 def _sets_of(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -130,16 +140,12 @@ def _sets_of(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
                 blobs = pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3), kept.column(4), blobs], ["node", "n", "sig", "set"])
 
-    return found.mapInArrow(run, "node long, n long, sig binary, set binary").dropDuplicates(["node", "sig", "n"])
+    return found.mapInArrow(run, "node long, n long, sig array<tinyint>, set binary").dropDuplicates(["node", "sig", "n"])
 
 
-@F.pandas_udf(T.DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-    return pd.Series((x == y).mean(axis=1))
+def _agreement(a: Column, b: Column) -> Column:
+    """Share of equal coordinates of two signatures."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / F.size(a)
 
 
 @F.pandas_udf(T.LongType())
@@ -150,12 +156,37 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets meet the threshold."""
+def _facts(sets: DataFrame) -> DataFrame:
+    """node, n (shingles), a: those of them that another of the nodes has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                found = [np.frombuffer(x, H.U64) for x in part.column(1).to_pylist()]
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+                h = np.concatenate([np.zeros(0, H.U64), *found])
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(h)), pa.array(node, pa.int64())], ["h", "node"])
+
+    each = sets.select("node", "set").mapInArrow(run, "h long, node long")
+    own = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("top")).where("node = top").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"))
+    return sizes.join(own, "node", "left").select("node", "n", (F.col("most") - F.coalesce("own", F.lit(0))).alias("a"))
+
+
+def _possible(n: str, a: str, m: str, b: str, threshold: int) -> str:
+    """SQL: whether sets of n and m shingles, a and b of them not their own, can be linked.
+    The intersection has min(a, b) at most, and the union the rest at least."""
+    return f"100 * least({a}, {b}) >= {threshold} * ({n} + {m} - least({a}, {b}))"
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets meet the threshold; pairs whose signatures
+    agree on less than ``least`` are ruled out before their sets are moved."""
     meta = sets.select("node", "n", "sig")
     left, right = meta.toDF("a", "na", "sa"), meta.toDF("b", "nb", "sb")
     p = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    p = stage(p.where(_agreement("sa", "sb") >= AGREE * threshold / 80.0).select("a", "b", "na", "nb").distinct(), "likely")
+    p = stage(p.where(_agreement(F.col("sa"), F.col("sb")) >= least).select("a", "b", "na", "nb").distinct(), "likely")
     blob = sets.select("node", "n", "set")
     both = p.join(blob.toDF("a", "na", "xa"), ["a", "na"]).join(blob.toDF("b", "nb", "xb"), ["b", "nb"])
     common = both.select("a", "b", "na", "nb", _common("xa", "xb").alias("c"))
@@ -212,7 +243,7 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept."""
-    spark = df.sparkSession
+    spark, least = df.sparkSession, least_agreement(threshold, bands * rows + EXTRA)
     docs = stage(sketches(df, id_col, text_col, words, bands, rows), "sketches")
     nodes = stage(docs.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     release_shuffles(spark)
@@ -220,35 +251,51 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     held = docs.where("n > 0 AND id IS NOT NULL").select("id", "set_key").join(nodes.select("set_key", "node"), "set_key").select("id", "node")
     several = held.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("id", "b")
     again = stage(held.join(several, "id").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "again")
-    cells = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = cells.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail")
-    shared = stage(cells.join(stage(heads.select("bucket", "head"), "buckets"), "bucket").distinct(), "cells")
+    cells = nodes.select("node", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["node", "bucket"])
+    held = stage(cells.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
+    shared = cells.join(held, "bucket")
     taking = shared.select("node").distinct()
     sets = stage(_sets_of(df, nodes.join(taking, "node").select("node", "set_key", "n", "sig"), id_col, text_col, words), "sets")
     release_shuffles(spark)
+    facts = stage(_facts(sets).where(f"100 * a >= {threshold} * n"), "facts")
+    shared = stage(shared.join(facts, "node"), "cells")
+    release_shuffles(spark)
 
-    star = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = star.groupBy("a").agg(F.min("b").alias("b"))
-    labels = _relabel(None, stage(confirm(first, sets, threshold), "links"))
+    # the node with the fewest shingles of its own is most likely to be near the others
+    central = F.struct(F.col("a") / F.col("n"), -F.col("node"))
+    heads = shared.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "a"), central).alias("h"), F.count("*").alias("size")).where("size > 1")
+    heads = stage(heads.select("bucket", F.col("h.node").alias("head"), F.col("h.n").alias("hn"), F.col("h.a").alias("ha")), "heads")
+    star = shared.join(heads, "bucket").where(f"node <> head AND {_possible('n', 'a', 'hn', 'ha', threshold)}")
+    star = stage(star.groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.first(F.col("ha") / F.col("hn")).alias("q")), "star")
+    first = star.groupBy("a").agg(F.max_by("b", F.struct("q", -F.col("b"))).alias("b"))
+    labels = _relabel(None, stage(confirm(first, sets, threshold, least), "links"))
     release_shuffles(spark)
-    labels = _relabel(labels, stage(confirm(_apart(star.join(first, ["a", "b"], "left_anti"), labels), sets, threshold), "links"))
+    labels = _relabel(labels, stage(confirm(_apart(star.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), sets, threshold, least), "links"))
     release_shuffles(spark)
-    # what shares a band and is still apart, both ways round once
-    cell = shared.select("bucket", "node")
+    # what shares a band and is still apart: in each band, the members outside its largest
+    # component against all others, as far as the bound lets them link
+    cell = shared
     if labels is not None:
-        cell = cell.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        cell = cell.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         cell = cell.withColumn("root", F.col("node"))
-    cell = cell.join(nodes.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "node")
-    ends = cell.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-    mixed = stage(cell.join(ends, "bucket"), "mixed")
-    other = mixed.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "lo", "hi")))
-    rest = mixed.join(other, "bucket").where(f"root < root_b AND 100 * least(hi, hi_b) >= {threshold} * greatest(lo, lo_b)")
-    rest = rest.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    labels = _relabel(labels, stage(confirm(rest, sets, threshold), "links"))
+    cell = stage(cell.select("bucket", "band", "node", "n", "a", "root"), "labelled")
+    parts = cell.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    marks = nodes.groupBy("node").agg(F.count("*").alias("texts"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    mixed = stage(cell.join(parts.select("bucket", "top"), "bucket").join(marks, "node"), "mixed")
+    other = mixed.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "a", "root", "texts", "bands", "sig")))
+    # a pair counts in the first band that it shares, and where its signatures agree enough
+    here = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+    alike = _agreement(F.col("sig"), F.col("sig_b")) >= least
+    rest = mixed.where("root <> top").join(other, "bucket").where(f"root <> root_b AND (root_b = top OR node < node_b) AND {_possible('n', 'a', 'n_b', 'a_b', threshold)}")
+    rest = rest.where((F.col("texts") + F.col("texts_b") > 2) | (here & alike))
+    known = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = rest.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+    labels = _relabel(labels, stage(confirm(rest, sets, threshold, least), "links"))
+    release_shuffles(spark)
     if not again.isEmpty():
         labels = _relabel(labels, again)
-    drop(sets, mixed, shared)
+    drop(sets, mixed, shared, cell, star, heads, facts)
 
     out = docs.join(nodes.select("set_key", "node"), "set_key", "left")
     if labels is not None:
