@@ -72,6 +72,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     kept, text_sha256.  ``bits`` shortens the fingerprints, to test the handling of clashes."""
     rows = stage(recipes(df, id_col, text_col, bits), "recipes")
     groups = rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    # "recipe" is never null, so every row finds its group; a hot group's rows are dealt by the id as well
-    out = rows.join(groups, "recipe")
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # written first, so that the join deals both sides anew and Spark can split a hot group's rows
+    groups = stage(groups.where("group_size > 1"), "groups")
+    out = rows.join(groups, "recipe", "left")
+    alone = F.col("group_size").isNull()
+    keep, size = F.when(alone, F.col("id")).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1).cast("long"))
+    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")
