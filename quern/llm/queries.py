@@ -97,10 +97,20 @@ QUERIES["op9_perplexity_rules"] = op9_perplexity_rules
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_table(spark, sf_dir, "pages"))
-    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32_sql(hexes: str) -> str:
+    """SQL for the base32 form of a 40-digit hex string: 20 bits at a time."""
+    groups = [f"CAST('0x' || substr({hexes}, {5 * k + 1}, 5) AS BIGINT)" for k in range(8)]
+    return " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({g} >> {s}) & 31 AS INT) + 1, 1)" for g in groups for s in (15, 10, 5, 0))
 
 
 QUERIES["op1_warc"] = op1_warc
+ORACLES["op1_warc"] = f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages), g AS (SELECT page_id, strlen(p) AS payload_bytes, sha1(p) AS h, max(page_id) OVER (PARTITION BY p) AS keeper FROM t)
+SELECT page_id, payload_bytes, {_base32_sql('h')} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM g
+"""
 
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,17 @@ def test_held_out_accuracy(spark, name):
         got = queries.QUERIES[name](spark, sf).join(truth, "doc_id").where("held_out").collect()
         assert sum(r["truth"] == r["predicted"] for r in got) >= 0.9 * len(got)
     assert got
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op4_exact_dedup"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    rows = sorted((tuple(r[c] for c in names) for r in got.collect()), key=str)
+    want = con.sql("SELECT " + ", ".join(f'"{n}"' for n in names) + f" FROM ({queries.ORACLES[name]})").fetchall()
+    assert rows == sorted(map(tuple, want), key=str)
