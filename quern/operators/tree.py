@@ -67,7 +67,8 @@ def grow(df: DataFrame, features: list[str], label: str, depth: int = 4, seed: i
         data = data.sample(True, 1.0, seed)
     extremes = data.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     order = rng.sample(features, len(features))
-    paths: dict[int, Tree] = {0: Tree()}
+    root = Tree()
+    paths: dict[int, Tree] = {0: root}
     where = F.lit(0)
     for level in range(depth + 1):
         rows = data.withColumn("_node", where).where(F.col("_node").isin(list(paths)))
@@ -98,10 +99,8 @@ def grow(df: DataFrame, features: list[str], label: str, depth: int = 4, seed: i
             t.feature, t.threshold, t.left, t.right = feature, float(cuts[k]), Tree(label=t.label), Tree(label=t.label)
             paths[2 * k + 1], paths[2 * k + 2] = t.left, t.right
             step = F.when(where == k, F.when(F.col(feature) <= t.threshold, 2 * k + 1).otherwise(2 * k + 2)).otherwise(step)
-        if level == 0:
-            root = open_[0]
         where = step
-    return root if "root" in locals() else paths[0]
+    return root
 
 
 def forest(df: DataFrame, features: list[str], label: str, trees: int = 10, subset: int | None = None, **options) -> list[Tree]:

@@ -572,7 +572,6 @@ def network_train(spark, sf):
 
 _V = [f"(CAST(embedding[{i + 1}] AS DOUBLE) + 0.5::DOUBLE)" for i in range(4)]
 _a, _b, _c, _d = _V
-_PI = "pi()"
 
 
 def _sum(f: str) -> str:
