@@ -2,18 +2,20 @@
 
 The model is over characters, folded into 64 symbols, because word n-grams of open
 vocabularies are mostly seen once and a document's own words would then judge it.  Spark
-counts the n-grams of every document by language; the table of distinct n-grams is bounded
-(64 ** ORDER a language), and where it passes MAX_ENTRIES the order falls by one until it
-fits, so the sorted key arrays that tasks hold have a proven bound.  Lower orders use
-continuation counts, each order its own three discounts from its counts of counts.
+counts the n-grams of every document by language; a language has 64 ** ORDER distinct ones
+at most.  Every language has a model and a band of its own, of the same order at every size
+of the input.  The table of n-grams is ordered by language, and languages are scored in
+passes of PASS_ENTRIES n-grams together (or one language), so the sorted key arrays that
+tasks hold have a proven bound, and what one language gets does not depend on the others.
+Lower orders use continuation counts, each order its own three discounts from its counts of
+counts.
 
 A document's perplexity is compared with its language's band: WIDTH times the quartile
 distance of the language's documents below the first and above the third quartile, and
 somewhat wider for short texts, whose perplexity varies more.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language
-is a language of its own; languages beyond MAX_LANGUAGES (by size, then name) share one model
-and band; rows that repeat are counted and judged one by one; very long texts are worked
+is a language of its own; one row a language reaches the driver; rows that repeat are counted and judged one by one; very long texts are worked
 through in slices; an empty table gives an empty result.
 """
 
@@ -27,16 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import hashing as H
-from quern.llm.scratch import stage
+from quern.llm.scratch import release_shuffles, stage
 
 SYMBOLS, SHIFT = 64, 6
-ORDER, MAX_ENTRIES, MAX_LANGUAGES = 4, 4_000_000, 63
+ORDER = 4
+#: N-grams of the languages scored in one pass (a single language has no more), of those a
+#: task counts before it hands them on, and of those read at once.
+PASS_ENTRIES, HELD_ENTRIES, READ_ENTRIES = 1 << 24, 2_000_000, 4_000_000
 WIDTH = 4.0
 #: A text of this many characters gets a band wider by the square root of two; longer ones less.
 SHORT = 1000.0
 #: Base rules: fewer words fail, and so does a larger share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT, WINDOW = 50, 50, 3
 SLICE = 1 << 19  # characters worked on at once
+CONTEXTS = 1 << 14  # contexts estimated at once
 
 _MARKS = "#*$%&|<>"
 
@@ -154,52 +160,93 @@ def estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> KneserNey:
         rank = np.argsort(k, kind="stable")
         k, c = k[rank], c[rank].astype(np.float64)
         d = discounts(c)
-        off = np.where(c >= 3, d[2], np.where(c >= 2, d[1], d[0]))
-        context, at = np.unique(k >> SHIFT, return_inverse=True)
-        total, freed = np.bincount(at, c), np.bincount(at, off)
+        context, first = np.unique(k >> SHIFT, return_index=True)
+        edges = np.append(first, len(k))
+        value, weight = np.empty(len(k)), np.empty(len(context))
         model.order = n - 1
-        lower = np.exp(model.log_prob(k >> (SHIFT * n), k & ((1 << (SHIFT * n)) - 1)))
-        gamma = freed / total
-        grams.append((k, np.log((c - off) / total[at] + gamma[at] * lower)))
-        backoff.append((context, np.log(gamma)))
+        for i in range(0, len(context), CONTEXTS):
+            j = min(i + CONTEXTS, len(context))
+            kk, cc = k[edges[i] : edges[j]], c[edges[i] : edges[j]]
+            off = np.where(cc >= 3, d[2], np.where(cc >= 2, d[1], d[0]))
+            at = np.repeat(np.arange(j - i), np.diff(edges[i : j + 1]))
+            total, freed = np.bincount(at, cc), np.bincount(at, off)
+            lower = np.exp(model.log_prob(kk >> (SHIFT * n), kk & ((1 << (SHIFT * n)) - 1)))
+            gamma = freed / total
+            value[edges[i] : edges[j]] = np.log((cc - off) / total[at] + gamma[at] * lower)
+            weight[i:j] = np.log(gamma)
+        grams.append((k, value))
+        backoff.append((context, weight))
         model.order = n
     return model
 
 
 def _languages(df: DataFrame, lang_col: str) -> dict[str | None, int]:
-    sizes = df.groupBy(lang_col).count().orderBy(F.col("count").desc(), F.col(lang_col).asc_nulls_last()).limit(MAX_LANGUAGES).collect()
+    """The number of each language, by size and then name."""
+    sizes = df.groupBy(lang_col).count().orderBy(F.col("count").desc(), F.col(lang_col).asc_nulls_last()).collect()
     return {r[0]: k for k, r in enumerate(sizes)}
 
 
 def count_grams(df: DataFrame, languages: dict, text_col: str, lang_col: str, order: int) -> DataFrame:
-    """(key, c) of all n-grams of all documents, pre-summed in every task."""
+    """(key, c) of all n-grams of all documents, the language's number above the packed
+    symbols, pre-summed in every task."""
     source = df.select(df[lang_col], df[text_col])
 
+    def rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], ["key", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                lang = np.array([languages.get(x, MAX_LANGUAGES) for x in part.column(0).to_pylist()], np.int64)
+                lang = np.array([languages[x] for x in part.column(0).to_pylist()], np.int64)
                 for doc, key in gram_keys([t or "" for t in part.column(1).to_pylist()], order):
                     u, c = np.unique(lang[doc] << (SHIFT * order) | key, return_counts=True)
                     keys, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
                     counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], ["key", "c"])
+                    if len(keys) >= HELD_ENTRIES:
+                        yield from rows(keys, counts)
+                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield from rows(keys, counts)
 
     return source.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> tuple[KneserNey, dict]:
-    languages = _languages(df, lang_col)
-    while True:
-        table = stage(count_grams(df, languages, text_col, lang_col, order), "grams")
-        if order <= 2 or table.count() <= MAX_ENTRIES:
-            break
-        order -= 1
-    got = table.toPandas()  # at most MAX_ENTRIES rows
-    return estimate(got["key"].to_numpy(np.int64), got["c"].to_numpy(np.int64), order), languages
+def passes(table: DataFrame, languages: int, order: int = ORDER) -> list[tuple[int, int, int]]:
+    """(first, end, n-grams) of the ranges of language numbers that are scored together; they
+    cover all ``languages``, also those without an n-gram."""
+    sizes = sorted((r["lang"], r["count"]) for r in table.groupBy(F.shiftright("key", SHIFT * order).alias("lang")).count().collect())
+    out, first, held = [], 0, 0
+    for lang, n in sizes:
+        if held and held + n > PASS_ENTRIES:
+            out.append((first, lang, held))
+            first, held = lang, 0
+        held += n
+    return [*out, (first, languages, held)]
+
+
+def fit(table: DataFrame, first: int, end: int, n: int, order: int = ORDER) -> KneserNey:
+    """The models of languages ``first`` to ``end`` - 1, which have ``n`` n-grams, each
+    estimated by itself, in one set of sorted arrays."""
+    table = table.where((F.col("key") >= first << (SHIFT * order)) & (F.col("key") < end << (SHIFT * order)))
+    keys, counts, at = np.empty(n, np.int64), np.empty(n, np.int64), 0
+    pieces = n // READ_ENTRIES + 1
+    for p in range(pieces):
+        got = (table.where(F.pmod("key", F.lit(pieces)) == p) if pieces > 1 else table).toPandas()
+        keys[at : at + len(got)], counts[at : at + len(got)] = got["key"], got["c"]
+        at += len(got)
+    rank = np.argsort(keys)
+    keys, counts = keys[rank], counts[rank]
+    langs, begin = np.unique(keys >> (SHIFT * order), return_index=True)
+    models = [estimate(keys[a:b] & ((1 << (SHIFT * order)) - 1), counts[a:b], order) for a, b in zip(begin, [*begin[1:], n])]
+
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
+        full = [lang << (SHIFT * width) | k for lang, (k, _) in zip(langs, parts)]
+        return np.concatenate([np.zeros(0, np.int64), *full]), np.concatenate([np.zeros(0), *(v for _, v in parts)])
+
+    grams = [joined([m.grams[w] for m in models], w + 1) for w in range(order)]
+    return KneserNey(order, grams, [joined([m.backoff[w] for m in models], w) for w in range(order)])
 
 
 def base_columns(texts: list[str]) -> dict[str, np.ndarray]:
@@ -238,7 +285,7 @@ def base_columns(texts: list[str]) -> dict[str, np.ndarray]:
 
 def measure(df: DataFrame, model: KneserNey, languages: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, language number, the base columns and the log perplexity a character."""
-    shared = df.sparkSession.sparkContext.broadcast((model, languages))  # bounded by MAX_ENTRIES
+    shared = df.sparkSession.sparkContext.broadcast((model, languages))  # bounded by PASS_ENTRIES
     source = df.select(df[id_col], df[text_col], df[lang_col])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -248,10 +295,13 @@ def measure(df: DataFrame, model: KneserNey, languages: dict, id_col: str = "doc
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                lang = np.array([langs.get(x, MAX_LANGUAGES) for x in part.column(2).to_pylist()], np.int64)
+                lang = np.array([langs[x] for x in part.column(2).to_pylist()], np.int64)
                 total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
                 for doc, key in gram_keys(texts, m.order):
-                    total += np.bincount(doc, m.log_prob(lang[doc], key), len(texts))
+                    # n-grams recur, so each distinct one is looked up once
+                    full, at = np.unique(lang[doc] << (SHIFT * m.order) | key, return_inverse=True)
+                    value = m.log_prob(full >> (SHIFT * m.order), full & ((1 << (SHIFT * m.order)) - 1))
+                    total += np.bincount(doc, value[at], len(texts))
                     n += np.bincount(doc, minlength=len(texts))
                 base = base_columns(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(-total / np.maximum(n, 1))], [id_col, "_lang", *names, "log_ppl"])
@@ -260,10 +310,26 @@ def measure(df: DataFrame, model: KneserNey, languages: dict, id_col: str = "doc
     return source.mapInArrow(run, f"`{id_col}` {kind}, _lang long, " + ", ".join(f"{c} long" for c in names) + ", log_ppl double")
 
 
+def perplexities(df: DataFrame, id_col: str, text_col: str, lang_col: str, order: int) -> DataFrame:
+    """What ``measure`` gives for all rows, pass by pass."""
+    languages = _languages(df, lang_col)
+    table = stage(count_grams(df, languages, text_col, lang_col, order), "grams")
+    ranges, out = passes(table, len(languages), order), None
+    for first, end, n in ranges:
+        docs = df
+        if len(ranges) > 1:
+            here = [x for x, k in languages.items() if first <= k < end]
+            docs = df.where(F.col(lang_col).isin([x for x in here if x is not None]) | (F.col(lang_col).isNull() & F.lit(None in here)))
+        part = stage(measure(docs, fit(table, first, end, n, order), languages, id_col, text_col, lang_col), "perplexities")
+        out = part if out is None else out.unionByName(part)
+        if len(ranges) > 1:
+            release_shuffles(df.sparkSession)  # and the last pass's models
+    return out
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, order: int = ORDER) -> DataFrame:
     """One row per input row: id, base columns, perplexity, the band, base_failed, kept."""
-    model, languages = fit(df, text_col, lang_col, order)
-    rows = stage(measure(df, model, languages, id_col, text_col, lang_col), "perplexities")
+    rows = perplexities(df, id_col, text_col, lang_col, order)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
@@ -272,7 +338,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # at least a tenth of a nat, so that a language of near copies does not reject the rest
     reach = F.greatest(F.lit(0.1), width * (high - low))
     bands = bands.select("_lang", low.alias("q1"), high.alias("q3"), reach.alias("reach"))
-    out = rows.join(F.broadcast(bands), "_lang", "left")  # a row a language, MAX_LANGUAGES + 1 at most
+    out = rows.join(F.broadcast(bands), "_lang", "left")  # a row a language
     reach = F.col("reach") * F.sqrt(1.0 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
     out = out.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))

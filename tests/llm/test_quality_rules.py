@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import quality_rules as Q
 
@@ -58,3 +59,27 @@ def test_table(spark):
     assert not got[60]["kept"] and not got[60]["base_failed"]
     assert all(got[k]["base_failed"] and not got[k]["kept"] for k in (61, 62, 63))
     assert Q.judge(df.limit(0)).count() == 0
+
+
+def test_model_of_a_language_depends_on_its_own_rows_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, " ".join("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(60)), f"l{k % 70:02}" if k % 70 else None) for k in range(140)]
+    rows += [(140, "", "empty"), (141, None, "l05")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    told = lambda d: {r["doc_id"]: r for r in Q.judge(d).collect()}
+    whole = told(df)
+    assert len(whole) == 142
+    for lang in ("l01", "l69"):
+        for k, r in told(df.where(F.col("lang") == lang)).items():
+            for c in ("perplexity", "low_perplexity", "high_perplexity"):
+                assert abs(whole[k][c] - r[c]) < 1e-9
+    # neither bounds of memory nor the former MAX_ENTRIES change the result
+    monkeypatch.setattr(Q, "MAX_ENTRIES", 10, raising=False)
+    monkeypatch.setattr(Q, "PASS_ENTRIES", 5000, raising=False)
+    monkeypatch.setattr(Q, "HELD_ENTRIES", 50, raising=False)
+    monkeypatch.setattr(Q, "READ_ENTRIES", 700, raising=False)
+    monkeypatch.setattr(Q, "CONTEXTS", 9, raising=False)
+    parts = told(df)
+    assert len(parts) == 142
+    for k, r in whole.items():
+        assert parts[k]["kept"] == r["kept"] and abs(parts[k]["perplexity"] - r["perplexity"]) < 1e-9
