@@ -10,9 +10,10 @@ tasks hold have a proven bound, and what one language gets does not depend on th
 Lower orders use continuation counts, each order its own three discounts from its counts of
 counts.
 
-A document's perplexity is compared with its language's band: WIDTH times the quartile
-distance of the language's documents below the first and above the third quartile, and
-somewhat wider for short texts, whose perplexity varies more.
+A document's perplexity is compared with its language's band, each side of which follows
+from the language's own quartiles: below the first, 2 * WIDTH times its distance from the
+median; above the third, the same with its distance, but WIDTH times the quartile distance
+at most.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language
 is a language of its own; one row a language reaches the driver; rows that repeat are counted and judged one by one; very long texts are worked
@@ -36,9 +37,10 @@ ORDER = 4
 #: N-grams of the languages scored in one pass (a single language has no more), of those a
 #: task counts before it hands them on, and of those read at once.
 PASS_ENTRIES, HELD_ENTRIES, READ_ENTRIES = 1 << 24, 2_000_000, 4_000_000
-WIDTH = 4.0
-#: A text of this many characters gets a band wider by the square root of two; longer ones less.
-SHORT = 1000.0
+WIDTH = 3.0
+#: Least reach of a band beyond its quartiles in nats, so that a language of near copies does not
+#: reject the rest.
+LEAST_REACH = 0.05
 #: Base rules: fewer words fail, and so does a larger share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT, WINDOW = 50, 50, 3
 SLICE = 1 << 19  # characters worked on at once
@@ -332,15 +334,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = perplexities(df, id_col, text_col, lang_col, order)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
+    quartiles = F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000)
     bands = rows.where("NOT base_failed").groupBy("_lang").agg(quartiles.alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    # at least a tenth of a nat, so that a language of near copies does not reject the rest
-    reach = F.greatest(F.lit(0.1), width * (high - low))
-    bands = bands.select("_lang", low.alias("q1"), high.alias("q3"), reach.alias("reach"))
+    q1, median, q3 = (F.col("q")[k] for k in range(3))
+    below = F.greatest(F.lit(LEAST_REACH), 2 * width * (median - q1))
+    above = F.greatest(F.lit(LEAST_REACH), F.least(2 * width * (q3 - median), width * (q3 - q1)))
+    bands = bands.select("_lang", (q1 - below).alias("low"), (q3 + above).alias("high"))
     out = rows.join(F.broadcast(bands), "_lang", "left")  # a row a language
-    reach = F.col("reach") * F.sqrt(1.0 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
-    out = out.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),

@@ -83,3 +83,23 @@ def test_model_of_a_language_depends_on_its_own_rows_alone(spark, monkeypatch):
     assert len(parts) == 142
     for k, r in whole.items():
         assert parts[k]["kept"] == r["kept"] and abs(parts[k]["perplexity"] - r["perplexity"]) < 1e-9
+
+
+def test_each_side_of_a_band_follows_its_own_quartiles(spark):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    rows = []
+    for k in range(240):  # the share of rare words differs, and more so upwards
+        rare, n = rng.random() ** 3 * 0.4, rng.choice([60, 400])
+        rows.append((k, " ".join(word("vwxyzjkq") if rng.random() < rare else word("abcd") for _ in range(n)), "xy"[k % 2]))
+    got = [r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if not r["base_failed"]]
+    for lang in (0, 1):
+        here = [r for r in got if r["doc_id"] % 2 == lang]
+        p = np.sort(np.log([r["perplexity"] for r in here]))
+        q1, median, q3 = (p[int(np.ceil(x * len(p))) - 1] for x in (0.25, 0.5, 0.75))
+        low, high = ({round(float(np.log(r[c])), 9) for r in here} for c in ("low_perplexity", "high_perplexity"))
+        assert len(low) == len(high) == 1  # whatever the length of a text
+        assert abs(low.pop() - (q1 - max(0.05, 6 * (median - q1)))) < 1e-6
+        top = high.pop()
+        assert abs(top - (q3 + max(0.05, min(6 * (q3 - median), 3 * (q3 - q1))))) < 1e-6 and top <= q3 + max(0.1, 3 * (q3 - q1)) + 1e-6
+        assert all(r["kept"] == (r["low_perplexity"] <= r["perplexity"] <= r["high_perplexity"]) for r in here)
