@@ -157,7 +157,8 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _facts(sets: DataFrame) -> DataFrame:
-    """node, n (shingles), a: those of them that another of the nodes has too."""
+    """node, n (shingles), a: those of them that another of the nodes has too.  A node of
+    several sets has the smallest n and the largest set as a, so that it bounds each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,8 +171,9 @@ def _facts(sets: DataFrame) -> DataFrame:
 
     each = sets.select("node", "set").mapInArrow(run, "h long, node long")
     own = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("top")).where("node = top").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"))
-    return sizes.join(own, "node", "left").select("node", "n", (F.col("most") - F.coalesce("own", F.lit(0))).alias("a"))
+    sizes = sets.groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("texts"))
+    own_ = F.when(F.col("texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0)
+    return sizes.join(own, "node", "left").select("node", "n", (F.col("most") - own_).alias("a"))
 
 
 def _possible(n: str, a: str, m: str, b: str, threshold: int) -> str:

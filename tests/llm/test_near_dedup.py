@@ -79,3 +79,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (2000, 2000)], "a long, b long")
     got = {r["node"]: r["root"] for r in N.components(edges).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_links_of_an_id_with_different_texts(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for k in range(7, 67, 6):  # a short text with a near copy, and a long one nobody else has
+        x = words(14)
+        rows += [(k, " ".join(x)), (k, " ".join(words(104))), (k + 2, " ".join(x + words(1)))]
+    x, y = words(30), words(60)  # links through both texts
+    rows += [(100, " ".join(x)), (100, " ".join(y)), (101, " ".join(x[1:])), (102, " ".join(y[2:])), (103, " ".join(words(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.near_dedup(df).collect()), key=str)
+    assert got == brute(rows, 5, 80)
