@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid
-from quern.llm.exact_dedup import exact_dedup
+from quern.llm.exact_dedup import exact_dedup, normalised
 from quern.llm.mixing import mixed_documents
 from quern.llm.near_dedup import near_dedup
 from quern.llm.packing import pack_documents
@@ -20,11 +20,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5
 
 
-def _kept(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among ``kept_ids``."""
-    return docs.join(kept_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(langid.remainder("doc_id", 5) != 0))
     found = langid.identify(docs, model, keep=tuple(COLUMNS))
@@ -33,11 +28,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup(docs).where("kept"))
+    """One row of each group of equal texts: of the rows with the group's smallest id, the
+    first by language, source, n_chars and text, nulls first.  A null id is larger than any
+    other, so a group without ids keeps one row too."""
+    told = exact_dedup(docs).where("kept").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    told = stage(told, "kept-texts")
+    rows = docs.select(*COLUMNS, F.sha2(F.encode(normalised("text"), "UTF-8"), 256).alias("text_sha256"))
+
+    def of(some: DataFrame) -> DataFrame:
+        # the id is part of the key, so that rows of a hot text are dealt apart
+        some = some.select(F.col("text_sha256").alias("sha"), "keep_id")
+        return rows.join(some, (F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+
+    several = told.where("n > 1")
+    if several.isEmpty():
+        return of(told).select(*COLUMNS)
+    row = F.struct("doc_id", "lang", "source", "n_chars", "text")
+    one = of(several).groupBy("text_sha256").agg(F.min(row).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in COLUMNS))
+    return of(told.where("n = 1")).select(*COLUMNS).unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_dedup(docs).where("kept"))
+    """The rows that the operator keeps.  Texts of one id are one document, kept or dropped
+    together; rows with a null id, and texts without a word, stay."""
+    dropped = near_dedup(docs).where("NOT kept AND n_shingles > 0").select(F.col("doc_id").alias("gone")).distinct()
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
+    return docs.join(dropped, (F.col("doc_id") == F.col("gone")) & worded, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
