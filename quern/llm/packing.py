@@ -8,8 +8,10 @@ that fills the room.  A task packs the rows of its own partition through a windo
 bounded size, so nothing is shuffled and memory does not grow with the input.
 
 Defined cases: a null text is empty and has only its end token; rows that repeat an id are
-examples of their own; an example over a limit is cut, or stands alone (cut to the limit's
-tokens and marked) where cutting is off; an empty table gives an empty result.
+examples of their own; an example over a limit is cut; where cutting is off, its first piece
+stands alone and the rest follows in further pieces (``remainder``, the default of
+``pack_examples``) or is left out, which length < doc_tokens shows; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ class Limits:
     loss: int = MAX_LOSS
     cut: bool = True
     min_piece: int = MIN_PIECE
+    remainder: bool = False
 
 
 @dataclass
@@ -99,16 +102,17 @@ def pack(items: list[Item], limits: Limits) -> Iterator[list[tuple[Item, int, in
             spent = n if item.loss is None else int(item.loss[item.at : item.at + n].sum())
             chosen.append((item, item.at, n))
             room -= (n, 1, spent)
-            if limits.cut:
+            if limits.cut or limits.remainder:
                 item.at += n
                 size[best] -= n
                 cost[best] -= spent
                 if size[best] <= 0:
                     alive[best] = False
                     left -= 1
-            else:  # alone and over a limit
+            else:
                 alive[best] = False
                 left -= 1
+            if not limits.cut:  # alone and over a limit
                 break
         yield chosen
 
@@ -253,8 +257,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None = None, limits: Limits | None = None) -> DataFrame:
     """The same for examples that already are arrays of token ids, with an array of 0/1 that
-    marks the ids that bear loss (instruction data).  By default nothing is cut."""
-    limits = limits or Limits(cut=False)
+    marks the ids that bear loss (instruction data).  By default only what is over a limit
+    is cut, and no id is left out."""
+    limits = limits or Limits(cut=False, remainder=True)
     source = df.select(df[id_col], df[ids_col], *([df[loss_col]] if loss_col else []))
     kind = source.schema[id_col].dataType
 

@@ -67,3 +67,19 @@ def test_instruction_data_keeps_all_limits(spark):
     for parts in by.values():
         assert sum(p["length"] for p in parts) <= 128 and len(parts) <= 4 and sum(p["n_loss"] for p in parts) <= 50
     assert all(r["length"] == r["doc_tokens"] for r in got if r["k"] != 902)
+
+
+def test_no_id_of_instruction_data_is_lost(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.randrange(100) for _ in range(n)]) for k, n in enumerate([1, 30, 2048, 2049, 5000, 9001, 700])]
+    got = P.pack_examples(spark.createDataFrame(rows, "k long, ids array<int>").repartition(1), "k", "ids").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r["length"])
+    assert all(sum(x) <= P.MAX_TOKENS for x in by.values())
+    for k, ids in rows:
+        pieces, at = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["k"] == k), 0
+        for start, n, crc in pieces:
+            assert start == at and n > 0 and zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()) == crc
+            at += n
+        assert at == len(ids) and len(pieces) == -(-len(ids) // P.MAX_TOKENS)
