@@ -1,9 +1,9 @@
 """Vectorised words: 64-bit hashes of all words of a batch of texts.
 
 A word is a run of bytes outside space and 0x09-0x0D, which in UTF-8 never occur inside
-another character.  A word's hash is sum(table[byte] * base**position) modulo 2**64,
-taken from one running sum over the whole buffer and then mixed, so that no Python
-object is made for a word.
+another character.  A word's hash is the sum of one pseudo-random number for each of its
+(position, byte) pairs, mixed with its length, so that no Python object is made for a word
+and no pair of words collides by its structure, as polynomials modulo 2**64 let them.
 """
 
 from __future__ import annotations
@@ -12,17 +12,14 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE = 1 << 20  # bytes of text hashed at once; bounds the scratch arrays
-
-_rng = np.random.RandomState(20240229)
-_BYTES = (_rng.randint(0, 2**32, 256).astype(U64) << U64(32)) | _rng.randint(0, 2**32, 256).astype(U64) | U64(1)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+SLICE = 1 << 17  # bytes of text hashed at once; bounds the scratch arrays
+#: Positions whose numbers are looked up; those beyond are computed.
+POSITIONS = 64
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        got = np.full(max(n, SLICE + 1), U64(base))
-        got[0] = 1
-        got = np.multiply.accumulate(got)
-        if n <= 4 * SLICE:
-            _powers[base] = got
-    return got
+def _entries(position: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(mix(position.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(20240229)) + byte.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+_TABLE = _entries(np.repeat(np.arange(POSITIONS), 256), np.tile(np.arange(256), POSITIONS))
 
 
 def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +82,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     """Hashes of all words, the index of each text's first word (one more entry than
     texts), and the words' lengths in bytes."""
     data, offsets = buffers(texts)
-    table, hashes, starts_all, lengths = (_LOWER if lower else _BYTES), [], [], []
+    hashes, starts_all, lengths = [], [], []
     for a, b in _slices(data, offsets):
         part = data[a:b]
         space = _SPACE[part]
@@ -104,12 +97,33 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         if not len(starts):
             continue
-        total = np.empty(b - a + 1, U64)
-        total[0] = 0
-        np.cumsum(table[part] * powers(_BASE, b - a)[: b - a], out=total[1:])
-        h = (total[ends] - total[starts]) * powers(_INVERSE, b - a)[starts]
-        n = ends - starts
-        hashes.append(mix(h + n.astype(U64) * U64(0xD6E8FEB86659FD93)))
+        n, h, seen = ends - starts, np.zeros(len(starts), U64), 0
+        longest = int(n.max())
+        for c in range(0, b - a, SLICE):  # a word may be longer
+            at = np.flatnonzero(word[c : c + SLICE])
+            if not len(at):
+                continue
+            byte = part[at + c] if c else part[at]
+            if lower:
+                byte = _FOLD[byte]
+            if b - a <= SLICE:
+                position, new = at - np.repeat(starts, n), np.cumsum(n) - n
+                k = None
+            else:
+                k = (np.cumsum(first[c : c + SLICE])[at] + (seen - 1)).astype(np.int64)
+                position, new = at + c - starts[k], np.flatnonzero(np.diff(k, prepend=-1))
+            far = np.flatnonzero(position >= POSITIONS) if longest > POSITIONS else ()
+            if len(far):
+                value = _TABLE[np.minimum(position, POSITIONS - 1) << 8 | byte]
+                value[far] = _entries(position[far], byte[far])
+            else:
+                value = _TABLE[position << 8 | byte]
+            if k is None:
+                h = np.add.reduceat(value, new)
+            else:
+                h[k[new]] += np.add.reduceat(value, new)
+                seen = int(k[-1]) + 1
+        hashes.append(mix(h + n.astype(U64) * U64(0xA0761D6478BD642F)))
         starts_all.append(starts + a)
         lengths.append(n)
     if not hashes:

@@ -5,13 +5,14 @@ a sequence has a limit for each.  The open sequence takes, of the examples that
 one whose demand has the largest dot product with the room that is left.  Where cutting is
 allowed and nothing whole fits, the example with the largest dot product gives the piece
 that fills the room.  A task packs the rows of its own partition through a window of
-bounded size, so nothing is shuffled and memory does not grow with the input.
+bounded size, so nothing is shuffled and memory does not grow with the input.  Which
+examples share a sequence, and sequence_id, follow the input's split; the pieces' ids do not.
 
 Defined cases: a null text is empty and has only its end token; rows that repeat an id are
 examples of their own; an example over a limit is cut; where cutting is off, its first piece
 stands alone and the rest follows in further pieces (``remainder``, the default of
-``pack_examples``) or is left out, which length < doc_tokens shows; an empty table gives an
-empty result.
+``pack_examples``) or is left out, which length < doc_tokens shows; an example without ids
+gives a row of length 0 in no sequence (null); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.llm.workers import lean
+
 #: Room of a sequence, limits of segments and of loss-bearing tokens in it.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 2048
 #: A task holds this many examples, or this many tokens, before it packs them.
@@ -33,8 +36,8 @@ WINDOW_ROWS, WINDOW_TOKENS = 2048, 4_000_000
 #: A gap below this many tokens is left as padding rather than filled with a cut.
 MIN_PIECE = 8
 END = 1
-#: Words kept with their ids in a task, for words recur.
-CACHE = 300_000
+#: Bytes of words kept with their ids in a task, for words recur; bytes of one beside its letters and ids.
+CACHE, ENTRY = 32 << 20, 220
 
 
 @dataclass
@@ -129,9 +132,9 @@ def byte_bpe(path: str):
         spec = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    added = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in word): k for word, k in spec["model"]["vocab"].items() if word not in added}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 #: White space other than the space.
@@ -151,14 +154,21 @@ class WordTokenizer:
     A space between two characters that are not white space always starts a pre-token, so
     a text without other spaces may be cut there: the ids of " word" depend on the word
     alone, and are kept.  A word of letters is a single pre-token, with or without the
-    punctuation mark after it, which is one of its own.  Any other text is encoded whole."""
+    punctuation mark after it, which is one of its own.  Any other text is encoded whole.
+    Added tokens of the file stand for themselves wherever a text has their content."""
 
     def __init__(self, path: str, cache: int = CACHE):
         self.model = byte_bpe(path)
         self.piece = self.model._core_bpe.encode_single_piece
         self.marks = {c: self.piece(c.encode()) for c in ".,;:!?"}
         self.known: dict[str, list[int]] = {}
-        self.cache = cache
+        self.cache, self.held = cache, 0
+        self.added = sorted(self.model._special_tokens)
+
+    def encode(self, text: str) -> list[int]:
+        if any(a in text for a in self.added):
+            return self.model.encode(text, allowed_special="all")
+        return self.model.encode_ordinary(text)
 
     def after_space(self, word: str) -> list[int]:
         mark = self.marks.get(word[-1])
@@ -171,16 +181,21 @@ class WordTokenizer:
             got = self.model.encode_ordinary(" " + word)
         if len(word) <= 32:
             self.known[word] = got
+            self.held += ENTRY + len(word) + 8 * len(got)
         return got
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         known, find, out = self.known, self.after_space, []
         for text in texts:
-            if not _plain(text):
-                out.append(np.array(self.model.encode_ordinary(text), np.uint32))
+            if not _plain(text) or any(a in text for a in self.added):
+                out.append(np.array(self.encode(text), np.uint32))
                 continue
-            if len(known) > self.cache:
-                known.clear()
+            if self.held > self.cache:
+                self.forget()
             first, *rest = text.split(" ")
             ids = self.model.encode_ordinary(first)
             for w in rest:
@@ -219,6 +234,10 @@ def _emit(items: list[Item], limits: Limits, base: int, kind: pa.DataType, key:
                 c.append(v)
             at += n
         base += 1
+    for item in items:
+        if not len(item.ids):  # in no sequence
+            for c, v in zip(cols, (item.key, 0, 0, 0, 0, None, None, 0, 0)):
+                c.append(v)
     arrays = [pa.array(cols[0], kind)] + [pa.array(c, t) for c, (_, t) in zip(cols[1:], _FIELDS)]
     return pa.RecordBatch.from_arrays(arrays, [key, *(n for n, _ in _FIELDS)]), base
 
@@ -252,7 +271,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield _emit(items, limits, base, arrow, id_col)[0]
 
     schema = T.StructType([T.StructField(id_col, kind)] + [T.StructField(n, T.LongType()) for n, _ in _FIELDS])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run, lambda: tokenizer(tokenizer_path).forget()), schema)
 
 
 def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None = None, limits: Limits | None = None) -> DataFrame:
@@ -288,4 +307,4 @@ def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None
             yield _emit(items, limits, base, arrow, id_col)[0]
 
     schema = T.StructType([T.StructField(id_col, kind)] + [T.StructField(n, T.LongType()) for n, _ in _FIELDS])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

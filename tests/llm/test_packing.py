@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def exact():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -22,7 +21,7 @@ def test_ids_equal_the_library(exact):
     rng = random.Random(3)
     bits = ["a", "B", "é", " ", " ", " ", "\n", "\t", "1", "'s", "'", ".", ",", "!!", "  ", "\r\n", "日", "<|endoftext|>", "😀", "\x1c", "\x85", " ", "word", "Ærlig", "²"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(5000)]
-    assert [list(x) for x in P.WordTokenizer(PATH, cache=50).batch(texts)] == exact(texts)
+    assert [list(x) for x in P.WordTokenizer(PATH, cache=5000).batch(texts)] == exact(texts)
 
 
 def test_pieces_rebuild_the_documents(spark, exact):
@@ -60,7 +59,8 @@ def test_instruction_data_keeps_all_limits(spark):
     df = spark.createDataFrame(rows, "k long, ids array<int>, loss array<int>").repartition(1)
     limits = P.Limits(tokens=128, segments=4, loss=50, cut=False)
     got = [r.asDict() for r in P.pack_examples(df, "k", "ids", "loss", limits).collect()]
-    assert sorted(r["k"] for r in got) == [*range(300), 902]
+    assert sorted(r["k"] for r in got) == [*range(300), 900, 901, 902]
+    assert all((r["length"], r["doc_tokens"], r["sequence_id"], r["offset"]) == (0, 0, None, None) for r in got if r["k"] in (900, 901))
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append(r)
@@ -83,3 +83,34 @@ def test_no_id_of_instruction_data_is_lost(spark):
             assert start == at and n > 0 and zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()) == crc
             at += n
         assert at == len(ids) and len(pieces) == -(-len(ids) // P.MAX_TOKENS)
+
+
+@pytest.mark.parametrize("kind, limits", [("length", (300, 10_000, 10_000)), ("segments", (100_000, 5, 100_000)), ("n_loss", (100_000, 10_000, 90))])
+def test_each_limit_binds(spark, exact, kind, limits):
+    """Conversations as instruction data: the ids of the assistant's turns bear loss."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    talks = {}
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        talks.setdefault(r["conv_id"], []).append(r)
+    rows = []
+    for k, rs in talks.items():
+        parts = exact([r["text"] or "" for r in rs])
+        ids = [i for p in parts for i in p]
+        loss = [int(r["role"] == "assistant") for r, p in zip(rs, parts) for _ in p]
+        if len(ids) <= limits[0] and sum(loss) <= limits[2]:
+            rows.append((k, ids, loss))
+    assert len(rows) > 20 and any(sum(x[2]) for x in rows)
+    df = spark.createDataFrame(rows, "k long, ids array<int>, loss array<int>").repartition(1)
+    got = P.pack_examples(df, "k", "ids", "loss", P.Limits(*limits, cut=False, remainder=True)).where("length > 0").collect()
+    use = {}
+    for r in got:
+        u = use.setdefault(r["sequence_id"], {"length": 0, "segments": 0, "n_loss": 0})
+        u["length"] += r["length"]
+        u["segments"] += 1
+        u["n_loss"] += r["n_loss"]
+    bound = dict(zip(("length", "segments", "n_loss"), limits))
+    assert all(u[c] <= bound[c] for u in use.values() for c in bound)
+    # the tight limit decides the number of sequences, and the packing comes near it
+    total = sum(u[kind] for u in use.values())
+    assert -(-total // bound[kind]) <= len(use) <= 1 + 1.35 * total / bound[kind]
+    assert sum(r["n_loss"] for r in got) == sum(sum(x[2]) for x in rows)
