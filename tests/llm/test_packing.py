@@ -85,10 +85,10 @@ def test_no_id_of_instruction_data_is_lost(spark):
         assert at == len(ids) and len(pieces) == -(-len(ids) // P.MAX_TOKENS)
 
 
-@pytest.mark.parametrize("kind, limits", [("length", (300, 10_000, 10_000)), ("segments", (100_000, 5, 100_000)), ("n_loss", (100_000, 10_000, 90))])
+@pytest.mark.parametrize("kind, limits", [("length", (4000, 10_000, 100_000)), ("segments", (100_000, 5, 100_000)), ("n_loss", (100_000, 10_000, 2000))])
 def test_each_limit_binds(spark, exact, kind, limits):
     """Conversations as instruction data: the ids of the assistant's turns bear loss."""
-    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()
     talks = {}
     for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
         talks.setdefault(r["conv_id"], []).append(r)
