@@ -1,17 +1,18 @@
 """Quality classifier: supervised embeddings of words and character n-grams.
 
-Every word and every run of 3 or 4 bytes inside a word hashes to one of BUCKETS learned
-vectors; a document is the average of the vectors of all its occurrences, and a softmax
-layer turns that into label probabilities.  Stochastic gradient descent in numpy fits
-vectors and layer together on the driver, from TRAIN_ROWS labelled documents at most
-(chosen by a hash), of which only bucket counts are collected.
+Every word and every run of 3 or 4 characters inside a word hashes to one of BUCKETS
+learned vectors; a document is the average of the vectors of all its occurrences, and a
+softmax layer turns that into label probabilities.  Stochastic gradient descent in numpy
+fits vectors and layer together on the driver, from TRAIN_ROWS labelled documents or so,
+and TRAIN_ENTRIES bucket counts of them at most (both in the order of a hash); nothing but
+those counts is collected.
 
 A trained model scores through one number a bucket (its vector along the softmax layer's
 difference of labels), an array of fixed size that every task holds.
 
 Defined cases: a null text is empty; a document without words has the bias's score; several
 labels of one document count as their mean, label 1 from a half on; null labels teach
-nothing; with one label only, or none, the score is that label's share (0.5 without any).
+nothing, nor do documents behind the one that passes TRAIN_ENTRIES; with one label only, or none, the score is that label's share (0.5 without any).
 """
 
 from __future__ import annotations
@@ -24,29 +25,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import hashing as H
+from quern.llm.scratch import drop, stage
+from quern.llm.workers import lean
 
 BITS = 17
 BUCKETS = 1 << BITS
 DIM = 8
-TRAIN_ROWS = 4000
+TRAIN_ROWS, TRAIN_ENTRIES = 4000, 16_000_000
 EPOCHS, RATE, BATCH = 12, 0.5, 16
 NGRAMS = (3, 4)
 THRESHOLD = 0.7
 
 
-def _byte_grams(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of n bytes without white space, and where they start."""
-    if len(data) < n:
-        return np.zeros(0, H.U64), np.zeros(0, np.int64)
-    v = H._LOWER[data]
-    key = np.full(len(data) - n + 1, H.U64(n))
-    ok = np.ones(len(key), bool)
-    space = H._SPACE[data]
-    for i in range(n):
-        key = key * H.U64(0xD1342543DE82EF95) + v[i : len(data) - n + 1 + i]
-        ok &= ~space[i : len(data) - n + 1 + i]
-    at = np.flatnonzero(ok)
-    return H.mix(key[at]), at
+def _char_grams(data: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the runs of 3 or 4 characters without white space whose first one starts in
+    the first ``size`` bytes, and where their first and last characters start."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(start):
+        return
+    # a character's number is its bytes in UTF-8
+    code, width = H._FOLD[data[start]].astype(H.U64), np.diff(start, append=len(data))
+    for j in range(1, 4):
+        more = np.flatnonzero(width > j)
+        code[more] = code[more] << H.U64(8) | data[start[more] + j].astype(H.U64)
+    solid = ~H._SPACE[data[start]]
+    for n in NGRAMS:
+        m = len(start) - n + 1
+        if m <= 0:
+            continue
+        key, ok = np.full(m, H.U64(n)), start[:m] < size
+        for i in range(n):
+            key = key * H.U64(0xD1342543DE82EF95) + code[i : m + i]
+            ok &= solid[i : m + i]
+        at = np.flatnonzero(ok)
+        yield H.mix(key[at]), start[at], start[at + n - 1]
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -55,11 +67,11 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     words, first, _ = H.word_hashes(texts, lower=True)
     yield np.repeat(np.arange(len(texts)), np.diff(first)), (words >> H.U64(64 - BITS)).astype(np.int64)
     data, offsets = H.buffers(texts)
-    for a, b in H._slices(data, offsets):
-        for n in NGRAMS:
-            h, at = _byte_grams(data[a:b], n)
+    for a in range(0, len(data), H.SLICE):
+        size = min(H.SLICE, len(data) - a)
+        for h, at, last in _char_grams(data[a : a + size + 4 * max(NGRAMS)], size):
             doc = np.searchsorted(offsets, at + a, "right") - 1
-            same = doc == np.searchsorted(offsets, at + a + n - 1, "right") - 1
+            same = doc == np.searchsorted(offsets, last + a, "right") - 1
             yield doc[same], (h[same] >> H.U64(64 - BITS)).astype(np.int64)
 
 
@@ -101,8 +113,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
 
 
 def bucket_counts(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """label, buckets, counts of every row; at most BUCKETS entries each."""
-    source = df.select(df[label_col], df[text_col])
+    """label, unit, buckets, counts of every row; at most BUCKETS entries each."""
+    source = df.select(df[label_col], df[text_col], df["_unit"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,10 +128,10 @@ def bucket_counts(df: DataFrame, id_col: str, text_col: str, label_col: str) ->
                 ids = (key % BUCKETS).astype(np.int32)
                 offsets = pa.array(edges, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))], ["label", "buckets", "counts"]
+                    [part.column(0).cast(pa.int32()), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))], ["label", "unit", "buckets", "counts"]
                 )
 
-    return source.mapInArrow(run, "label int, buckets array<int>, counts array<int>")
+    return source.mapInArrow(lean(run), "label int, unit double, buckets array<int>, counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS):
@@ -128,10 +140,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = one.count()
     unit = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("train")), 11) / float(1 << 53)
     # the hash keeps about `rows`; the limit makes that a proven bound for the broadcast
-    chosen = one.where(unit < min(1.0, rows / max(1, n))).limit(2 * rows)
+    chosen = one.withColumn("_unit", unit).where(F.col("_unit") < min(1.0, rows / max(1, n))).limit(2 * rows)
     found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col)
-    got = bucket_counts(found, id_col, text_col, "_label").collect()
-    got.sort(key=lambda r: (r["label"], len(r["buckets"]), r["buckets"][:8], r["counts"][:8]))
+    counted = stage(bucket_counts(found, id_col, text_col, "_label"), "buckets")
+    got, held = [], 0
+    for r in counted.orderBy("unit", F.size("buckets"), "buckets", "counts").toLocalIterator():
+        held += len(r["buckets"])
+        if held > TRAIN_ENTRIES and got:
+            break
+        got.append(r)
+    drop(counted)
     y = np.array([r["label"] for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
@@ -159,4 +177,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1.0 / (1.0 + np.exp(-logit)))], [id_col, "score"])
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return source.mapInArrow(lean(run), f"`{id_col}` {kind}, score double")
