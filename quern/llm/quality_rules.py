@@ -1,14 +1,15 @@
 """Quality rules: text statistics, and perplexity bands from a modified Kneser-Ney model.
 
-The model is over characters, folded into 64 symbols, because word n-grams of open
-vocabularies are mostly seen once and a document's own words would then judge it.  Spark
-counts the n-grams of every document by language; a language has 64 ** ORDER distinct ones
-at most.  Every language has a model and a band of its own, of the same order at every size
-of the input.  The table of n-grams is ordered by language, and languages are scored in
-passes of PASS_ENTRIES n-grams together (or one language), so the sorted key arrays that
-tasks hold have a proven bound, and what one language gets does not depend on the others.
-Lower orders use continuation counts, each order its own three discounts from its counts of
-counts.
+The model is over characters, every code point for itself (white space is one symbol), since
+tables of word n-grams have no bound that a task could hold.  Spark counts the n-grams of
+every document by language, and from them the continuation counts of the lower orders and
+each order's counts of counts, which give every language and order its own three discounts.
+Every language has a model and a band of its own, of the same order at every size of the
+input.  Tasks hold a model as sorted arrays of packed n-grams.  All n-grams after one
+character belong together, whatever their order, so the table is cut by language and the
+character before the last; it is worked through in passes of PASS_ENTRIES n-grams (or one
+such group), each of which adds the log probabilities of the characters that it knows about.
+So memory has a bound, and neither the bound nor other languages change a result.
 
 A document's perplexity is compared with its language's band, each side of which follows
 from the language's own quartiles: below the first, 2 * WIDTH times its distance from the
@@ -16,68 +17,59 @@ median; above the third, the same with its distance, but WIDTH times the quartil
 at most.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language
-is a language of its own; one row a language reaches the driver; rows that repeat are counted and judged one by one; very long texts are worked
-through in slices; an empty table gives an empty result.
+is a language of its own; one row a language reaches the driver; rows that repeat are
+counted and judged one by one; very long texts are worked through in slices; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import hashing as H
-from quern.llm.scratch import release_shuffles, stage
-
-SYMBOLS, SHIFT = 64, 6
-ORDER = 4
-#: N-grams of the languages scored in one pass (a single language has no more), of those a
-#: task counts before it hands them on, and of those read at once.
-PASS_ENTRIES, HELD_ENTRIES, READ_ENTRIES = 1 << 24, 2_000_000, 4_000_000
+from quern.llm.scratch import drop, release_shuffles, stage
+from quern.llm.workers import lean
+
+#: Bits of a symbol, symbols there can be, and symbols of an n-gram: three fit a 64-bit number.
+SHIFT, SYMBOLS, ORDER = 21, 0x110000, 3
+#: Groups of n-grams a language, by the character before the last.
+GROUPS = 256
+#: N-grams of the highest order in a pass (or one group's), n-grams that a task counts before
+#: it hands them on, and n-grams read at once.
+PASS_ENTRIES, HELD_ENTRIES, READ_ENTRIES = 3_000_000, 1_000_000, 4_000_000
 WIDTH = 3.0
 #: Least reach of a band beyond its quartiles in nats, so that a language of near copies does not
 #: reject the rest.
 LEAST_REACH = 0.05
 #: Base rules: fewer words fail, and so does a larger share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT, WINDOW = 50, 50, 3
-SLICE = 1 << 19  # characters worked on at once
-CONTEXTS = 1 << 14  # contexts estimated at once
+SLICE = 1 << 18  # characters worked on at once
 
 _MARKS = "#*$%&|<>"
-
-
-def _fold() -> np.ndarray:
-    """The symbol of each character below 128: white space 0, letters 1-26 in either case,
-    digits 27, other marks 28-39."""
-    out = np.zeros(128, np.uint8)
-    for c in range(33, 127):
-        ch = chr(c)
-        out[c] = ord(ch.lower()) - 96 if ch.isalpha() else 27 if ch.isdigit() else 28 + c % 12
-    return out
-
-
-_SYMBOL = _fold()
 _IS_MARK = np.zeros(128, bool)
 _IS_MARK[[ord(c) for c in _MARKS]] = True
 _IS_SPACE = np.zeros(128, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACE = 32
 
 
 def symbols(points: np.ndarray) -> np.ndarray:
-    """Symbols 0-63 of code points; those from 128 on are spread over 40-63."""
-    low = np.minimum(points, 127)
-    far = 40 + ((points.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(20)) % np.uint64(24)).astype(np.uint8)
-    return np.where(points < 128, _SYMBOL[low], far.astype(np.uint8)).astype(np.int64)
+    """Symbols of code points: themselves, but one for all white space."""
+    return np.where(_IS_SPACE[np.minimum(points, 127)], _SPACE, points).astype(np.int64)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, str, str]]:
+def _slices(texts: list[str], order: int) -> Iterator[tuple[int, str, str]]:
     """(index, what stands before, piece) of each text, in pieces of SLICE characters."""
     for k, t in enumerate(texts):
         for a in range(0, len(t), SLICE):
-            yield k, t[max(0, a - ORDER + 1) : a], t[a : a + SLICE]
+            yield k, t[max(0, a - order + 1) : a], t[a : a + SLICE]
 
 
 def gram_keys(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,9 +93,9 @@ def gram_keys(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.nda
         real = np.arange(len(s)) - first >= order - 1
         return doc[real], key[real]
 
-    for k, before, piece in _slices(texts):
+    for k, before, piece in _slices(texts, order):
         docs.append(k)
-        held.append((" " * (order - 1) + before)[len(before) :][-(order - 1) :] + piece if order > 1 else piece)
+        held.append((" " * (order - 1) + before)[len(before) :] + piece)
         sizes.append(len(piece))
         room += len(piece)
         if room >= SLICE:
@@ -113,21 +105,39 @@ def gram_keys(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.nda
         yield flush()
 
 
+def _group(key: Column) -> Column:
+    """Group of a packed n-gram, by the character before the last."""
+    return F.pmod(F.shiftright(key, SHIFT).bitwiseAND(F.lit((1 << SHIFT) - 1)), F.lit(GROUPS))
+
+
+def _group_of(key: np.ndarray) -> np.ndarray:
+    return (key >> SHIFT & ((1 << SHIFT) - 1)) % GROUPS
+
+
+def _last(key, n: int):
+    return key & ((1 << (SHIFT * n)) - 1)
+
+
 class KneserNey:
-    """Sorted keys and log probabilities of each order from 1 up, and log backoff weights
-    of contexts; a key has the language above the packed symbols."""
+    """A language's sorted keys and log probabilities of each order from 1 up, and log
+    backoff weights of its contexts."""
 
     def __init__(self, order: int, grams: list[tuple[np.ndarray, np.ndarray]], backoff: list[tuple[np.ndarray, np.ndarray]]):
         self.order, self.grams, self.backoff = order, grams, backoff
 
-    def log_prob(self, language: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def log_prob(self, key: np.ndarray) -> np.ndarray:
         """log P of each key's last symbol after the ones before it."""
-        out = np.full(len(key), -np.log(SYMBOLS))
-        for n in range(1, self.order + 1):
-            full = key & ((1 << (SHIFT * n)) - 1) | language << (SHIFT * n)
-            hit, value = _find(*self.grams[n - 1], full)
-            known, weight = _find(*self.backoff[n - 1], full >> SHIFT)
-            out = np.where(hit, value, out + np.where(known, weight, 0.0))
+        out, left = np.zeros(len(key)), np.arange(len(key))
+        for n in range(self.order, 0, -1):
+            here = _last(key[left], n)
+            hit, value = _find(*self.grams[n - 1], here)
+            out[left[hit]] += value[hit]
+            left, here = left[~hit], here[~hit]
+            if not len(left):
+                return out
+            known, weight = _find(*self.backoff[n - 1], here >> SHIFT)
+            out[left] += np.where(known, weight, 0.0)
+        out[left] -= np.log(SYMBOLS)
         return out
 
 
@@ -138,48 +148,35 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return keys[at] == wanted, values[at]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ from the counts of counts, kept within (0, r)."""
-    n1, n2, n3, n4 = (max(0.5, float((counts == r).sum())) for r in (1, 2, 3, 4))
+def discounts(counts_of_counts: list[int]) -> np.ndarray:
+    """D1, D2, D3+ from the numbers of n-grams with counts 1 to 4, kept within (0, r)."""
+    n1, n2, n3, n4 = (max(0.5, float(n)) for n in counts_of_counts)
     y = n1 / (n1 + 2 * n2)
     d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
     return np.clip(d, [0.1, 0.2, 0.3], [0.9, 1.8, 2.7])
 
 
-def estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> KneserNey:
-    """Modified Kneser-Ney from the counts of the highest order.  Each context's
-    probabilities sum to 1 over the 64 symbols."""
+def estimate(keys: np.ndarray, counts: np.ndarray, single: tuple[np.ndarray, np.ndarray], steps: list[np.ndarray], order: int) -> KneserNey:
+    """Modified Kneser-Ney from the counts of the highest order, the continuation counts of
+    single symbols and each order's discounts.  Each context's probabilities sum to 1 over
+    SYMBOLS.  The keys are all of the language or all in some groups of it."""
     levels = [(keys, counts)]
-    for n in range(order, 1, -1):
-        # distinct left neighbours: drop the first symbol, keep the language
-        k = levels[-1][0]
-        language, packed = k >> (SHIFT * n), k & ((1 << (SHIFT * (n - 1))) - 1)
-        levels.append(np.unique(language << (SHIFT * (n - 1)) | packed, return_counts=True))
-    levels.reverse()
-    grams, backoff = [], []
-    model = KneserNey(0, grams, backoff)
+    for n in range(order - 1, 1, -1):  # distinct left neighbours
+        levels.append(np.unique(_last(levels[-1][0], n), return_counts=True))
+    levels = [single, *reversed(levels)] if order > 1 else [(keys, counts)]
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    backoff: list[tuple[np.ndarray, np.ndarray]] = []
     for n, (k, c) in enumerate(levels, 1):
         rank = np.argsort(k, kind="stable")
-        k, c = k[rank], c[rank].astype(np.float64)
-        d = discounts(c)
-        context, first = np.unique(k >> SHIFT, return_index=True)
-        edges = np.append(first, len(k))
-        value, weight = np.empty(len(k)), np.empty(len(context))
-        model.order = n - 1
-        for i in range(0, len(context), CONTEXTS):
-            j = min(i + CONTEXTS, len(context))
-            kk, cc = k[edges[i] : edges[j]], c[edges[i] : edges[j]]
-            off = np.where(cc >= 3, d[2], np.where(cc >= 2, d[1], d[0]))
-            at = np.repeat(np.arange(j - i), np.diff(edges[i : j + 1]))
-            total, freed = np.bincount(at, cc), np.bincount(at, off)
-            lower = np.exp(model.log_prob(kk >> (SHIFT * n), kk & ((1 << (SHIFT * n)) - 1)))
-            gamma = freed / total
-            value[edges[i] : edges[j]] = np.log((cc - off) / total[at] + gamma[at] * lower)
-            weight[i:j] = np.log(gamma)
-        grams.append((k, value))
-        backoff.append((context, weight))
-        model.order = n
-    return model
+        k, c, d = k[rank], c[rank].astype(np.float64), steps[n - 1]
+        off = np.where(c >= 3, d[2], np.where(c >= 2, d[1], d[0]))
+        context, at = np.unique(k >> SHIFT, return_inverse=True)
+        total, freed = np.bincount(at, c), np.bincount(at, off)
+        gamma = freed / total if len(k) else freed
+        lower = np.exp(KneserNey(n - 1, grams, backoff).log_prob(_last(k, n - 1)))
+        grams.append((k, np.log((c - off) / total[at] + gamma[at] * lower)))
+        backoff.append((context, np.log(gamma)))
+    return KneserNey(order, grams, backoff)
 
 
 def _languages(df: DataFrame, lang_col: str) -> dict[str | None, int]:
@@ -188,67 +185,106 @@ def _languages(df: DataFrame, lang_col: str) -> dict[str | None, int]:
     return {r[0]: k for k, r in enumerate(sizes)}
 
 
+def _by_language(part: pa.RecordBatch, text: int, lang: int, languages: dict) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """(number, rows, texts) of each language of a batch."""
+    texts = [t or "" for t in part.column(text).to_pylist()]
+    number = np.array([languages[x] for x in part.column(lang).to_pylist()], np.int64)
+    for k in np.unique(number):
+        rows = np.flatnonzero(number == k)
+        yield int(k), rows, [texts[r] for r in rows]
+
+
 def count_grams(df: DataFrame, languages: dict, text_col: str, lang_col: str, order: int) -> DataFrame:
-    """(key, c) of all n-grams of all documents, the language's number above the packed
-    symbols, pre-summed in every task."""
+    """(lang, key, c) of all n-grams of all documents, pre-summed in every task."""
     source = df.select(df[lang_col], df[text_col])
 
-    def rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], ["key", "c"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def merged():
+            for lang, parts in held.items():
+                keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                held[lang] = [(keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64))]
+            return sum(len(p[0][0]) for p in held.values())
+
+        def rows():
+            for lang, parts in held.items():
+                for keys, counts in parts:
+                    for k in range(0, len(keys), 100_000):
+                        some = keys[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lang)), pa.array(some), pa.array(counts[k : k + 100_000])], ["lang", "key", "c"])
+
         for b in batches:
             for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                lang = np.array([languages[x] for x in part.column(0).to_pylist()], np.int64)
-                for doc, key in gram_keys([t or "" for t in part.column(1).to_pylist()], order):
-                    u, c = np.unique(lang[doc] << (SHIFT * order) | key, return_counts=True)
-                    keys, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                    counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-                    if len(keys) >= HELD_ENTRIES:
-                        yield from rows(keys, counts)
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield from rows(keys, counts)
-
-    return source.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def passes(table: DataFrame, languages: int, order: int = ORDER) -> list[tuple[int, int, int]]:
-    """(first, end, n-grams) of the ranges of language numbers that are scored together; they
-    cover all ``languages``, also those without an n-gram."""
-    sizes = sorted((r["lang"], r["count"]) for r in table.groupBy(F.shiftright("key", SHIFT * order).alias("lang")).count().collect())
-    out, first, held = [], 0, 0
-    for lang, n in sizes:
-        if held and held + n > PASS_ENTRIES:
-            out.append((first, lang, held))
-            first, held = lang, 0
-        held += n
-    return [*out, (first, languages, held)]
-
-
-def fit(table: DataFrame, first: int, end: int, n: int, order: int = ORDER) -> KneserNey:
-    """The models of languages ``first`` to ``end`` - 1, which have ``n`` n-grams, each
-    estimated by itself, in one set of sorted arrays."""
-    table = table.where((F.col("key") >= first << (SHIFT * order)) & (F.col("key") < end << (SHIFT * order)))
-    keys, counts, at = np.empty(n, np.int64), np.empty(n, np.int64), 0
-    pieces = n // READ_ENTRIES + 1
-    for p in range(pieces):
-        got = (table.where(F.pmod("key", F.lit(pieces)) == p) if pieces > 1 else table).toPandas()
-        keys[at : at + len(got)], counts[at : at + len(got)] = got["key"], got["c"]
-        at += len(got)
-    rank = np.argsort(keys)
-    keys, counts = keys[rank], counts[rank]
-    langs, begin = np.unique(keys >> (SHIFT * order), return_index=True)
-    models = [estimate(keys[a:b] & ((1 << (SHIFT * order)) - 1), counts[a:b], order) for a, b in zip(begin, [*begin[1:], n])]
+                for lang, _, texts in _by_language(b.slice(k, 500), 1, 0, languages):
+                    for _, key in gram_keys(texts, order):
+                        held.setdefault(lang, []).append(np.unique(key, return_counts=True))
+                        size += len(held[lang][-1][0])
+                if size > HELD_ENTRIES:
+                    size = merged()
+                    if 2 * size > HELD_ENTRIES:
+                        yield from rows()
+                        held, size = {}, 0
+        merged()
+        yield from rows()
+
+    return source.mapInArrow(lean(run), "lang long, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+
+
+class Table:
+    """The counted n-grams, and what Spark derives from them: continuation counts of single
+    symbols, discounts by language and order, and ranges of groups that are scored together."""
+
+    def __init__(self, grams: DataFrame, languages: int, order: int):
+        self.grams, self.order = grams, order
+        levels = [grams]
+        for n in range(order - 1, 0, -1):
+            levels.append(levels[-1].select("lang", _last_column("key", n).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("c")))
+        levels.reverse()
+        self.single = stage(levels[0], "symbols") if order > 1 else grams
+        self.steps: list[dict[int, np.ndarray]] = []
+        for level in levels:
+            seen = level.groupBy("lang").agg(*(F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, 5))).collect()
+            self.steps.append({r["lang"]: discounts([r[f"n{x}"] for x in range(1, 5)]) for r in seen})
+        # (first, end, n-grams) of ranges of lang * GROUPS + group, which cover all languages
+        sizes = sorted((r["unit"], r["count"]) for r in grams.groupBy((F.col("lang") * GROUPS + _group(F.col("key"))).alias("unit")).count().collect())
+        self.passes, first, held = [], 0, 0
+        for unit, n in sizes:
+            if held and held + n > PASS_ENTRIES:
+                self.passes.append((first, unit, held))
+                first, held = unit, 0
+            held += n
+        self.passes.append((first, languages * GROUPS, held))
+
+    def models(self, first: int, end: int, n: int) -> dict[int, KneserNey]:
+        """What a pass knows: the n-grams of its groups, by language."""
+        langs = F.col("lang").between(first // GROUPS, (end - 1) // GROUPS)
+        unit = F.col("lang") * GROUPS + _group(F.col("key"))
+        rows = self.grams.where(langs & (unit >= first) & (unit < end))
+        lang, keys, counts = _columns(rows, n)
+        single = self.single.where(langs)
+        lang1, keys1, counts1 = _columns(single, single.count())  # at most SYMBOLS a language
+        out = {}
+        for k in np.unique(lang1).tolist():
+            here, here1 = lang == k, lang1 == k
+            out[k] = estimate(keys[here], counts[here], (keys1[here1], counts1[here1]), [s[k] for s in self.steps], self.order)
+        return out
+
 
-    def joined(parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
-        full = [lang << (SHIFT * width) | k for lang, (k, _) in zip(langs, parts)]
-        return np.concatenate([np.zeros(0, np.int64), *full]), np.concatenate([np.zeros(0), *(v for _, v in parts)])
+def _last_column(key: str, n: int) -> Column:
+    return F.col(key).bitwiseAND(F.lit((1 << (SHIFT * n)) - 1))
 
-    grams = [joined([m.grams[w] for m in models], w + 1) for w in range(order)]
-    return KneserNey(order, grams, [joined([m.backoff[w] for m in models], w) for w in range(order)])
+
+def _columns(table: DataFrame, n: int) -> list[np.ndarray]:
+    """lang, key, c of the ``n`` rows of a table."""
+    out, at, pieces = [np.empty(n, np.int64) for _ in range(3)], 0, n // READ_ENTRIES + 1
+    for p in range(pieces):
+        got = (table.where(F.pmod("key", F.lit(pieces)) == p) if pieces > 1 else table).select("lang", "key", "c").toPandas()
+        for x, c in zip(out, ("lang", "key", "c")):
+            x[at : at + len(got)] = got[c]
+        at += len(got)
+    return out
 
 
 def base_columns(texts: list[str]) -> dict[str, np.ndarray]:
@@ -285,48 +321,74 @@ def base_columns(texts: list[str]) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": chars, "n_symbols": marks, "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
-def measure(df: DataFrame, model: KneserNey, languages: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, language number, the base columns and the log perplexity a character."""
-    shared = df.sparkSession.sparkContext.broadcast((model, languages))  # bounded by PASS_ENTRIES
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def measure(df: DataFrame, models: dict[int, KneserNey], units: tuple[int, int], languages: dict, order: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, text_key, language number, the base columns, characters, and the sum of the log
+    probabilities of the characters that the models' groups know about."""
+    shared = df.sparkSession.sparkContext.broadcast((models, languages))  # bounded by PASS_ENTRIES
     source = df.select(df[id_col], df[text_col], df[lang_col])
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    first, end = units
+    whole = first == 0 and end >= len(languages) * GROUPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, langs = shared.value
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
+                size = part.num_rows
+                total, n, lang = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+                for number, rows, texts in _by_language(part, 1, 2, langs):
+                    lang[rows] = number
+                    for doc, key in gram_keys(texts, order):
+                        n[rows] += np.bincount(doc, minlength=len(rows))
+                        if not whole:
+                            unit = number * GROUPS + _group_of(key)
+                            mine = (unit >= first) & (unit < end)
+                            doc, key = doc[mine], key[mine]
+                        if number in m and len(key):
+                            # n-grams recur, so each distinct one is looked up once
+                            full, at = np.unique(key, return_inverse=True)
+                            total[rows] += np.bincount(doc, m[number].log_prob(full)[at], len(rows))
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                lang = np.array([langs[x] for x in part.column(2).to_pylist()], np.int64)
-                total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-                for doc, key in gram_keys(texts, m.order):
-                    # n-grams recur, so each distinct one is looked up once
-                    full, at = np.unique(lang[doc] << (SHIFT * m.order) | key, return_inverse=True)
-                    value = m.log_prob(full >> (SHIFT * m.order), full & ((1 << (SHIFT * m.order)) - 1))
-                    total += np.bincount(doc, value[at], len(texts))
-                    n += np.bincount(doc, minlength=len(texts))
                 base = base_columns(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(-total / np.maximum(n, 1))], [id_col, "_lang", *names, "log_ppl"])
+                keys = [None if whole else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(lang), *(pa.array(base[c].astype(np.int64)) for c in NAMES), pa.array(n), pa.array(total)], [id_col, "_text", "_lang", *NAMES, "_n", "_total"])
 
-    kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, _lang long, " + ", ".join(f"{c} long" for c in names) + ", log_ppl double")
+    fields = [source.schema[id_col], T.StructField("_text", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("_lang", *NAMES, "_n")), T.StructField("_total", T.DoubleType())]
+    return source.mapInArrow(lean(run), T.StructType(fields))
 
 
 def perplexities(df: DataFrame, id_col: str, text_col: str, lang_col: str, order: int) -> DataFrame:
-    """What ``measure`` gives for all rows, pass by pass."""
+    """id, _lang, the base columns and log_ppl of every row."""
     languages = _languages(df, lang_col)
-    table = stage(count_grams(df, languages, text_col, lang_col, order), "grams")
-    ranges, out = passes(table, len(languages), order), None
-    for first, end, n in ranges:
+    grams = stage(count_grams(df, languages, text_col, lang_col, order), "grams")
+    table = Table(grams, len(languages), order)
+    parts = []
+    for first, end, n in table.passes:
         docs = df
-        if len(ranges) > 1:
-            here = [x for x, k in languages.items() if first <= k < end]
+        if len(table.passes) > 1:
+            here = [x for x, k in languages.items() if first // GROUPS <= k <= (end - 1) // GROUPS]
             docs = df.where(F.col(lang_col).isin([x for x in here if x is not None]) | (F.col(lang_col).isNull() & F.lit(None in here)))
-        part = stage(measure(docs, fit(table, first, end, n, order), languages, id_col, text_col, lang_col), "perplexities")
-        out = part if out is None else out.unionByName(part)
-        if len(ranges) > 1:
+        parts.append(stage(measure(docs, table.models(first, end, n), (first, end), languages, order, id_col, text_col, lang_col), "perplexities"))
+        if len(table.passes) > 1:
             release_shuffles(df.sparkSession)  # and the last pass's models
-    return out
+    drop(grams, table.single)
+    rows = parts[0]
+    if len(parts) > 1:
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        # every pass over a language has seen each of its rows once; equal rows have equal sums
+        times = {}
+        for first, end, _ in table.passes:
+            for k in range(first // GROUPS, (end - 1) // GROUPS + 1):
+                times[k] = times.get(k, 0) + 1
+        seen = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(times.items()) for x in kv)), F.col("_lang").cast("int"))
+        rows = rows.groupBy(id_col, "_text", "_lang", *NAMES, "_n").agg(F.sum("_total").alias("_total"), F.count("*").alias("_times"))
+        copies = (F.col("_times") / seen).cast("int")
+        rows = rows.withColumn("_total", F.col("_total") / copies).withColumn("_times", F.explode(F.array_repeat(F.lit(1), copies)))
+    return rows.select(id_col, "_lang", *NAMES, (-F.col("_total") / F.greatest("_n", F.lit(1))).alias("log_ppl"))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, order: int = ORDER) -> DataFrame:

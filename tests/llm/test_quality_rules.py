@@ -1,7 +1,10 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import quality_rules as Q
@@ -31,21 +34,93 @@ def test_base_columns():
 
 def test_slices_change_nothing(monkeypatch):
     t = texts(40)
-    whole = [np.concatenate(x) for x in zip(*Q.gram_keys(t, 4))]
+    whole = [np.concatenate(x) for x in zip(*Q.gram_keys(t, 3))]
     monkeypatch.setattr(Q, "SLICE", 7)
-    cut = [np.concatenate(x) for x in zip(*Q.gram_keys(t, 4))]
+    cut = [np.concatenate(x) for x in zip(*Q.gram_keys(t, 3))]
     assert all((a == b).all() for a, b in zip(whole, cut))
 
 
+class Brute:
+    """Interpolated modified Kneser-Ney in plain dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = [Counter() for _ in range(order + 1)]
+        for t in texts:
+            for g, _ in self.grams(t):
+                self.counts[order][g] += 1
+        for n in range(order - 1, 0, -1):
+            for g in self.counts[n + 1]:
+                self.counts[n][g[1:]] += 1
+        self.d, self.context = [None], [None]
+        for n in range(1, order + 1):
+            seen = Counter(self.counts[n].values())
+            n1, n2, n3, n4 = (max(0.5, seen[r]) for r in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+            self.d.append([min(max(x, low), high) for x, low, high in zip(d, (0.1, 0.2, 0.3), (0.9, 1.8, 2.7))])
+            of = {}
+            for g, c in self.counts[n].items():
+                total = of.setdefault(g[:-1], [0, 0.0])
+                total[0] += c
+                total[1] += self.off(n, c)
+            self.context.append(of)
+
+    def off(self, n, c):
+        return self.d[n][min(c, 3) - 1] if c else 0.0
+
+    def grams(self, text):
+        t = " " * (self.order - 1) + re.sub(r"[\x20\x09-\x0D]", " ", text or "")
+        return [(t[k : k + self.order], None) for k in range(len(t) - self.order + 1)]
+
+    def p(self, g):
+        if not g:
+            return 1 / 0x110000
+        n, got = len(g), self.context[len(g)].get(g[:-1])
+        if got is None:
+            return self.p(g[1:])
+        c = self.counts[n][g]
+        return (c - self.off(n, c)) / got[0] + got[1] / got[0] * self.p(g[1:])
+
+    def log_ppl(self, text):
+        gs = self.grams(text)
+        return -sum(math.log(self.p(g)) for g, _ in gs) / max(1, len(gs))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_model_against_brute_force(spark, monkeypatch, order):
+    """Counts, continuation counts, discounts, perplexities; scripts are not folded together."""
+    rng = random.Random(order)
+    alphabets = ["abcde  .,", "абвгд  ,", "日本語文字の  。", "xyz\t\n "]
+    rows = []
+    for k in range(120):
+        letters = alphabets[k % 4]
+        rows.append((k, "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 40, 300]))), ["en", "ru", "ja", None][k % 4]))
+    rows += [(200, None, "en"), (201, None, "none"), (3, rows[3][1], None), (3, rows[3][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    models = {lang: Brute([t for _, t, x in rows if x == lang], order) for lang in {r[2] for r in rows}}
+    want = sorted((k, round(models[x].log_ppl(t), 9)) for k, t, x in rows)
+    told = lambda: sorted((r["doc_id"], round(r["log_ppl"], 9)) for r in Q.perplexities(df, "doc_id", "text", "lang", order).collect())
+    got = told()
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-7 for a, b in zip(got, want))
+    for name, n in (("PASS_ENTRIES", 60), ("HELD_ENTRIES", 20), ("READ_ENTRIES", 50), ("SLICE", 31)):
+        monkeypatch.setattr(Q, name, n)
+    parts = told()  # in many passes, languages cut among them
+    assert len(parts) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-7 for a, b in zip(parts, want))
+
+
 def test_probabilities_sum_to_one():
-    doc, key = (np.concatenate(x) for x in zip(*Q.gram_keys(texts(), 3)))
-    lang = doc % 2
-    k, c = np.unique(lang << 18 | key, return_counts=True)
-    m = Q.estimate(k, c, 3)
-    for context in [0, *np.unique(key >> 6)[::7], 63 * 64 + 5]:
-        for language in (0, 1):
-            full = (context << 6) | np.arange(64)
-            assert abs(np.exp(m.log_prob(np.full(64, language), full)).sum() - 1) < 1e-9
+    t = texts()
+    b = Brute(t, 3)
+    symbols = sorted({g[-1] for g in b.counts[1]})
+    for context in ["  ", "a ", "日本", "éb", "zz", "#a"]:
+        rest = 0x110000 - len(symbols)
+        assert abs(sum(b.p(context + c) for c in symbols) + rest * b.p(context + "\U0010fffd") - 1) < 1e-9
+
+
+def test_symbols_of_all_scripts_stay_apart():
+    text = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "ابتثجحخدذرزسشصضطظعغفقكلمنهوي" + "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))
+    assert len(np.unique(Q.symbols(np.array([ord(c) for c in text], np.uint32)))) == len(text)
 
 
 def test_table(spark):
@@ -73,12 +148,10 @@ def test_model_of_a_language_depends_on_its_own_rows_alone(spark, monkeypatch):
         for k, r in told(df.where(F.col("lang") == lang)).items():
             for c in ("perplexity", "low_perplexity", "high_perplexity"):
                 assert abs(whole[k][c] - r[c]) < 1e-9
-    # neither bounds of memory nor the former MAX_ENTRIES change the result
-    monkeypatch.setattr(Q, "MAX_ENTRIES", 10, raising=False)
-    monkeypatch.setattr(Q, "PASS_ENTRIES", 5000, raising=False)
-    monkeypatch.setattr(Q, "HELD_ENTRIES", 50, raising=False)
-    monkeypatch.setattr(Q, "READ_ENTRIES", 700, raising=False)
-    monkeypatch.setattr(Q, "CONTEXTS", 9, raising=False)
+    # no bound of memory changes the result
+    monkeypatch.setattr(Q, "PASS_ENTRIES", 5000)
+    monkeypatch.setattr(Q, "HELD_ENTRIES", 50)
+    monkeypatch.setattr(Q, "READ_ENTRIES", 700)
     parts = told(df)
     assert len(parts) == 142
     for k, r in whole.items():
