@@ -4,7 +4,8 @@ A document's set is its distinct word shingles.  Two permutations of 32-bit numb
 all signature coordinates: the first scatters the shingles, the second is shifted around
 its circle by k for coordinate k.  Documents that agree on all coordinates of a band are
 candidates.  Every link is confirmed on the full sets, 100 * intersection >= threshold *
-union, and components of confirmed links give each document its class.
+union, and components of confirmed links give each document its class.  Words are known by
+64-bit hashes (see ``hashing``).
 
 Nothing emits all pairs of a group.  Documents with equal sets are one node, and a node's
 shingles that no other candidate has bound what it can be linked to: nodes with too many of
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from quern.llm import hashing as H
 from quern.llm.scratch import drop, release_shuffles, stage
+from quern.llm.workers import lean
 
 WORDS, THRESHOLD = 5, 80
 #: A pair at Jaccard 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
@@ -123,7 +125,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                         keys[i], hashes[i], sigs[i] = _set_key(sets[i]), H.signed(key[j]), low[j].view(np.int8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int8()))], ["id", "n", "set_key", "bands", "sig"])
 
-    return source.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sig array<tinyint>")
+    return source.mapInArrow(lean(run), "id long, n long, set_key binary, bands array<long>, sig array<tinyint>")
 
 
 def _sets_of(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -140,7 +142,7 @@ def _sets_of(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
                 blobs = pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3), kept.column(4), blobs], ["node", "n", "sig", "set"])
 
-    return found.mapInArrow(run, "node long, n long, sig array<tinyint>, set binary").dropDuplicates(["node", "sig", "n"])
+    return found.mapInArrow(lean(run), "node long, n long, sig array<tinyint>, set binary").dropDuplicates(["node", "sig", "n"])
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -169,7 +171,7 @@ def _facts(sets: DataFrame) -> DataFrame:
                 h = np.concatenate([np.zeros(0, H.U64), *found])
                 yield pa.RecordBatch.from_arrays([pa.array(H.signed(h)), pa.array(node, pa.int64())], ["h", "node"])
 
-    each = sets.select("node", "set").mapInArrow(run, "h long, node long")
+    each = sets.select("node", "set").mapInArrow(lean(run), "h long, node long")
     own = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("top")).where("node = top").groupBy("node").agg(F.count("*").alias("own"))
     sizes = sets.groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("texts"))
     own_ = F.when(F.col("texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0)
@@ -188,11 +190,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int, least: float) ->
     meta = sets.select("node", "n", "sig")
     left, right = meta.toDF("a", "na", "sa"), meta.toDF("b", "nb", "sb")
     p = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    p = stage(p.where(_agreement(F.col("sa"), F.col("sb")) >= least).select("a", "b", "na", "nb").distinct(), "likely")
+    # pairs that several texts of a node repeat stay: a distinct here would keep Spark from splitting
+    # the tasks of a node with many pairs
+    p = stage(p.where(_agreement(F.col("sa"), F.col("sb")) >= least).select("a", "b", "na", "nb"), "likely")
     blob = sets.select("node", "n", "set")
     both = p.join(blob.toDF("a", "na", "xa"), ["a", "na"]).join(blob.toDF("b", "nb", "xb"), ["b", "nb"])
     common = both.select("a", "b", "na", "nb", _common("xa", "xb").alias("c"))
-    return common.where(100 * F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b").distinct()
+    return common.where(100 * F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame | None:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.scratch import new_path, release_shuffles, stage
+from quern.llm.workers import lean
 
 #: Payload bytes a shard aims at; shards are MIN_SHARDS at least and MAX_SHARDS at most.
 SHARD_BYTES, MIN_SHARDS, MAX_SHARDS = 16 << 20, 32, 20_000
@@ -184,7 +185,7 @@ def write_warc(df: DataFrame, folder: str, key_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done]) for i in range(5)], ["temp", "name", "records", "bytes", "sha256"])
 
     manifest = f"{folder}/_manifest"
-    flat.mapInArrow(run, _MANIFEST).write.parquet(manifest)
+    flat.mapInArrow(lean(run), _MANIFEST).write.parquet(manifest)
     release_shuffles(spark)
     table = spark.read.schema(_MANIFEST).parquet(manifest)
     _commit(table, folder)
@@ -285,7 +286,7 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds)], names)
 
-    return files.select("temp", "name").repartition(n, "name").mapInArrow(run, schema)
+    return files.select("temp", "name").repartition(n, "name").mapInArrow(lean(run), schema)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:
