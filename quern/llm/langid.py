@@ -171,16 +171,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(H.signed(key[at])), pa.array(lang[word[at]]), pa.array(total)], ["n", "key", "lang", "c"])
 
     # the whole vocabulary of the sample, which DOCS_PER_LANGUAGE bounds
-    got = words.mapInArrow(lean(grams), "n int, key long, lang long, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c")).toPandas()
+    got = words.mapInArrow(lean(grams), "n int, key long, lang long, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c")).toArrow()
+    order_of, key_of, lang_of, count_of = (got.column(c).to_numpy() for c in ("n", "key", "lang", "c"))
     drop(words)
     # a language that has shown no word is not learnt
-    shown = np.unique(got["lang"])
+    shown = np.unique(lang_of)
     languages = [languages[k] for k in shown]
-    got["lang"] = np.searchsorted(shown, got["lang"])
+    lang_of = np.searchsorted(shown, lang_of)
     tables, floors = [], np.zeros((MAX_N + 1, len(languages)))
     for n in range(MAX_N + 1):
-        here = got[got["n"] == n]
-        key, lang, c = here["key"].to_numpy().view(H.U64), here["lang"].to_numpy(), here["c"].to_numpy()
+        here = order_of == n
+        key, lang, c = key_of[here].view(H.U64), lang_of[here], count_of[here]
         floors[n] = np.log(FLOOR) - np.log(np.maximum(1, np.bincount(lang, c, len(languages))))
         if n == 0:
             often = c >= MIN_COUNT

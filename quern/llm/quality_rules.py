@@ -280,10 +280,10 @@ def _columns(table: DataFrame, n: int) -> list[np.ndarray]:
     """lang, key, c of the ``n`` rows of a table."""
     out, at, pieces = [np.empty(n, np.int64) for _ in range(3)], 0, n // READ_ENTRIES + 1
     for p in range(pieces):
-        got = (table.where(F.pmod("key", F.lit(pieces)) == p) if pieces > 1 else table).select("lang", "key", "c").toPandas()
+        got = (table.where(F.pmod("key", F.lit(pieces)) == p) if pieces > 1 else table).select("lang", "key", "c").toArrow()
         for x, c in zip(out, ("lang", "key", "c")):
-            x[at : at + len(got)] = got[c]
-        at += len(got)
+            x[at : at + got.num_rows] = got.column(c).to_numpy()
+        at += got.num_rows
     return out
 
 
