@@ -1,8 +1,10 @@
 """Boxes: overlap, matching, suppression, and decoding of detector output.
 
 A box is four columns or numbers x, y, w, h with (x, y) its centre.  Pairs of overlapping
-boxes come from an equi-join on grid cells, so only neighbours meet; the greedy parts run
-per image in one task, because each choice depends on the ones before it.
+boxes come from an equi-join on grid cells, so only neighbours meet.  Greedy matching and
+suppression work image by image where all images are small, and otherwise in rounds over the
+pairs of overlapping boxes, each of which settles every choice that no open one comes before;
+both give the same rows.
 """
 
 from __future__ import annotations
@@ -12,7 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.staging import drop, stage
+
 BOX = ("x", "y", "w", "h")
+#: Boxes, or pairs, of one group that a task takes whole.
+SMALL_GROUP = 50_000
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -32,10 +38,18 @@ def corners(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.array(x - w / 2.0, y - h / 2.0, x + w / 2.0, y + h / 2.0)
 
 
-def iou_pairs(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, threshold: float, cell: float) -> DataFrame:
+def mean_side(*tables: DataFrame) -> float:
+    """The mean side of the boxes, which makes a good cell."""
+    sides = [df.agg(F.sum(F.col("w") + F.col("h")).alias("s"), F.count("*").alias("n")).first() for df in tables]
+    n = 2 * sum(r["n"] for r in sides)
+    return max(1e-9, sum(r["s"] or 0.0 for r in sides) / n) if n else 1.0
+
+
+def iou_pairs(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, threshold: float, cell: float | None = None) -> DataFrame:
     """(group, left_id, right_id, iou) of pairs in the same group with iou >= threshold > 0.
-    Every box goes to the grid cells it touches, of side ``cell`` (about a box's size); a pair
-    counts in the cell that holds the lower corner of its intersection."""
+    Every box goes to the grid cells it touches, whose side is ``cell`` or the boxes' mean
+    side; a pair counts in the cell that holds the lower corner of its intersection."""
+    cell = cell or mean_side(left, right)
 
     def spread(df: DataFrame, suffix: str) -> DataFrame:
         def span(p: str, s: str) -> Column:
@@ -50,9 +64,15 @@ def iou_pairs(left: DataFrame, right: DataFrame, group: str, left_id: str, right
     return both.where(home[0] & home[1]).withColumn("iou", iou(a, b)).where(F.col("iou") >= threshold).select(group, F.col(left_id + "_l").alias(left_id), F.col(right_id + "_r").alias(right_id), "iou")
 
 
-def greedy_match(pairs: DataFrame, group: str, left_id: str, right_id: str) -> DataFrame:
+def _largest(df: DataFrame, group: list[str]) -> int:
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
+def greedy_match(pairs: DataFrame, group: str, left_id: str, right_id: str, small: int = SMALL_GROUP) -> DataFrame:
     """One-to-one matches of each group, best iou first; ties by the ids."""
     schema = pairs.schema
+    if _largest(pairs, [group]) > small:
+        return _match_in_rounds(pairs, group, left_id, right_id)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["iou", left_id, right_id], ascending=[False, True, True])
@@ -67,6 +87,23 @@ def greedy_match(pairs: DataFrame, group: str, left_id: str, right_id: str) -> D
     return pairs.groupBy(group).applyInPandas(run, schema)
 
 
+def _match_in_rounds(pairs: DataFrame, group: str, left_id: str, right_id: str) -> DataFrame:
+    """Every round takes the pairs that are the best of both their boxes."""
+    live, out = stage(pairs, "pairs"), None
+    best = F.max_by(F.struct(left_id, right_id), F.struct("iou", -F.col(left_id), -F.col(right_id)))
+    while not live.isEmpty():
+        of_left = live.groupBy(group, left_id).agg(best.alias("p")).select(group, "p")
+        of_right = live.groupBy(group, right_id).agg(best.alias("p")).select(group, "p")
+        both = stage(of_left.intersect(of_right).select(group, "p.*"), "matched")
+        taken = live.join(both, [group, left_id, right_id], "left_semi")
+        out = taken if out is None else out.unionByName(taken)
+        rest = live.join(both.select(group, left_id), [group, left_id], "left_anti").join(both.select(group, right_id), [group, right_id], "left_anti")
+        out = stage(out, "matches")
+        last, live = live, stage(rest, "pairs")
+        drop(last, both)
+    return out if out is not None else pairs
+
+
 def location_metrics(labels: DataFrame, predictions: DataFrame, matches: DataFrame, by: str | None = None) -> DataFrame:
     """sensitivity, precision and f1 of matched boxes (by class where ``by`` names it, for the
     classes that labels have); an empty denominator gives 1."""
@@ -86,6 +123,29 @@ def location_metrics(labels: DataFrame, predictions: DataFrame, matches: DataFra
     return all_.select(*keys, "n_labels", "n_predictions", "n_matches", over(m, n).alias("sensitivity"), over(m, p).alias("precision"), over(2 * m, n + p).alias("f1"))
 
 
+def all_metrics(labels: DataFrame, predictions: DataFrame, image: str, label_id: str, pred_id: str, threshold: float) -> DataFrame:
+    """One row for all classes together (class null) and one for each class that labels have:
+    counts, sensitivity, precision, f1 of the greedy matches.  Over all classes boxes match
+    whatever their classes, and class_accuracy and global_f1 say how many agree."""
+
+    def matched(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+        pairs = iou_pairs(a, b, group, label_id, pred_id, threshold)
+        return greedy_match(pairs.withColumn("iou", F.round("iou", 9)), group, label_id, pred_id)
+
+    over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(1.0))
+    keys = labels.select(label_id, F.col("class").alias("_l")), predictions.select(pred_id, F.col("class").alias("_p"))
+    found = matched(labels, predictions, image).join(keys[0], label_id).join(keys[1], pred_id)
+    whole = found.agg(F.count("*").alias("m"), F.coalesce(F.sum((F.col("_l") == F.col("_p")).cast("long")), F.lit(0)).alias("c"))
+    whole = whole.join(labels.agg(F.count("*").alias("n"))).join(predictions.agg(F.count("*").alias("p")))  # single rows
+    facts = whole.select(F.lit(None).cast("string").alias("class"), "n", "p", "m", over("c", "m").alias("class_accuracy"), F.coalesce(F.try_divide(2 * F.col("c"), F.col("n") + F.col("p")), F.lit(1.0)).alias("global_f1"))
+    cell = lambda df: df.withColumn("_cell", F.struct(F.col(image).alias("image"), F.col("class").alias("class")))
+    own = matched(cell(labels), cell(predictions), "_cell").groupBy(F.col("_cell.class").alias("class")).agg(F.count("*").alias("m"))
+    by = labels.groupBy("class").agg(F.count("*").alias("n")).join(predictions.groupBy("class").agg(F.count("*").alias("p")), "class", "left").join(own, "class", "left").fillna(0)
+    both = facts.unionByName(by.select("class", "n", "p", "m"), allowMissingColumns=True)
+    f1 = F.coalesce(F.try_divide(2 * F.col("m"), F.col("n") + F.col("p")), F.lit(1.0))
+    return both.select("class", F.col("n").alias("n_labels"), F.col("p").alias("n_predictions"), F.col("m").alias("n_matches"), over("m", "n").alias("sensitivity"), over("m", "p").alias("precision"), f1.alias("f1"), "class_accuracy", "global_f1")
+
+
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low = np.maximum((a[:, None, :2] - a[:, None, 2:] / 2), (b[None, :, :2] - b[None, :, 2:] / 2))
     high = np.minimum((a[:, None, :2] + a[:, None, 2:] / 2), (b[None, :, :2] + b[None, :, 2:] / 2))
@@ -104,9 +164,11 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> list[in
     return kept
 
 
-def non_maximum_suppression(df: DataFrame, group: list[str], score: str, id_col: str, threshold: float) -> DataFrame:
+def non_maximum_suppression(df: DataFrame, group: list[str], score: str, id_col: str, threshold: float, small: int = SMALL_GROUP) -> DataFrame:
     """Boxes that no better box of their group overlaps by ``threshold`` or more.  Give the
     class among ``group`` where boxes of different classes may overlap."""
+    if _largest(df, group) > small:
+        return _suppress_in_rounds(df, group, score, id_col, threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, id_col], ascending=[False, True]).reset_index(drop=True)
@@ -115,6 +177,31 @@ def non_maximum_suppression(df: DataFrame, group: list[str], score: str, id_col:
     return df.groupBy(*group).applyInPandas(run, df.schema)
 
 
+def _suppress_in_rounds(df: DataFrame, group: list[str], score: str, id_col: str, threshold: float) -> DataFrame:
+    """Every round keeps the boxes that no open better box overlaps, and drops those that a
+    kept one overlaps."""
+    one = df.withColumn("_group", F.struct(*group))
+    a, b = (one.select("_group", F.col(id_col).alias(n), F.col(score).alias("score" + n), *BOX) for n in ("_a", "_b"))
+    near = iou_pairs(a, b, "_group", "_a", "_b", threshold)
+    scores = one.select("_group", F.col(id_col), F.col(score).alias("_s"))
+    for n in ("_a", "_b"):
+        near = near.join(scores.select("_group", F.col(id_col).alias(n), F.col("_s").alias("_s" + n)), ["_group", n])
+    better = (F.col("_s_a") > F.col("_s_b")) | ((F.col("_s_a") == F.col("_s_b")) & (F.col("_a") < F.col("_b")))
+    edges = stage(near.where(better).select("_group", "_a", "_b"), "edges")  # _a comes before _b
+    gone = None
+    while not edges.isEmpty():
+        ahead = edges.select("_group", "_a").distinct().join(edges.select("_group", F.col("_b").alias("_a")), ["_group", "_a"], "left_anti")
+        lost = stage(edges.join(ahead, ["_group", "_a"], "left_semi").select("_group", F.col("_b").alias("_x")).distinct(), "lost")
+        gone = lost if gone is None else stage(gone.unionByName(lost), "gone")
+        rest = edges.join(lost, (edges["_group"] == lost["_group"]) & (F.col("_a") == F.col("_x")), "left_anti")
+        rest = rest.join(lost, (rest["_group"] == lost["_group"]) & (F.col("_b") == F.col("_x")), "left_anti")
+        last, edges = edges, stage(rest.join(ahead, ["_group", "_a"], "left_anti"), "edges")
+        drop(last)
+    if gone is None:
+        return df
+    return one.join(gone, (one["_group"] == gone["_group"]) & (F.col(id_col) == F.col("_x")), "left_anti").select(*df.columns)
+
+
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
@@ -181,3 +268,79 @@ def realize_labels(objects: DataFrame, image: str, position: str, grid: tuple[in
     cells = objects.select(image, position, "class", F.floor(cx).alias("col"), F.floor(cy).alias("row"), (cx - F.floor(cx)).alias("dx"), (cy - F.floor(cy)).alias("dy"), (F.col("w") / width).alias("fw"), (F.col("h") / height).alias("fh"))
     last = F.max_by(F.struct("dx", "dy", "fw", "fh", "class"), position).alias("o")
     return cells.groupBy(image, "col", "row").agg(last).select(image, "col", "row", "o.dx", "o.dy", "o.fw", "o.fh", F.lit(1.0).alias("confidence"), "o.class")
+
+
+# -- anchors and the detection loss -----------------------------------------------------------------
+
+#: Fixed values of the detector: grid, weights of the loss, anchor sizes (width, height).
+GRID = (13, 13)
+SCALE_NO_OBJECT, SCALE_CONFIDENCE, SCALE_COORDINATES, SCALE_CLASS = 0.5, 5.0, 5.0, 1.0
+ANCHORS = ((1.08, 1.19), (3.42, 4.41), (6.63, 11.38), (9.42, 5.11), (16.62, 10.52))
+
+
+def select_anchor(ious: Column) -> Column:
+    """1 at every anchor with the best overlap, zeros where nothing overlaps."""
+    return F.transform(ious, lambda x: F.when((F.array_max(ious) > 0) & (x == F.array_max(ious)), 1.0).otherwise(0.0))
+
+
+class Detection:
+    """Predictions and truth of a grid of cells with a box for each anchor: x, y, w, h,
+    confidence and class scores, in this order.  Batches are rows x (columns * rows * anchors *
+    entries)."""
+
+    def __init__(self, grid=GRID, anchors=ANCHORS, no_object: float = SCALE_NO_OBJECT, confidence: float = SCALE_CONFIDENCE, coordinates: float = SCALE_COORDINATES, classes: float = SCALE_CLASS):
+        self.grid, self.anchors = tuple(grid), np.asarray(anchors, float).reshape(-1, 2)
+        self.scales = no_object, confidence, coordinates, classes
+
+    def cells(self, flat: np.ndarray) -> np.ndarray:
+        flat = np.asarray(flat, float)
+        return flat.reshape(len(flat), self.grid[0] * self.grid[1], len(self.anchors), -1)
+
+    def formatted(self, flat: np.ndarray) -> np.ndarray:
+        """Offsets and confidence through the logistic function, sizes as roots of the share of
+        the image, class probabilities."""
+        t = self.cells(flat)
+        out = _sigmoid(t)
+        out[..., 2:4] = np.sqrt(np.exp(t[..., 2:4]) * self.anchors / np.array(self.grid, float))
+        e = np.exp(t[..., 5:] - t[..., 5:].max(axis=-1, keepdims=True))
+        out[..., 5:] = e / e.sum(axis=-1, keepdims=True)
+        return out
+
+    def weights(self, formatted: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        """What each entry's error weighs: the anchors that fit a cell's truth best answer for
+        it, all others only for their confidence."""
+        a, b = formatted[..., :4], truth[..., :4]
+        low = np.maximum(a[..., :2] - a[..., 2:] / 2, b[..., :2] - b[..., 2:] / 2)
+        high = np.minimum(a[..., :2] + a[..., 2:] / 2, b[..., :2] + b[..., 2:] / 2)
+        inter = np.prod(np.maximum(high - low, 0), axis=-1)
+        union = np.prod(a[..., 2:], axis=-1) + np.prod(b[..., 2:], axis=-1) - inter
+        iou_ = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+        best = iou_.max(axis=-1, keepdims=True)
+        mine = ((iou_ == best) & (best > 0))[..., None]
+        no_object, confidence, coordinates, classes = self.scales
+        entries = formatted.shape[-1]
+        answer = np.array([coordinates] * 4 + [confidence] + [classes] * (entries - 5))
+        other = np.array([0.0] * 4 + [no_object] + [0.0] * (entries - 5))
+        return np.where(mine, answer, other)
+
+    def loss(self, flat: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's loss, and its gradient at the raw predictions; the weights are taken as
+        given."""
+        f, t = self.formatted(flat), self.cells(truth)
+        w = self.weights(f, t)
+        error = w * (f - t)
+        grad = 2.0 * error * f * (1.0 - f)
+        grad[..., 2:4] = error[..., 2:4] * f[..., 2:4]
+        p = f[..., 5:]
+        grad[..., 5:] = 2.0 * p * (error[..., 5:] - (p * error[..., 5:]).sum(axis=-1, keepdims=True))
+        return (w * (f - t) ** 2).sum(axis=(1, 2, 3)), grad.reshape(len(f), -1)
+
+    def table_loss(self, df: DataFrame, pred: str, truth: str, name: str = "loss") -> DataFrame:
+        """Adds the loss of every row of two ARRAY<DOUBLE> columns."""
+        run = lambda a, b: pd.Series(self.loss(np.stack(list(a)), np.stack(list(b)))[0] if len(a) else np.zeros(0))
+
+        @F.pandas_udf("double")
+        def value(a: pd.Series, b: pd.Series) -> pd.Series:
+            return run(a, b)
+
+        return df.withColumn(name, value(pred, truth))

@@ -93,9 +93,8 @@ def eer_accuracy(df: DataFrame, y: str, estimate: str, bins: int = 100) -> DataF
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """actual, predicted, n for every pair of class names, zero where there is none."""
-    names = df.select(F.explode(F.array(actual, predicted)).alias("c")).distinct()
-    n = [r[0] for r in names.collect()]  # the classes
-    grid = df.sparkSession.createDataFrame([(a, b) for a in n for b in n], f"actual {df.schema[actual].dataType.simpleString()}, predicted {df.schema[predicted].dataType.simpleString()}")
+    names = df.select(F.explode(F.array(actual, predicted)).alias("c")).agg(F.collect_set("c").alias("c"))  # the classes
+    grid = names.select("c", F.explode("c").alias("actual")).select("actual", F.explode("c").alias("predicted"))
     counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
     return grid.join(counts, ["actual", "predicted"], "left").fillna(0, ["n"])
 

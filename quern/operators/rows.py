@@ -1,8 +1,9 @@
 """Row numbers, batches, samples and splits, without a global window.
 
-A row number over a whole table comes from two passes: a histogram over key ranges gives each
-range its first number, and a window inside each range numbers its rows.  Ranges come from
-approximate quantiles, so they are about equal whatever the key's distribution; rows that
+A row number over a whole table, or over a class that holds most of it, comes from two
+passes: a histogram over key ranges gives each range its first number, and a window inside
+each (class and) range numbers its rows.  Ranges come from approximate quantiles, so they are
+about equal whatever the key's distribution, and their number follows the table's; rows that
 share one key are told apart by the tie columns within their range.
 """
 
@@ -10,28 +11,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of a numbering; a row number's window holds a range at a time.
-RANGES = 256
+#: Ranges of a numbering, and the rows that one aims at; a window holds a range at a time.
+MIN_RANGES, MAX_RANGES, ROWS_A_RANGE = 64, 16_384, 1_000_000
 
 
-def number_rows(df: DataFrame, key: str, *ties: str, name: str = "row", ranges: int = RANGES) -> DataFrame:
-    """Adds ``name``: 0, 1, ... in the order of key, then ties."""
-    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
+def key_range(df: DataFrame, key: str, rows: int, least: int = MIN_RANGES) -> Column:
+    """The number of the key's range: how many of the quantiles lie below it."""
+    ranges = min(MAX_RANGES, max(least, -(-rows // ROWS_A_RANGE)))
+    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"]
     bounds = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    marked = df.withColumn("_range", bucket)
-    counts = {r["_range"]: r["count"] for r in marked.groupBy("_range").count().collect()}  # a row a range
-    first, run = {}, 0
-    for k in sorted(counts):
-        first[k] = run
-        run += counts[k]
-    start = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("_range")) if first else F.lit(0)
-    window = W.partitionBy("_range").orderBy(key, *ties)
-    return marked.withColumn(name, start.cast("long") + F.row_number().over(window) - 1).drop("_range")
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    at = F.array(*map(F.lit, bounds))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(at, n + step - 1) < F.col(key), n + step).otherwise(n))
+
+
+def number_rows(df: DataFrame, key: str, *ties: str, name: str = "row", by: str | None = None) -> DataFrame:
+    """Adds ``name``: 0, 1, ... in the order of key, then ties; within each ``by`` if given."""
+    marked = df.withColumn("_q_range", key_range(df, key, df.count()))
+    marked = marked.withColumn("_q_by", F.col(by) if by else F.lit(0))
+    counts = marked.groupBy("_q_by", "_q_range").agg(F.count("*").alias("_q_c"))
+    # a row a class and range
+    before = F.sum("_q_c").over(W.partitionBy("_q_by").orderBy("_q_range").rowsBetween(W.unboundedPreceding, -1))
+    start = counts.select(F.col("_q_by").alias("_q_b"), F.col("_q_range").alias("_q_r"), F.coalesce(before, F.lit(0)).alias("_q_first"))
+    within = F.row_number().over(W.partitionBy("_q_by", "_q_range").orderBy(key, *ties))
+    rows = marked.join(start, F.col("_q_by").eqNullSafe(F.col("_q_b")) & (F.col("_q_range") == F.col("_q_r")))
+    return rows.withColumn(name, (F.col("_q_first") + within - 1).cast("long")).drop("_q_range", "_q_by", "_q_b", "_q_r", "_q_first")
 
 
 def batches(df: DataFrame, size: int, key: str, *ties: str) -> DataFrame:
@@ -55,6 +65,22 @@ def pad_to_batch(df: DataFrame, size: int, key: str, *ties: str) -> DataFrame:
     return rows.unionByName(extra)
 
 
+def full_batches(df: DataFrame, size: int, key: str, *ties: str) -> DataFrame:
+    """``batches``, of which there must be one at least."""
+    if df.limit(size).count() < size:
+        raise ValueError(f"no full batch: the table has fewer than {size} rows")
+    return batches(df, size, key, *ties)
+
+
+def augmented(df: DataFrame, streams: dict[str, Column], whole: bool = True, batch: str = "batch_id") -> DataFrame:
+    """Adds columns that are made from others: of a row alone, or with aggregates over the whole
+    table (as losses need) or over each batch."""
+    out = {}
+    for name, column in streams.items():
+        out[name] = column(W.partitionBy() if whole else W.partitionBy(batch)) if callable(column) and not isinstance(column, Column) else column
+    return df.withColumns(out)
+
+
 def inverse_label_counts(df: DataFrame, batch: str, label: str) -> DataFrame:
     """Adds inverse_count: 1 / rows of the batch with the same label."""
     counts = df.groupBy(batch, label).agg((1.0 / F.count("*")).alias("inverse_count"))
@@ -85,15 +111,15 @@ def holdout(df: DataFrame, id_col: str, percent: int = 90, salt: int = 7919, mod
 
 def class_split(df: DataFrame, label: str, id_col: str, test: float = 0.3) -> DataFrame:
     """Adds is_test: the first floor(test * n) rows of each class by id."""
-    n = df.groupBy(label).agg(F.floor(F.count("*") * test).alias("_n"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(id_col))
-    return df.withColumn("_r", rank).join(n, label).withColumn("is_test", F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    n = df.groupBy(label).agg(F.floor(F.count("*") * test).alias("_n")).withColumnRenamed(label, "_l")
+    numbered = number_rows(df, id_col, name="_r", by=label)
+    return numbered.join(n, F.col(label).eqNullSafe(F.col("_l"))).withColumn("is_test", F.col("_r") < F.col("_n")).drop("_r", "_n", "_l")
 
 
 def class_rounds(df: DataFrame, label: str, key: str, *ties: str) -> DataFrame:
     """Adds turn: a row's place in its class.  Ordered by (turn, class), the rows are the
     classes' round-robin."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(label).orderBy(key, *ties)) - 1)
+    return number_rows(df, key, *ties, name="turn", by=label)
 
 
 def balanced(df: DataFrame, label: str, key: str, *ties: str) -> DataFrame:

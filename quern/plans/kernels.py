@@ -62,6 +62,16 @@ def _lrn(x: np.ndarray, o: dict) -> tuple[np.ndarray, np.ndarray]:
     return x * base ** -o["beta"], base
 
 
+def _channels_last(x: np.ndarray, shape) -> np.ndarray:
+    """(rows, channels * cells) -> (rows * cells, channels)."""
+    return x.reshape(len(x), shape[0], -1).transpose(0, 2, 1).reshape(-1, shape[0])
+
+
+def _planes(x: np.ndarray, n: int, shape) -> np.ndarray:
+    """Its inverse."""
+    return x.reshape(n, -1, shape[0]).transpose(0, 2, 1).reshape(n, -1)
+
+
 def forward(net, layer, ins, training, rng):
     o, kind, x = layer.options, layer.type, ins[0]
     p = {k.split(".", 1)[1]: v for k, v in net.parameters.items() if k.startswith(layer.id + ".")}
@@ -107,13 +117,17 @@ def forward(net, layer, ins, training, rng):
         count = (taps >= 0).sum(axis=1) if o["op"] == "avg-exc-pad" else np.full(len(taps), taps.shape[1])
         return (got.sum(axis=3) / np.maximum(count, 1)).reshape(n, -1), (count, taps)
     if kind == "batch_normalization":
+        x = _channels_last(x, shape) if o["mode"] == "spatial" else x
         if training:
             mean, var = x.mean(axis=0), x.var(axis=0)
-            sample = var * n / max(1, n - 1)
+            sample = var * len(x) / max(1, len(x) - 1)
         else:
             mean, var, sample = net.state[f"{layer.id}.mean"], net.state[f"{layer.id}.variance"], None
         hat = (x - mean) / np.sqrt(var + o["epsilon"])
-        return hat * p["scale"] + p["bias"], {"hat": hat, "mean": mean, "variance": sample, "used": var} if training else None
+        out = hat * p["scale"] + p["bias"]
+        if o["mode"] == "spatial":
+            out = _planes(out, n, shape)
+        return out, {"hat": hat, "mean": mean, "variance": sample, "used": var} if training else None
     if kind == "lrn":
         y, base = _lrn(x.reshape(n, shape[0], -1), o)
         return y.reshape(n, -1), base
@@ -176,9 +190,11 @@ def backward(net, layer, ins, out, kept, g):
             back = np.broadcast_to(planes / np.maximum(data, 1)[None, None, :, None], (*planes.shape[:3], taps.shape[1]))
         return [_scatter(back, taps, shape[1] * shape[2]).reshape(n, -1)], {}
     if kind == "batch_normalization":
+        spatial = o["mode"] == "spatial"
+        g = _channels_last(g, shape) if spatial else g
         hat, d = kept["hat"], g * p["scale"]
         back = (d - d.mean(axis=0) - hat * (d * hat).mean(axis=0)) / np.sqrt(kept["used"] + o["epsilon"])
-        return [back], {"scale": (g * hat).sum(axis=0), "bias": g.sum(axis=0)}
+        return [_planes(back, n, shape) if spatial else back], {"scale": (g * hat).sum(axis=0), "bias": g.sum(axis=0)}
     if kind == "lrn":
         v, gg, b = x.reshape(n, shape[0], -1), g.reshape(n, shape[0], -1), kept
         t = gg * v * b ** (-o["beta"] - 1)
@@ -220,6 +236,41 @@ def _censor(v, t):
 LOSSES = {"mse": _mse, "softmax": _softmax_loss, "censor": _censor}
 
 
+def l1(x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sum of sizes, and its gradient (1 at 0)."""
+    return float(np.abs(x).sum()), np.where(x >= 0, 1.0, -1.0)
+
+
+def l2(x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Half the length (not its square), and the gradient x that goes with it."""
+    return float(np.linalg.norm(x)) / 2.0, x
+
+
+REGULARIZERS = {"l1_regularization": l1, "l2_regularization": l2}
+
+
+def center_terms(centers: np.ndarray, features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows' gradients, and by class the summed distances and numbers of rows."""
+    back = features - centers[labels]
+    sums, n = np.zeros_like(centers), np.zeros(len(centers))
+    np.add.at(sums, labels, back)
+    np.add.at(n, labels, 1.0)
+    return back, sums, n
+
+
+def moved_centers(centers: np.ndarray, sums: np.ndarray, n: np.ndarray, alpha: float, radius: float) -> np.ndarray:
+    """Centres of the classes that occurred, moved towards their rows' mean; all scaled to
+    length radius."""
+    out = centers + (1 - alpha) * sums / np.maximum(n, 1.0)[:, None]
+    return out * radius / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-6)
+
+
+def constrain_rows(w: np.ndarray, most: float) -> np.ndarray:
+    """Rows longer than ``most`` shortened to it."""
+    size = np.linalg.norm(w, axis=1, keepdims=True)
+    return w * most / np.maximum(size, most)
+
+
 def update_centers(centers: np.ndarray, features: np.ndarray, labels: np.ndarray, alpha: float = 0.5, radius: float = 1.0) -> np.ndarray:
     """Centres moved towards their rows' mean, then scaled to length radius."""
     out = centers.copy()

@@ -445,40 +445,75 @@ def regularization(spark, sf):
 _BOX = "o_custkey % 40 AS image, o_orderkey AS {id}, CAST(o_orderkey * 31 % 97 AS DOUBLE) AS x, CAST(o_orderkey * 17 % 89 AS DOUBLE) AS y, CAST(4 + o_custkey % 7 AS DOUBLE) AS w, CAST(4 + o_orderkey % 5 AS DOUBLE) AS h"
 
 
-def _boxes(spark, sf, status: str, name: str) -> DataFrame:
-    return table(spark, sf, "orders").where(F.col("o_orderstatus") == status).selectExpr(*_BOX.format(id=name).split(", "), "o_orderpriority AS class", "o_totalprice AS score")
+def _boxes(spark, sf, where: str, name: str) -> DataFrame:
+    return table(spark, sf, "orders").where(where).selectExpr(*_BOX.format(id=name).split(", "), "o_orderpriority AS class", "o_totalprice AS score")
 
 
-@register(
-    "iou_pairs",
-    "WITH l AS (SELECT " + _BOX.format(id="label_id") + " FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT " + _BOX.format(id="pred_id") + " FROM orders WHERE o_orderstatus = 'O'), j AS (SELECT l.image, label_id, pred_id, greatest(0, least(l.x + l.w / 2, p.x + p.w / 2) - greatest(l.x - l.w / 2, p.x - p.w / 2)) * greatest(0, least(l.y + l.h / 2, p.y + p.h / 2) - greatest(l.y - l.h / 2, p.y - p.h / 2)) AS n, l.w * l.h + p.w * p.h AS s FROM l JOIN p ON l.image = p.image) SELECT image, label_id, pred_id, round(n / (s - n), 6) AS iou FROM j WHERE n / (s - n) >= 0.2::DOUBLE",
-)
+_LABELLED, _PREDICTED = "o_orderstatus <> 'O'", "o_orderstatus = 'O'"
+
+
+def _iou_sql(a: str, b: str) -> str:
+    n = f"(greatest(0, least({a}.x + {a}.w / 2, {b}.x + {b}.w / 2) - greatest({a}.x - {a}.w / 2, {b}.x - {b}.w / 2)) * greatest(0, least({a}.y + {a}.h / 2, {b}.y + {b}.h / 2) - greatest({a}.y - {a}.h / 2, {b}.y - {b}.h / 2)))"
+    return f"({n} / ({a}.w * {a}.h + {b}.w * {b}.h - {n}))"
+
+
+def _sides_sql(extra: str = "") -> str:
+    return f"l AS (SELECT {_BOX.format(id='label_id')}{extra} FROM orders WHERE {_LABELLED}), p AS (SELECT {_BOX.format(id='pred_id')}{extra} FROM orders WHERE {_PREDICTED})"
+
+
+def _greedy_sql(name: str, pairs: str, group: str) -> str:
+    """CTEs: pairs in order, then one pair of every group a step, taken where both boxes are free."""
+    return f"""{name}_k AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY iou DESC, label_id, pred_id) AS r FROM {pairs}),
+{name}_w AS (SELECT {group} AS g, 0::BIGINT AS r, []::BIGINT[] AS ls, []::BIGINT[] AS ps, false AS free, NULL::BIGINT AS label_id, NULL::BIGINT AS pred_id, NULL::DOUBLE AS iou FROM (SELECT DISTINCT {group} FROM {pairs})
+UNION ALL SELECT w.g, k.r, CASE WHEN w.free THEN list_append(w.ls, w.label_id) ELSE w.ls END, CASE WHEN w.free THEN list_append(w.ps, w.pred_id) ELSE w.ps END,
+ NOT list_contains(CASE WHEN w.free THEN list_append(w.ls, w.label_id) ELSE w.ls END, k.label_id) AND NOT list_contains(CASE WHEN w.free THEN list_append(w.ps, w.pred_id) ELSE w.ps END, k.pred_id), k.label_id, k.pred_id, k.iou
+ FROM {name}_w w JOIN {name}_k k ON k.{group} = w.g AND k.r = w.r + 1),
+{name} AS (SELECT g, label_id, pred_id, iou FROM {name}_w WHERE free)"""
+
+
+_PAIRS = f"j AS (SELECT l.image AS image, label_id, pred_id, round({_iou_sql('l', 'p')}, 9) AS iou FROM l JOIN p ON l.image = p.image WHERE {_iou_sql('l', 'p')} >= 0.2::DOUBLE)"
+
+
+def _pairs(spark, sf) -> DataFrame:
+    p = detect.iou_pairs(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), "image", "label_id", "pred_id", 0.2)
+    return p.withColumn("iou", F.round("iou", 9))
+
+
+@register("iou_pairs", f"WITH {_sides_sql()}, {_PAIRS} SELECT image, label_id, pred_id, round(iou, 6) AS iou FROM j")
 def iou_pairs(spark, sf):
-    p = detect.iou_pairs(_boxes(spark, sf, "F", "label_id"), _boxes(spark, sf, "O", "pred_id"), "image", "label_id", "pred_id", 0.2, 10.0)
-    return p.withColumn("iou", _r(F.col("iou")))
+    return _pairs(spark, sf).withColumn("iou", _r(F.col("iou")))
 
 
-@register("box_greedy_match")
+@register("box_greedy_match", f"WITH RECURSIVE {_sides_sql()}, {_PAIRS}, {_greedy_sql('m', 'j', 'image')} SELECT g AS image, label_id, pred_id, round(iou, 6) AS iou FROM m")
 def box_greedy_match(spark, sf):
-    p = detect.iou_pairs(_boxes(spark, sf, "F", "label_id"), _boxes(spark, sf, "O", "pred_id"), "image", "label_id", "pred_id", 0.2, 10.0)
-    return detect.greedy_match(p, "image", "label_id", "pred_id")
+    return detect.greedy_match(_pairs(spark, sf), "image", "label_id", "pred_id").withColumn("iou", _r(F.col("iou")))
 
 
-@register("box_location_metrics")
+@register(
+    "box_location_metrics",
+    f"WITH RECURSIVE {_sides_sql()}, {_PAIRS}, {_greedy_sql('m', 'j', 'image')}, c AS (SELECT (SELECT count(*) FROM l) AS n, (SELECT count(*) FROM p) AS q, (SELECT count(*) FROM m) AS k) SELECT n AS n_labels, q AS n_predictions, k AS n_matches, round(k / n, 6) AS sensitivity, round(k / q, 6) AS precision, round(2 * k / (n + q), 6) AS f1 FROM c",
+)
 def box_location_metrics(spark, sf):
-    labels, preds = _boxes(spark, sf, "F", "label_id"), _boxes(spark, sf, "O", "pred_id")
-    matches = detect.greedy_match(detect.iou_pairs(labels, preds, "image", "label_id", "pred_id", 0.2, 10.0), "image", "label_id", "pred_id")
-    return detect.location_metrics(labels, preds, matches)
+    labels, preds = _boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id")
+    m = detect.location_metrics(labels, preds, detect.greedy_match(_pairs(spark, sf), "image", "label_id", "pred_id"))
+    return m.select("n_labels", "n_predictions", "n_matches", *(_r(F.col(c)).alias(c) for c in ("sensitivity", "precision", "f1")))
+
+
+def _nms_sql(group: str) -> str:
+    return f"""WITH RECURSIVE b AS (SELECT {_BOX.format(id='box_id')}, o_orderpriority AS class, o_totalprice AS score FROM orders), k AS (SELECT *, concat_ws('/', {group}) AS g, row_number() OVER (PARTITION BY {group} ORDER BY score DESC, box_id) AS r FROM b),
+s AS (SELECT g, r, box_id, true AS kept, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS boxes FROM k WHERE r = 1
+UNION ALL SELECT k.g, k.r, k.box_id, len(list_filter(s.boxes, lambda o: {_iou_sql('o', 'k')} >= 0.2::DOUBLE)) = 0, CASE WHEN len(list_filter(s.boxes, lambda o: {_iou_sql('o', 'k')} >= 0.2::DOUBLE)) = 0 THEN list_append(s.boxes, {{'x': k.x, 'y': k.y, 'w': k.w, 'h': k.h}}) ELSE s.boxes END FROM s JOIN k ON k.g = s.g AND k.r = s.r + 1)
+SELECT b.* FROM b JOIN s ON b.box_id = s.box_id WHERE kept"""
 
 
-@register("nms_by_class")
+@register("nms_by_class", _nms_sql("image, class"))
 def nms_by_class(spark, sf):
-    return detect.non_maximum_suppression(_boxes(spark, sf, "O", "box_id"), ["image", "class"], "score", "box_id", 0.2)
+    return detect.non_maximum_suppression(_boxes(spark, sf, "true", "box_id"), ["image", "class"], "score", "box_id", 0.2)
 
 
-@register("nms_across_classes")
+@register("nms_across_classes", _nms_sql("image"))
 def nms_across_classes(spark, sf):
-    return detect.non_maximum_suppression(_boxes(spark, sf, "O", "box_id"), ["image"], "score", "box_id", 0.2)
+    return detect.non_maximum_suppression(_boxes(spark, sf, "true", "box_id"), ["image"], "score", "box_id", 0.2)
 
 
 # -- trees ------------------------------------------------------------------------------------------------------
@@ -494,21 +529,61 @@ def best_split(spark, sf):
 
 
 def _features(spark, sf) -> tuple[DataFrame, list[str]]:
-    names = [f"f{i}" for i in range(8)]
-    return _embeddings(spark, sf).select("vec_id", "label", *(F.col("v")[i * 8].alias(n) for i, n in enumerate(names))), names
+    names = [f"f{i}" for i in range(64)]
+    return _embeddings(spark, sf).select("vec_id", "label", *(F.col("v")[i].alias(n) for i, n in enumerate(names))), names
 
 
-@register("tree_classify")
+def _order(seed: int) -> list[int]:
+    """The features of a tree's levels, as ``tree.grow`` draws them."""
+    import random
+
+    names = [f"f{i}" for i in range(64)]
+    return [int(n[1:]) for n in random.Random(seed).sample(names, 64)]
+
+
+def _tree_sql(t: str, features: list[int], weight: str = "1") -> str:
+    """CTEs that grow a tree on the embeddings, level by level, and {t}_p (vec_id, predicted)."""
+    out = [f"{t}_0 AS (SELECT vec_id, label, {weight} AS c, 0 AS node, true AS open, {', '.join(f'CAST(embedding[{f + 1}] AS DOUBLE) AS v{f}' for f in features)} FROM embeddings)"]
+    for n, f in enumerate(features):
+        out.append(f"""{t}_u{n} AS (SELECT node FROM {t}_{n} WHERE open GROUP BY node HAVING count(DISTINCT label) FILTER (WHERE c > 0) > 1 AND sum(c) >= 2),
+{t}_v{n} AS (SELECT DISTINCT node, v{f} AS v FROM {t}_{n} JOIN {t}_u{n} USING (node) WHERE open AND c > 0),
+{t}_s{n} AS (SELECT v.node, v.v, label, sum(CASE WHEN v{f} <= v.v THEN c ELSE 0 END) AS l, sum(CASE WHEN v{f} > v.v THEN c ELSE 0 END) AS r FROM {t}_v{n} v JOIN {t}_{n} x ON x.node = v.node AND x.open GROUP BY 1, 2, 3),
+{t}_q{n} AS (SELECT node, v, sum(l) AS nl, sum(r) AS nr, sum(l * l) AS ql, sum(r * r) AS qr FROM {t}_s{n} GROUP BY 1, 2),
+{t}_c{n} AS (SELECT node, v AS cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(score, 12), v DESC) AS k FROM (SELECT node, v, CASE WHEN nl = 0 OR nr = 0 THEN 1 ELSE (1 - ql / (nl * nl) + 1 - qr / (nr * nr)) / 2 END AS score FROM {t}_q{n})) WHERE k = 1 AND score < 1),
+{t}_{n + 1} AS (SELECT vec_id, label, c, CASE WHEN cut IS NULL THEN x.node WHEN v{f} <= cut THEN 2 * x.node + 1 ELSE 2 * x.node + 2 END AS node, open AND cut IS NOT NULL AS open, {', '.join(f'v{g}' for g in features)} FROM {t}_{n} x LEFT JOIN {t}_c{n} s ON s.node = x.node AND x.open)""")
+    n = len(features)
+    out.append(f"{t}_m AS (SELECT node, label AS predicted FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY sum(c) DESC, CAST(label AS VARCHAR)) AS k FROM {t}_{n} WHERE c > 0 GROUP BY node, label) WHERE k = 1), {t}_p AS (SELECT vec_id, label, predicted FROM {t}_{n} LEFT JOIN {t}_m USING (node))")
+    return ",\n".join(out)
+
+
+@register("tree_classify", "WITH " + _tree_sql("t", _order(3)[:3]) + " SELECT vec_id, label, predicted FROM t_p")
 def tree_classify(spark, sf):
     df, names = _features(spark, sf)
-    t = tree.grow(df, names, "label", depth=4, seed=3)
+    t = tree.grow(df, names, "label", depth=3, seed=3)
     return df.select("vec_id", "label", t.column().alias("predicted"))
 
 
-@register("forest_vote")
+def _forest(seed: int, trees: int, depth: int) -> list[tuple[list[int], int]]:
+    """Features of each tree's levels, and its seed, as ``tree.forest`` draws them."""
+    import random
+
+    rng, out = random.Random(seed), []
+    for _ in range(trees):
+        some, own = rng.sample([f"f{i}" for i in range(64)], 64), rng.randrange(1000)
+        out.append(([int(n[1:]) for n in random.Random(own).sample(some, 64)[:depth]], own))
+    return out
+
+
+_FOREST = _forest(5, 3, 2)
+
+
+@register(
+    "forest_vote",
+    "WITH " + ",\n".join(_tree_sql(f"t{k}", fs, f"CAST((vec_id * 7919 + {own} * 104729) % 1000003 % 3 AS INT)") for k, (fs, own) in enumerate(_FOREST)) + ", a AS (" + " UNION ALL ".join(f"SELECT vec_id, label, predicted FROM t{k}_p" for k in range(3)) + "), n AS (SELECT vec_id, label, predicted, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, predicted) AS k FROM a GROUP BY vec_id, label, predicted) SELECT vec_id, label, predicted FROM n WHERE k = 1",
+)
 def forest_vote(spark, sf):
     df, names = _features(spark, sf)
-    return df.select("vec_id", "label", tree.vote(tree.forest(df, names, "label", trees=3, depth=3, seed=5)).alias("predicted"))
+    return df.select("vec_id", "label", tree.vote(tree.forest(df, names, "label", trees=3, id_col="vec_id", depth=2, seed=5)).alias("predicted"))
 
 
 # -- training -------------------------------------------------------------------------------------------------------
@@ -555,22 +630,30 @@ def adadelta_step(spark, sf):
     return _stepped(spark, sf, optimizers.Adadelta)
 
 
-@register("network_train")
+_RATE = 0.5
+_TRAIN = f"""e0 AS (SELECT vec_id, label, i, v, row_number() OVER (PARTITION BY i ORDER BY vec_id) AS place, count(*) OVER (PARTITION BY i) AS n FROM e), t AS (SELECT vec_id, label, i, v FROM e0 WHERE place <= n // 50 * 50),
+x AS (SELECT vec_id, label, i, v FROM t UNION ALL SELECT DISTINCT vec_id, label, 64, 1.0::DOUBLE FROM t), c AS (SELECT unnest(range(10)) AS r), z AS (SELECT count(DISTINCT vec_id) AS n FROM t),
+w1 AS (SELECT r, i, sum({_RATE}::DOUBLE * 0.2::DOUBLE * CASE WHEN label = r THEN v ELSE 0 END) / max(n) AS w FROM x CROSS JOIN c CROSS JOIN z GROUP BY r, i),
+g1 AS (SELECT vec_id, label, r, sum(w * v) - max(CASE WHEN label = r THEN 1.0::DOUBLE ELSE 0 END) AS d FROM x JOIN w1 USING (i) GROUP BY vec_id, label, r),
+w2 AS (SELECT w1.r, w1.i, max(w) - sum({_RATE}::DOUBLE * 0.2::DOUBLE * d * v) / max(n) AS w FROM w1 JOIN g1 ON g1.r = w1.r JOIN x ON x.vec_id = g1.vec_id AND x.i = w1.i CROSS JOIN z GROUP BY w1.r, w1.i),
+y AS (SELECT vec_id, label, i, v FROM e UNION ALL SELECT DISTINCT vec_id, label, 64, 1.0::DOUBLE FROM e)"""
+
+
+@register("network_train", _E + ", " + _TRAIN + " SELECT vec_id, CAST(r AS INT) AS i, round(sum(w * v), 6) AS x FROM y JOIN w2 USING (i) GROUP BY vec_id, r")
 def network_train(spark, sf):
-    """Two epochs of a small classifier on the embeddings, then its accuracy by class."""
+    """Two steps of a linear network over all full batches, and its outputs."""
+    import numpy as np
+
     e = _embeddings(spark, sf).withColumn("target", A.one_hot(F.col("label"), 10))
-    net = N.Network.build([N.input_(64, id="in"), N.linear_relu(16), N.linear_softmax(10, id="out")], seed=1)
-    dealt = rows.batches(e.select("vec_id", "v", "target", "label"), 50, "vec_id").cache()
-    opt = optimizers.Adam(rate=0.01)
-    for k in range(2):
-        net.train(dealt, {"in": "v"}, {"out": "target"}, opt, step=4, seed=k)
-    hit = (A.argmax(F.col("output")) == F.col("label")).cast("int")
-    return net.project(e, "v").groupBy("label").agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
+    net = N.Network.build([N.input_(64, id="in"), N.linear(10, id="out", weights=np.zeros(640), bias=np.zeros(10))])
+    for _ in N.epochs(net, rows.full_batches(e, 50, "vec_id"), {"in": "v"}, {"out": "target"}, optimizers.PlainSGD(_RATE), 2, step=1_000_000):
+        pass
+    return _long(net.transform(e.select("vec_id", "v"), {"in": "v"}), F.col("out"), "vec_id")
 
 
 # -- objectives --------------------------------------------------------------------------------------------------
 
-_V = [f"(CAST(embedding[{i + 1}] AS DOUBLE) + 0.5::DOUBLE)" for i in range(4)]
+_V = [f"(CAST(embedding[4 * block + {i + 1}] AS DOUBLE) + 0.5::DOUBLE)" for i in range(4)]
 _a, _b, _c, _d = _V
 
 
@@ -597,10 +680,11 @@ _OBJECTIVE_SQL = {
 }
 
 
-@register("objective_functions", "SELECT vec_id, " + ", ".join(f"round({s}, 6) AS f_{k}" for k, s in _OBJECTIVE_SQL.items()) + " FROM embeddings")
+@register("objective_functions", "SELECT vec_id, CAST(block AS INT) AS block, " + ", ".join(f"round({s}, 6) AS f_{k}" for k, s in _OBJECTIVE_SQL.items()) + " FROM embeddings CROSS JOIN (SELECT unnest(range(16)) AS block)")
 def objective_functions(spark, sf):
-    v = F.transform(F.slice("v", 1, 4), lambda x: x + 0.5)
-    return _embeddings(spark, sf).withColumn("p", v).select("vec_id", *(_r(f(F.col("p"))).alias(f"f_{k}") for k, f in OBJECTIVES.items()))
+    """All entries of every vector, four at a time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.transform(F.slice("v", 4 * b + 1, 4), lambda x: x + 0.5))
+    return _embeddings(spark, sf).select("vec_id", F.posexplode(blocks).alias("block", "p")).select("vec_id", "block", *(_r(f(F.col("p"))).alias(f"f_{k}") for k, f in OBJECTIVES.items()))
 
 
 # -- flagship --------------------------------------------------------------------------------------------------------
@@ -629,3 +713,6 @@ def centroid_confusion(spark, sf):
     near = z.crossJoin(F.broadcast(centers)).withColumn("p", F.transform("c", lambda c: -F.round(2.0 * A.center_loss(F.col("v"), c["center"]), 9)))
     labelled = near.select(F.col("label").alias("actual"), F.element_at("c", A.argmax(A.softmax(F.col("p"))) + 1)["label"].alias("predicted"))
     return metrics.confusion_matrix(labelled, "actual", "predicted")
+
+
+from quern import registry_extra  # noqa: E402, F401 (adds its queries)

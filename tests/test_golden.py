@@ -128,7 +128,7 @@ def test_inverse_counts(spark):
 
 def test_row_numbers_with_ties_and_an_empty_table(spark):
     df = spark.createDataFrame([(k % 3, k) for k in range(100)], "a int, b int")
-    got = [(r["a"], r["b"]) for r in rows.number_rows(df, "a", "b", ranges=8).orderBy("row").collect()]
+    got = [(r["a"], r["b"]) for r in rows.number_rows(df, "a", "b").orderBy("row").collect()]
     assert got == sorted((k % 3, k) for k in range(100))
     assert rows.number_rows(df.limit(0), "a").count() == 0
     assert rows.pad_to_batch(df, 64, "a", "b").count() == 128 and rows.batches(df, 64, "a", "b").count() == 64
