@@ -113,7 +113,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
 
 
 def bucket_counts(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """label, unit, buckets, counts of every row; at most BUCKETS entries each."""
+    """label, unit, n, and n buckets and counts as 32-bit numbers, of every row; at most BUCKETS
+    entries each."""
     source = df.select(df[label_col], df[text_col], df["_unit"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +126,11 @@ def bucket_counts(df: DataFrame, id_col: str, text_col: str, label_col: str) ->
                     keys.append(doc * BUCKETS + bucket)
                 key, count = np.unique(np.concatenate(keys), return_counts=True)
                 edges = np.searchsorted(key, np.arange(part.num_rows + 1) * BUCKETS)
-                ids = (key % BUCKETS).astype(np.int32)
-                offsets = pa.array(edges, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int32()), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))], ["label", "unit", "buckets", "counts"]
-                )
+                ids, count = (key % BUCKETS).astype("<i4"), count.astype("<i4")
+                blobs = [[x[i:j].tobytes() for i, j in zip(edges, edges[1:])] for x in (ids, count)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), part.column(2), pa.array(np.diff(edges)), *(pa.array(x, pa.binary()) for x in blobs)], ["label", "unit", "n", "buckets", "counts"])
 
-    return source.mapInArrow(lean(run), "label int, unit double, buckets array<int>, counts array<int>")
+    return source.mapInArrow(lean(run), "label int, unit double, n long, buckets binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS):
@@ -144,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col)
     counted = stage(bucket_counts(found, id_col, text_col, "_label"), "buckets")
     got, held = [], 0
-    for r in counted.orderBy("unit", F.size("buckets"), "buckets", "counts").toLocalIterator():
-        held += len(r["buckets"])
+    for r in counted.orderBy("unit", "n", "buckets", "counts").toLocalIterator():
+        held += r["n"]
         if held > TRAIN_ENTRIES and got:
             break
         got.append(r)
@@ -155,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = float(y.mean()) if len(y) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    model = train([(np.array(r["buckets"], np.int64), np.array(r["counts"], np.float32)) for r in got], y)
+    model = train([tuple(np.frombuffer(r[c], "<i4").astype(kind) for c, kind in (("buckets", np.int64), ("counts", np.float32))) for r in got], y)
     return model.along()
 
 
