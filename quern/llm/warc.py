@@ -12,7 +12,8 @@ A file is written under a temporary name of its own attempt.  The tasks' reports
 name, final name, sizes, digest) form a manifest that Spark commits as a table, one
 successful attempt a task; a second job renames exactly those files, and readers open only
 files that the manifest names, each found under its final name or, after a broken rename,
-its temporary one.  Leftovers of lost attempts are never read.
+its temporary one.  Leftovers of lost attempts are never read, and go once all files have
+their final names.
 
 Only html payload, key and url are moved once, to the shards; who keeps a payload is
 decided on digests and travels as one small row ahead of its record.
@@ -38,14 +39,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.scratch import new_path, release_shuffles, stage
+from quern.llm.scratch import drop, new_path, release_shuffles, stage
 from quern.llm.workers import lean
 
 #: Payload bytes a shard aims at; shards are MIN_SHARDS at least and MAX_SHARDS at most.
-SHARD_BYTES, MIN_SHARDS, MAX_SHARDS = 16 << 20, 32, 20_000
+SHARD_BYTES, MIN_SHARDS, MAX_SHARDS = 256 << 20, 32, 20_000
 BOUNDS_A_SHARD = 20
-#: Compressed bytes at which a file is closed.
-FILE_BYTES = 256 << 20
+#: Compressed bytes at which a file is closed; html packs to about a fifth, so that a shard
+#: makes two files or so.
+FILE_BYTES = 32 << 20
 LEVEL = 6
 #: WARC-Date of every record, unless the caller gives the crawl's own.
 DATE = "1970-01-01T00:00:00Z"
@@ -137,7 +139,7 @@ def write_warc(df: DataFrame, folder: str, key_col: str = "page_id", url_col: st
     shard = F.pandas_udf(shard_of, "int")
     rows = df.select(_order(F.col(key_col).cast("long"), digest).alias("order"), F.lit(1).alias("kind"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.lit(None).cast("long").alias("keeper"))
     notes = repeats.select("order", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keeper")
-    dealt = rows.unionByName(notes).withColumn("shard", shard("order")).repartition(shards, "shard").sortWithinPartitions("shard", "order", "kind", "url")
+    dealt = rows.unionByName(notes).withColumn("shard", shard("order")).repartitionById(shards, "shard").sortWithinPartitions("shard", "order", "kind", "url")
     flat = dealt.select("shard", "kind", "order.has", "order.key", "order.tie", "url", "payload", "keeper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +191,7 @@ def write_warc(df: DataFrame, folder: str, key_col: str = "page_id", url_col: st
     release_shuffles(spark)
     table = spark.read.schema(_MANIFEST).parquet(manifest)
     _commit(table, folder)
+    drop(small, groups)
     return table.drop("temp")
 
 
@@ -211,6 +214,8 @@ def _commit(manifest: DataFrame, folder: str) -> None:
 
     manifest.select("temp", "name").mapInArrow(move, "n long").agg(F.sum("n")).collect()
     fs, root = _fs(folder)
+    if fs.get_file_info(f"{root}/_temporary").type == pafs.FileType.Directory:
+        fs.delete_dir(f"{root}/_temporary")
     with fs.open_output_stream(f"{root}/_SUCCESS") as f:
         f.write(b"")
 
@@ -286,7 +291,7 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds)], names)
 
-    return files.select("temp", "name").repartition(n, "name").mapInArrow(lean(run), schema)
+    return files.select("temp", "name").repartition(n).mapInArrow(lean(run), schema)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:

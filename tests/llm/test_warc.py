@@ -57,3 +57,29 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(df, f"{tmp_path}/e")
     assert warc.read_warc(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_a_broken_commit_and_lost_attempts(spark, tmp_path):
+    """A rename that stopped half way, a commit that runs again, files of attempts that never ended."""
+    data = rows()
+    folder, root = f"file://{tmp_path}/b", tmp_path / "b"
+    warc.write_warc(spark.createDataFrame(data, SCHEMA), folder, file_bytes=1500, min_shards=5)
+    assert not (root / "_temporary").exists() and (root / "_SUCCESS").exists()
+    manifest = spark.read.parquet(f"{folder}/_manifest")
+    moved = manifest.orderBy("name").collect()[::2]
+    (root / "_temporary").mkdir()
+    for r in moved:
+        (root / r["name"]).rename(root / r["temp"])
+    (root / "_temporary" / "part-00000-00000.warc.gz.lost").write_bytes(b"half a rec")
+    assert read(warc.read_warc(spark, folder)) == expected(data)  # found under their temporary names
+    for _ in range(2):
+        warc._commit(manifest, folder)
+        assert not (root / "_temporary").exists()
+        assert read(warc.read_warc(spark, folder)) == expected(data)
+    assert len(list(root.glob("*.warc.gz"))) == manifest.count()
+
+
+def test_each_shard_has_a_task_of_its_own(spark):
+    df = spark.range(64).selectExpr("CAST(id AS int) AS shard").repartitionById(64, "shard")
+    parts = df.selectExpr("spark_partition_id() AS p", "shard").collect()
+    assert all(r["p"] == r["shard"] for r in parts)
