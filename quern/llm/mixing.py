@@ -3,34 +3,43 @@
 Rates of documents are to stay as close to 1 as they can (in relative entropy) while each
 source's expected words meet its target.  The answer is an exponential tilt,
 ``rate = min(cap, exp(lambda_source * size / mean size of the source))``, whose multipliers
-maximise a concave dual; Newton steps find them, each from one distributed aggregate.
+maximise a concave dual.  The dual falls apart into one for each source, so Newton steps run
+for all sources in parallel, each in a task that holds the source's counts of sizes.
 Rates become whole copies: the integer part for every document, and one more for those
 whose id hashes low enough against the rest, with one threshold a source set so that the
 words taken meet the target to within about one document.
 
+Whatever there is of a source (its size, target, multiplier, threshold) stays in tables; the
+driver sees numbers of the whole mix only, so sources may be many.
+
 Defined cases: a null text has size 0 and is taken 0 words; null is a source of its own,
 last in order; rows that repeat an id share its hash and hence its copies; a source without
-words gets nothing; an empty table gives an empty result.
+words gets nothing; columns of the input keep their names, whatever they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from quern.llm.scratch import stage
+from quern.llm.scratch import drop, stage
+from quern.llm.workers import release
 
 #: No document is taken more often than this.
 CAP = 3.0
-NEWTON_STEPS, TOLERANCE = 40, 1e-9
+NEWTON_STEPS, TOLERANCE = 60, 1e-9
 #: Buckets of the two histograms that place a source's rounding threshold.
 BUCKETS = 4096
 #: Documents a source that fill what its threshold leaves of its target.
 FILL = 4
+#: Sources up to which a table of them is copied to all tasks (about 100 bytes each).
+SMALL_PLAN = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -40,68 +49,64 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(letters, " \t\n\x0b\f\r", "")), F.lit(0)).cast("long")
 
 
-def shares(sizes: dict[str | None, int], cap: float = CAP) -> dict[str | None, float]:
-    """Target words of each source: weights 1, 2, 3, 1, ... in order of code points (null
-    last) share all words; no target passes ``cap`` times its source, and what is above
-    is shared again by weight until none is."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
-    target, open_, rest = {}, list(order), float(sum(sizes.values()))
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if rest * weight[s] / total > cap * sizes[s]]
-        if not over:
-            target.update({s: rest * weight[s] / total for s in open_})
-            break
-        for s in over:
-            target[s] = cap * sizes[s]
-        rest -= sum(target[s] for s in over)
-        open_ = [s for s in open_ if s not in over]
-    return target
+def _numbered(per: DataFrame) -> DataFrame:
+    """Adds k: the source's place in the order of code points, null last.  Ranges of sources are
+    sorted by themselves and written; only their sizes are added up."""
+    last = F.col("source").isNull()
+    ranged = per.repartitionByRange(last, "source").sortWithinPartitions(last, "source")
+    ranged = stage(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_first"))
+    return ranged.join(starts, F.col("_part") == F.col("_of")).withColumn("k", F.col("_first") + F.col("_at")).drop("_part", "_at", "_of", "_first")
 
 
-_LAMBDAS = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("lam", T.DoubleType(), False), T.StructField("mean", T.DoubleType(), False)])
+def shares(per: DataFrame, cap: float = CAP) -> DataFrame:
+    """Adds target to (source, words): weights 1, 2, 3, 1, ... in order of code points (null
+    last) share all words; no target passes ``cap`` times its source, and what is above
+    is shared again by weight until none is.  That is least(cap * words, level * weight) for
+    one level, which rises step by step."""
+    weighed = _numbered(per).withColumn("weight", (1 + F.col("k") % 3).cast("double"))
+    most = F.col("words").cast("double") * cap
+    level = 0.0
+    while True:
+        over = F.lit(level) * F.col("weight") > most
+        got = weighed.agg(F.sum("words").alias("all"), F.sum(F.when(over, most).otherwise(0.0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if not got["all"] or not got["open"]:
+            break
+        new = (got["all"] - got["full"]) / got["open"]
+        if new <= level * (1 + 1e-15):
+            break
+        level = new
+    return weighed.withColumn("target", F.least(most, F.lit(level) * F.col("weight"))).drop("weight", "k")
 
 
 def _tilt(lam: Column, size: Column, mean: Column, cap: float) -> Column:
     return F.least(F.lit(cap), F.exp(F.least(F.lit(700.0), lam * size / mean)))
 
 
-def solve_tilts(hist: DataFrame, means: dict[int, float], targets: dict[int, float], words: dict[int, int], cap: float = CAP) -> dict[int, float]:
-    """Multipliers of the dual, by safeguarded Newton steps on (source, size) counts."""
-    spark = hist.sparkSession
-    lam = {k: 0.0 for k in means}
-    low, high = {k: -math.inf for k in means}, {k: math.inf for k in means}
-    live = {k for k in means if words[k] > 0 and 0 < targets[k] < cap * words[k] * (1 - 1e-12)}
-    for k in means:
-        if k not in live:
-            lam[k] = math.inf if targets[k] > 0 else -math.inf
+def solve(size: np.ndarray, n: np.ndarray, target: float, cap: float = CAP) -> float:
+    """The multiplier of a source with ``n`` documents of each ``size``, by safeguarded Newton
+    steps; infinite where every document is taken ``cap`` times, or none."""
+    words = float((size * n).sum())
+    if words <= 0 or not 0 < target < cap * words * (1 - 1e-12):
+        return math.inf if target > 0 else -math.inf
+    x, lam, low, high = size / (words / n.sum()), 0.0, -math.inf, math.inf
     for _ in range(NEWTON_STEPS):
-        if not live:
+        rate = np.minimum(cap, np.exp(np.minimum(700.0, lam * x)))
+        gap = target - float((n * rate * size).sum())
+        if abs(gap) <= TOLERANCE * target:
             break
-        now = spark.createDataFrame([(k, lam[k], means[k]) for k in sorted(live)], _LAMBDAS)
-        size = F.col("size").cast("double")
-        rate = _tilt(F.col("lam"), size, F.col("mean"), cap)
-        got = hist.join(now, "k").groupBy("k").agg(
-            F.sum(F.col("n") * rate * size).alias("value"),
-            F.sum(F.when(rate < cap, F.col("n") * rate * size * size / F.col("mean")).otherwise(0.0)).alias("slope"),
-        )
-        done = set()
-        for r in got.collect():  # one row a source
-            k, gap = r["k"], targets[r["k"]] - r["value"]
-            if abs(gap) <= TOLERANCE * targets[k]:
-                done.add(k)
-                continue
-            if gap > 0:
-                low[k] = lam[k]
-            else:
-                high[k] = lam[k]
-            step = lam[k] + (gap / r["slope"] if r["slope"] > 0 else math.copysign(1.0, gap))
-            step = min(max(step, lam[k] - 4.0), lam[k] + 4.0)
-            if not low[k] < step < high[k]:
-                step = (low[k] + high[k]) / 2 if math.isfinite(low[k] + high[k]) else lam[k] + math.copysign(1.0, gap)
-            lam[k] = step
-        live -= done
+        if gap > 0:
+            low = lam
+        else:
+            high = lam
+        slope = float((n * rate * size * x)[rate < cap].sum())
+        step = lam + (gap / slope if slope > 0 else math.copysign(1.0, gap))
+        step = min(max(step, lam - 4.0), lam + 4.0)
+        if not low < step < high:
+            step = (low + high) / 2 if math.isfinite(low + high) else lam + math.copysign(1.0, gap)
+        lam = step
     return lam
 
 
@@ -109,15 +114,16 @@ def mix_to_targets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, size, source_size, target, rate, copies, taken.  ``targets``
     gives target words by source; by default all words shared as ``shares`` does."""
     docs = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    return _mixed(docs, id_col, targets, cap)
+    out = _copies(docs, _plan(docs, targets, cap), cap)
+    return out.select(F.col("id").alias(id_col), "size", F.col("words").alias("source_size"), "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP) -> DataFrame:
     """The input's rows with their columns, each as often as the mix takes it."""
-    whole = df.withColumn("_size", word_count(F.col(text_col)))
-    plan = _plan(stage(whole.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("_size").alias("size")), "sizes"), None, cap)
-    taken = _copies(whole.withColumn("_hash", _unit(F.col(id_col))), source_col, "_size", "_hash", plan)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*df.columns)
+    docs = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    plan = _plan(stage(docs.drop("row"), "sizes"), None, cap)
+    taken = _copies(docs, plan, cap).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def _unit(id_: Column) -> Column:
@@ -129,20 +135,6 @@ def _key(unit: Column) -> Column:
     return (unit * float(1 << 53)).cast("long")
 
 
-def _mixed(docs: DataFrame, id_col: str, targets, cap: float) -> DataFrame:
-    plan = _plan(docs, targets, cap)
-    out = _copies(docs.withColumn("_hash", _unit(F.col("id"))), "source", "size", "_hash", plan)
-    return out.select(F.col("id").alias(id_col), "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), (F.col("size") * F.col("_copies")).alias("taken"))
-
-
-_PLAN = T.StructType([T.StructField(n, t) for n, t in (("_source", T.StringType()), ("_source_size", T.LongType()), ("_target", T.DoubleType()), ("_lam", T.DoubleType()), ("_mean", T.DoubleType()), ("_cut", T.DoubleType()), ("_more", T.ArrayType(T.LongType())))])
-
-
-def _rate(size: Column, cap: float = CAP) -> Column:
-    lam, mean = F.col("_lam"), F.col("_mean")
-    return F.when(size == 0, 0.0).when(lam == math.inf, cap).when(lam == -math.inf, 0.0).otherwise(_tilt(lam, size.cast("double"), mean, cap))
-
-
 def _order(rate: Column, unit: Column) -> Column:
     """Where in [0, 1) a document stands in its source's queue for one more copy; those with
     a larger fraction stand nearer the front.  1 for those without a fraction."""
@@ -150,61 +142,86 @@ def _order(rate: Column, unit: Column) -> Column:
     return F.when(part <= 1e-12, F.lit(1.0)).otherwise(unit / (unit + part))
 
 
-def _copies(rows: DataFrame, source: str, size: str, unit: str, plan: DataFrame) -> DataFrame:
-    got = rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col(source).eqNullSafe(F.col("_source")))
-    got = got.withColumn("_rate", _rate(F.col(size)))
-    place = _order(F.col("_rate"), F.col(unit))
-    more = ((place < F.col("_cut")) | ((place < 1.0) & F.array_contains("_more", _key(F.col(unit))))).cast("long")
-    return got.withColumn("_copies", F.floor("_rate").cast("long") + more)
-
-
-def _plan(docs: DataFrame, targets, cap: float):
-    spark = docs.sparkSession
-    hist = docs.groupBy("source", "size").agg(F.count("*").alias("n"))
-    per = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs")).collect()
-    words = {r["source"]: int(r["words"]) for r in per}
-    target = shares(words, cap) if targets is None else {s: min(cap * words[s], float(targets.get(s, 0.0))) for s in words}
-    order = sorted((s for s in words if s is not None)) + [None] * (None in words)
-    number = {s: i for i, s in enumerate(order)}
-    mean = {number[r["source"]]: (words[r["source"]] / r["docs"] if r["docs"] else 1.0) for r in per}
-    keys = spark.createDataFrame([(s, i) for s, i in number.items()], "source string, k int")
-    counted = stage(hist.join(keys, hist["source"].eqNullSafe(keys["source"])).select("k", "size", "n").where("size > 0"), "size-counts")
-    lam = solve_tilts(counted, mean, {number[s]: target[s] for s in words}, {number[s]: words[s] for s in words}, cap)
-    rows = [(s, words[s], target[s], lam[number[s]], mean[number[s]], 0.0, []) for s in order]
-    cut, more = _cuts(docs, spark.createDataFrame(rows, _PLAN), cap)
-    return spark.createDataFrame([(*r[:5], cut.get(r[0], 0.0), more.get(r[0], [])) for r in rows], _PLAN)
-
-
-def _cuts(docs: DataFrame, plan: DataFrame, cap: float):
-    """The threshold of each source: the place in the queue up to which one more copy keeps
-    the words taken within the target, found by two histograms of BUCKETS places each; and
-    FILL documents behind it that each fill most of what is then left."""
-    queue = docs.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col("source").eqNullSafe(F.col("_source"))).where("size > 0")
-    queue = queue.withColumn("rate", _rate(F.col("size"), cap)).withColumn("unit", _unit(F.col("id"))).withColumn("place", _order(F.col("rate"), F.col("unit")))
-    base = queue.groupBy("source").agg(F.sum(F.floor("rate") * F.col("size")).alias("base"), F.first("_target").alias("target")).collect()
-    found = {r["source"]: (0.0, 1.0, max(0.0, r["target"] - r["base"])) for r in base}
-    more: dict[str | None, list[int]] = {s: [] for s in found}
-
-    def near(state):
-        now = docs.sparkSession.createDataFrame([(s, *v) for s, v in state.items()], "s string, lo double, hi double, need double")
-        return queue.join(F.broadcast(now) if len(state) <= 10_000 else now, F.col("source").eqNullSafe(F.col("s"))).where("place < 1.0 AND place >= lo AND place < hi")
-
+def _with(docs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with the columns of their source's row in ``table``, a staged one."""
+    some = table.select(F.col("source").alias("_source"), *columns)
+    small = table.count() <= SMALL_PLAN
+    return docs.join(F.broadcast(some) if small else some, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def _placed(docs: DataFrame, plan: DataFrame, columns: list[str], cap: float) -> DataFrame:
+    """Adds the source's facts, and the document's rate, hash and place in the queue."""
+    lam, mean, size = F.col("lam"), F.col("mean"), F.col("size")
+    rate = F.when(size == 0, 0.0).when(lam == math.inf, cap).when(lam == -math.inf, 0.0).otherwise(_tilt(lam, size.cast("double"), mean, cap))
+    rows = _with(docs, plan, ["lam", "mean", *columns]).withColumn("rate", rate).withColumn("unit", _unit(F.col("id")))
+    return rows.withColumn("place", _order(F.col("rate"), F.col("unit")))
+
+
+def _copies(docs: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
+    rows = _placed(docs, plan, ["words", "target", "cut", "more"], cap)
+    more = ((F.col("place") < F.col("cut")) | ((F.col("place") < 1.0) & F.array_contains("more", _key(F.col("unit"))))).cast("long")
+    return rows.withColumn("copies", F.floor("rate").cast("long") + more)
+
+
+def _plan(docs: DataFrame, targets: dict | None, cap: float) -> DataFrame:
+    """A row a source: words, target, lam, mean, and what places its rounding: cut and more."""
+    counted = stage(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    per = stage(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs")), "words")
+    if targets is None:
+        per = shares(per, cap)
+    else:
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "of string, t double")
+        per = per.join(given, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("target", F.least(F.lit(cap) * F.col("words"), F.coalesce("t", F.lit(0.0)))).drop("of", "t")
+    per = stage(per.withColumn("mean", F.coalesce(F.col("words") / F.col("docs"), F.lit(1.0))), "targets")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf[pdf["size"] > 0]
+        lam = solve(some["size"].to_numpy(float), some["n"].to_numpy(float), float(pdf["target"].iloc[0]), cap)
+        release()
+        return pd.DataFrame({"source": pdf["source"].iloc[:1], "lam": [lam]})
+
+    kind = docs.schema["source"].dataType.simpleString()
+    facts = _with(counted, per, ["target"]).groupBy("source").applyInPandas(one, f"source {kind}, lam double")
+    tilts = stage(facts, "tilts")
+    solved = stage(_with(per, tilts, ["lam"]), "solved")
+    plan = stage(_cuts(docs, solved, cap), "plan")
+    drop(counted, per, tilts, solved)
+    return plan
+
+
+def _cuts(docs: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
+    """``solved`` with cut, the place in the queue up to which one more copy keeps the words
+    taken within the target, found by two histograms of BUCKETS places each; and more, the
+    keys of FILL documents behind it that each fill most of what is then left."""
+    queue = _placed(docs.where("size > 0"), solved, ["target"], cap)
+    base = queue.groupBy("source").agg(F.sum(F.floor("rate") * F.col("size")).alias("base"), F.first("target").alias("t"))
+    state = stage(base.select("source", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.greatest(F.lit(0.0), F.col("t") - F.col("base")).alias("need")), "cuts")
+    queue = queue.where("place < 1.0").select("source", "size", "place", _key(F.col("unit")).alias("key"))
     for _ in range(2):
         place = F.floor((F.col("place") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)
-        bins = near(found).withColumn("b", F.least(F.lit(BUCKETS - 1), place)).groupBy("s", "b").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
-        upto = F.sum("w").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
-        runs = bins.withColumn("upto", upto).where("upto > need").groupBy("s").agg(F.min(F.struct("b", "upto", "w")).alias("x")).collect()
-        hit = {r["s"]: r["x"] for r in runs}
-        for s, (lo, hi, need) in found.items():
-            x, step = hit.get(s), (hi - lo) / BUCKETS
-            # without a bucket that passes the need, all of them are taken
-            found[s] = (lo + step * x["b"], lo + step * (x["b"] + 1), need - (x["upto"] - x["w"])) if x else (hi, hi, need)
-    left = {s: (lo, 1.0, need) for s, (lo, _, need) in found.items()}
+        here = _with(queue, state, ["lo", "hi", "need"]).where("place >= lo AND place < hi")
+        bins = here.withColumn("b", F.least(F.lit(BUCKETS - 1), place)).groupBy("source", "b").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
+        upto = F.sum("w").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
+        hits = bins.withColumn("upto", upto).where("upto > need").groupBy("source").agg(F.min(F.struct("b", "upto", "w")).alias("x"))
+        # without a bucket that passes the need, all of them are taken
+        hit = state.join(hits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+        step, x = (F.col("hi") - F.col("lo")) / BUCKETS, F.col("x")
+        next_ = hit.select("source", F.when(x.isNull(), F.col("hi")).otherwise(F.col("lo") + step * x["b"]).alias("lo"), F.when(x.isNull(), F.col("hi")).otherwise(F.col("lo") + step * (x["b"] + 1)).alias("hi"), F.when(x.isNull(), F.col("need")).otherwise(F.col("need") - (x["upto"] - x["w"])).alias("need"))
+        last, state = state, stage(next_, "cuts")
+        drop(last)
+    none = F.array().cast("array<long>")
+    state = stage(state.select("source", F.col("lo").alias("cut"), "need", none.alias("tried"), none.alias("more")), "cuts")
     for _ in range(FILL):
-        taken = [k for ks in more.values() for k in ks]
-        fits = near({s: v for s, v in left.items() if v[2] >= 1.0}).withColumn("key", _key(F.col("unit"))).where("size <= need").where(~F.col("key").isin(taken) if taken else F.lit(True))
-        for r in fits.groupBy("s").agg(F.max(F.struct("size", "key")).alias("x")).collect():
-            more[r["s"]].append(r["x"]["key"])
-            lo, hi, need = left[r["s"]]
-            left[r["s"]] = (lo, hi, need - r["x"]["size"])
-    return {s: lo for s, (lo, _, _) in found.items()}, more
+        behind = _with(queue, state, ["cut", "need", "tried"]).where("need >= 1 AND place >= cut AND size <= need").where(~F.array_contains("tried", F.col("key")))
+        best = stage(behind.groupBy("source").agg(F.max(F.struct("size", "key")).alias("x")).select("source", F.col("x.key").alias("best")), "best")
+        # rows that repeat the document's id are taken with it
+        whole = _with(queue, best, ["best"]).where("key = best").groupBy("source", "key").agg(F.sum("size").alias("w"))
+        got = state.join(whole.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+        fits = F.col("w") <= F.col("need")
+        tried = F.when(F.col("key").isNull(), F.col("tried")).otherwise(F.concat("tried", F.array("key")))
+        next_ = got.select("source", "cut", F.when(fits, F.col("need") - F.col("w")).otherwise(F.col("need")).alias("need"), tried.alias("tried"), F.when(fits, F.concat("more", F.array("key"))).otherwise(F.col("more")).alias("more"))
+        last, state = state, stage(next_, "cuts")
+        drop(last, best)
+    facts = state.select(F.col("source").alias("of"), "cut", "more")
+    out = solved.join(facts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return out.withColumn("cut", F.coalesce("cut", F.lit(0.0))).withColumn("more", F.coalesce("more", none))

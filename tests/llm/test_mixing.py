@@ -22,9 +22,13 @@ def shares(sizes, cap=3.0):
         fixed.update({s: cap * sizes[s] for s in over})
 
 
-def test_shares():
-    for sizes in ({"a": 10, "b": 1000, "c": 10, "d": 10, None: 5}, {"a": 0, "b": 7}, {None: 3}, {}):
-        assert M.shares(sizes) == pytest.approx(shares(sizes))
+def test_shares(spark):
+    rng = random.Random(1)
+    many = {f"s{k:04}": rng.choice([0, 1, 10, 1000]) for k in range(500)} | {None: 7, "é": 3, "Z": 50}
+    for sizes in ({"a": 10, "b": 1000, "c": 10, "d": 10, None: 5}, {"a": 0, "b": 7}, {None: 3}, {}, many):
+        per = spark.createDataFrame(list(sizes.items()), "source string, words long")
+        got = {r["source"]: r["target"] for r in M.shares(per).collect()}
+        assert got == pytest.approx(shares(sizes))
 
 
 def rows():
@@ -53,14 +57,18 @@ def test_mix(spark):
     assert again == sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=str)
 
 
-def test_newton_meets_its_targets(spark):
-    hist = spark.createDataFrame([(0, s, 10) for s in range(1, 50)] + [(1, 7, 3)], "k int, size long, n long")
-    words = {0: sum(range(1, 50)) * 10, 1: 21}
-    lam = M.solve_tilts(hist, {0: 25.0, 1: 7.0}, {0: 0.4 * words[0], 1: 2.5 * 21}, words)
+def test_newton_meets_its_targets():
     import math
 
-    total = sum(10 * s * min(3.0, math.exp(lam[0] * s / 25.0)) for s in range(1, 50))
-    assert total == pytest.approx(0.4 * words[0], rel=1e-6) and math.exp(lam[1]) == pytest.approx(2.5, rel=1e-6)
+    import numpy as np
+
+    size, n = np.arange(1.0, 50), np.full(49, 10.0)
+    words = float((size * n).sum())
+    for share in (0.001, 0.4, 1.0, 1.7, 2.99):
+        lam = M.solve(size, n, share * words)
+        assert sum(10 * s * min(3.0, math.exp(lam * s / 25.0)) for s in range(1, 50)) == pytest.approx(share * words, rel=1e-6)
+    assert math.exp(M.solve(np.array([7.0]), np.array([3.0]), 2.5 * 21)) == pytest.approx(2.5, rel=1e-6)
+    assert M.solve(size, n, 3 * words) == math.inf and M.solve(size, n, 0.0) == -math.inf == M.solve(np.zeros(0), np.zeros(0), 0.0)
 
 
 def test_documents_come_as_often_as_taken(spark):
@@ -75,3 +83,34 @@ def test_documents_come_as_often_as_taken(spark):
         seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + 1
     assert {k: v for k, v in plan.items() if v} == seen
     assert M.mix_to_targets(df.limit(0)).count() == 0
+
+
+def test_columns_with_the_names_that_the_operator_uses(spark):
+    names = ["source", "size", "row", "id", "lam", "mean", "cut", "more", "target", "copies", "rate", "unit", "place", "words", "_source", "_size", "_hash", "need"]
+    names = [n for n in names if n != "source"]
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), "a" if k % 3 else None, *(f"{n}{k}" for n in names)) for k in range(60)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+
+
+def test_many_sources_and_repeated_ids(spark, monkeypatch):
+    """Plans beyond what is copied to all tasks; one id that holds much of a source."""
+    monkeypatch.setattr(M, "SMALL_PLAN", 10)
+    rng = random.Random(4)
+    data = [(k, "w " * rng.choice([3, 10, 40]), f"s{k % 150:03}") for k in range(3000)]
+    data += [(99999, "w " * 25, "rep")] * 40 + [(k + 10**6, "w " * 11, "rep") for k in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    size, taken = {}, {}
+    for _, t, s in data:
+        size[s] = size.get(s, 0) + len(t.split())
+    source = {k: s for k, _, s in data}
+    got = M.mix_to_targets(df).collect()
+    assert len(got) == len(data)
+    for r in got:
+        s = source[r["doc_id"]]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    want = shares(size)
+    assert all(abs(taken[s] - t) <= 45 for s, t in want.items() if s != "rep")
+    assert taken["rep"] <= want["rep"] + 1 or abs(taken["rep"] - want["rep"]) <= 40 * 25
