@@ -142,23 +142,22 @@ def _order(rate: Column, unit: Column) -> Column:
     return F.when(part <= 1e-12, F.lit(1.0)).otherwise(unit / (unit + part))
 
 
-def _with(docs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with the columns of their source's row in ``table``, a staged one."""
+def _with(docs: DataFrame, table: DataFrame, columns: list[str], small: bool) -> DataFrame:
+    """docs with the columns of their source's row in ``table``; ``small``: SMALL_PLAN rows at most."""
     some = table.select(F.col("source").alias("_source"), *columns)
-    small = table.count() <= SMALL_PLAN
     return docs.join(F.broadcast(some) if small else some, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def _placed(docs: DataFrame, plan: DataFrame, columns: list[str], cap: float) -> DataFrame:
+def _placed(docs: DataFrame, plan: DataFrame, columns: list[str], cap: float, small: bool) -> DataFrame:
     """Adds the source's facts, and the document's rate, hash and place in the queue."""
     lam, mean, size = F.col("lam"), F.col("mean"), F.col("size")
     rate = F.when(size == 0, 0.0).when(lam == math.inf, cap).when(lam == -math.inf, 0.0).otherwise(_tilt(lam, size.cast("double"), mean, cap))
-    rows = _with(docs, plan, ["lam", "mean", *columns]).withColumn("rate", rate).withColumn("unit", _unit(F.col("id")))
+    rows = _with(docs, plan, ["lam", "mean", *columns], small).withColumn("rate", rate).withColumn("unit", _unit(F.col("id")))
     return rows.withColumn("place", _order(F.col("rate"), F.col("unit")))
 
 
 def _copies(docs: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
-    rows = _placed(docs, plan, ["words", "target", "cut", "more"], cap)
+    rows = _placed(docs, plan, ["words", "target", "cut", "more"], cap, plan.count() <= SMALL_PLAN)
     more = ((F.col("place") < F.col("cut")) | ((F.col("place") < 1.0) & F.array_contains("more", _key(F.col("unit"))))).cast("long")
     return rows.withColumn("copies", F.floor("rate").cast("long") + more)
 
@@ -174,32 +173,33 @@ def _plan(docs: DataFrame, targets: dict | None, cap: float) -> DataFrame:
         per = per.join(given, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("target", F.least(F.lit(cap) * F.col("words"), F.coalesce("t", F.lit(0.0)))).drop("of", "t")
     per = stage(per.withColumn("mean", F.coalesce(F.col("words") / F.col("docs"), F.lit(1.0))), "targets")
 
+    small = per.count() <= SMALL_PLAN
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         some = pdf[pdf["size"] > 0]
         lam = solve(some["size"].to_numpy(float), some["n"].to_numpy(float), float(pdf["target"].iloc[0]), cap)
         release()
-        return pd.DataFrame({"source": pdf["source"].iloc[:1], "lam": [lam]})
+        return pdf[["source", "words", "target", "mean"]].iloc[:1].assign(lam=[lam])
 
     kind = docs.schema["source"].dataType.simpleString()
-    facts = _with(counted, per, ["target"]).groupBy("source").applyInPandas(one, f"source {kind}, lam double")
-    tilts = stage(facts, "tilts")
-    solved = stage(_with(per, tilts, ["lam"]), "solved")
-    plan = stage(_cuts(docs, solved, cap), "plan")
-    drop(counted, per, tilts, solved)
+    facts = _with(counted, per, ["words", "target", "mean"], small).groupBy("source")
+    solved = stage(facts.applyInPandas(one, f"source {kind}, words long, target double, mean double, lam double"), "solved")
+    plan = stage(_cuts(docs, solved, cap, small), "plan")
+    drop(counted, per, solved)
     return plan
 
 
-def _cuts(docs: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
+def _cuts(docs: DataFrame, solved: DataFrame, cap: float, small: bool) -> DataFrame:
     """``solved`` with cut, the place in the queue up to which one more copy keeps the words
     taken within the target, found by two histograms of BUCKETS places each; and more, the
     keys of FILL documents behind it that each fill most of what is then left."""
-    queue = _placed(docs.where("size > 0"), solved, ["target"], cap)
+    queue = _placed(docs.where("size > 0"), solved, ["target"], cap, small)
     base = queue.groupBy("source").agg(F.sum(F.floor("rate") * F.col("size")).alias("base"), F.first("target").alias("t"))
     state = stage(base.select("source", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.greatest(F.lit(0.0), F.col("t") - F.col("base")).alias("need")), "cuts")
     queue = queue.where("place < 1.0").select("source", "size", "place", _key(F.col("unit")).alias("key"))
     for _ in range(2):
         place = F.floor((F.col("place") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)
-        here = _with(queue, state, ["lo", "hi", "need"]).where("place >= lo AND place < hi")
+        here = _with(queue, state, ["lo", "hi", "need"], small).where("place >= lo AND place < hi")
         bins = here.withColumn("b", F.least(F.lit(BUCKETS - 1), place)).groupBy("source", "b").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
         upto = F.sum("w").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
         hits = bins.withColumn("upto", upto).where("upto > need").groupBy("source").agg(F.min(F.struct("b", "upto", "w")).alias("x"))
@@ -212,16 +212,16 @@ def _cuts(docs: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
     none = F.array().cast("array<long>")
     state = stage(state.select("source", F.col("lo").alias("cut"), "need", none.alias("tried"), none.alias("more")), "cuts")
     for _ in range(FILL):
-        behind = _with(queue, state, ["cut", "need", "tried"]).where("need >= 1 AND place >= cut AND size <= need").where(~F.array_contains("tried", F.col("key")))
-        best = stage(behind.groupBy("source").agg(F.max(F.struct("size", "key")).alias("x")).select("source", F.col("x.key").alias("best")), "best")
+        behind = _with(queue, state, ["cut", "need", "tried"], small).where("need >= 1 AND place >= cut AND size <= need").where(~F.array_contains("tried", F.col("key")))
+        best = behind.groupBy("source").agg(F.max(F.struct("size", "key")).alias("x")).select("source", F.col("x.key").alias("best"))
         # rows that repeat the document's id are taken with it
-        whole = _with(queue, best, ["best"]).where("key = best").groupBy("source", "key").agg(F.sum("size").alias("w"))
+        whole = _with(queue, best, ["best"], small).where("key = best").groupBy("source", "key").agg(F.sum("size").alias("w"))
         got = state.join(whole.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
         fits = F.col("w") <= F.col("need")
         tried = F.when(F.col("key").isNull(), F.col("tried")).otherwise(F.concat("tried", F.array("key")))
         next_ = got.select("source", "cut", F.when(fits, F.col("need") - F.col("w")).otherwise(F.col("need")).alias("need"), tried.alias("tried"), F.when(fits, F.concat("more", F.array("key"))).otherwise(F.col("more")).alias("more"))
         last, state = state, stage(next_, "cuts")
-        drop(last, best)
+        drop(last)
     facts = state.select(F.col("source").alias("of"), "cut", "more")
     out = solved.join(facts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     return out.withColumn("cut", F.coalesce("cut", F.lit(0.0))).withColumn("more", F.coalesce("more", none))
