@@ -13,19 +13,19 @@ _SEEN: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.  Where it is unset: a temporary folder
-    in local mode (one machine), the warehouse folder on a cluster."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset: a temporary folder in local
+    mode (one machine); on a cluster an error, since nothing else is sure to be shared."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
-        return _OWN[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern"
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
+    return _OWN[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
