@@ -92,9 +92,9 @@ def _match_in_rounds(pairs: DataFrame, group: str, left_id: str, right_id: str)
     live, out = stage(pairs, "pairs"), None
     best = F.max_by(F.struct(left_id, right_id), F.struct("iou", -F.col(left_id), -F.col(right_id)))
     while not live.isEmpty():
-        of_left = live.groupBy(group, left_id).agg(best.alias("p")).select(group, "p")
-        of_right = live.groupBy(group, right_id).agg(best.alias("p")).select(group, "p")
-        both = stage(of_left.intersect(of_right).select(group, "p.*"), "matched")
+        of_left = live.groupBy(group, left_id).agg(best.alias("_pair")).select(group, "_pair")
+        of_right = live.groupBy(group, right_id).agg(best.alias("_pair")).select(group, "_pair")
+        both = stage(of_left.intersect(of_right).select(group, "_pair.*"), "matched")
         taken = live.join(both, [group, left_id, right_id], "left_semi")
         out = taken if out is None else out.unionByName(taken)
         rest = live.join(both.select(group, left_id), [group, left_id], "left_anti").join(both.select(group, right_id), [group, right_id], "left_anti")

@@ -192,7 +192,8 @@ class Network:
         """The same description over another input; parameters whose shape stays are kept."""
         name = name or self.roots()[0]
         size = {"width": width, "height": height, "channels": channels}
-        return self._like([Layer(x.type, x.id, x.parents, {**x.options, **size} if x.id == name else x.options) for x in self.layers])
+        plain = lambda o: {k: {a: b for a, b in v.items() if a != "buffer"} if isinstance(v, dict) else v for k, v in o.items() if k not in ("weights", "bias") or isinstance(v, dict)}
+        return self._like([Layer(x.type, x.id, x.parents, {**x.options, **size} if x.id == name else plain(x.options)) for x in self.layers])
 
     # -- looking at it ----------------------------------------------------------------------------
 
