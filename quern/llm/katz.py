@@ -1,21 +1,25 @@
-"""Katz backoff language model with Good-Turing discounts, kept in partitioned tables.
+"""Katz backoff language model of order 3 with Good-Turing discounts, kept in partitioned tables.
 
-P(w | h) = c*(h, w) / c(h) for pairs seen in training, else backoff(h) * P(w); P(w) =
+P(w | h2 h1) = c*(h2 h1 w) / c(h2 h1) for triples seen in training, else
+backoff(h2 h1) * P(w | h1); P(w | h1) likewise from pairs and backoff(h1) * P(w); P(w) =
 c*(w) / N for known words, else the mass that the known ones leave, all unknown words being
-one class.  c* is the Good-Turing count up to MAX_RANK and c - TAIL beyond, so that every
-context keeps some mass for what it has not shown; backoff(h) divides exactly that mass by
-the exact probability of all words unseen after h.  A text's words are lower-cased (A-Z), its
-contexts start with a begin mark, and an end token closes it.
-
-Words are 64-bit hashes in numpy arrays.  Pairs are dealt to parts by their second word,
-so a part knows the counts of its words and of their pairs; contexts are dealt by the first
-word.  Scores need three facts of a token, found in two hops: c(w) and c(h, w) in the part
-of w, and for unseen pairs only the backoff weight in the part of h.
-
-Words with 1/HOT of all tokens or more are HOT at most, so tasks hold their counts and deal
-their pairs by both words; pairs that frequent are HOT at most as well and are resolved
-where they are read.  The exchange runs in PASSES passes over the parts, which divides the
-disk that shuffles need.
+one class.  c* is the Good-Turing count up to MAX_RANK and c - TAIL beyond, with discounts of
+each order, so that every context keeps some mass for what it has not shown; its backoff
+weight divides exactly that mass by the exact probability of all words unseen after it.  A
+text's words are lower-cased (A-Z), its contexts start with begin marks, and an end token
+closes it.
+
+Words are 64-bit hashes in numpy arrays (of the word before last 40 bits, which only tell
+apart what stands before the same pair).  N-grams are dealt to parts by their last word, so a
+part knows the counts of its words and of all their pairs and triples; contexts are dealt by
+their last word too.  Scores need two hops: what a word's part knows of a token, and for
+triples it has not seen, what the context's part knows: backoff weights and counts.
+
+A word that holds more than an eighth of a part, or 1/HOT of all tokens, is dealt by the word
+before it as well; a pair as frequent as that by all three words; and a triple as frequent
+is resolved where it is read.  Tasks hold the counts of these (MOST of each at most, in fact
+far fewer).  The exchange runs in PASSES passes over the parts, which divides the disk that
+shuffles need.
 
 Defined cases: a null text is empty, and has its end token only; rows that repeat are
 scored and counted one by one; without training texts every word is unknown and the end
@@ -35,19 +39,32 @@ from pyspark.sql import functions as F
 
 from quern.llm import hashing as H
 from quern.llm.scratch import drop, release_shuffles, stage
+from quern.llm.workers import lean, release
 
 MAX_RANK, TAIL = 5, 0.5
-HOT = 4096
-PART_TOKENS, MIN_PARTS, PASSES = 3_000_000, 24, 3
+HOT, MOST = 4096, 1 << 20
+PART_TOKENS, MIN_PARTS, PASSES = 2_000_000, 24, 5
 CHUNK_TOKENS = 1_500_000
 U64 = H.U64
 BEGIN, END = U64(0x8BADF00D5EED0001), U64(0x8BADF00D5EED0002)
-_BLOBS = "part int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
-_NAMES = ["part", "kind", "chunk", "a", "b", "c", "d", "e"]
+#: Bits of the hash of the word before last that are left out.
+SHORT = U64(24)
+_COLUMNS = "abcdefg"
+_BLOBS = "part int, kind int, chunk long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+_NAMES = ["part", "kind", "chunk", *_COLUMNS]
+_C1, _C2, _C3 = U64(0xD1342543DE82EF95), U64(0x9E3779B97F4A7C15), U64(0xA0761D6478BD642F)
+
+
+def pair_key(w: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    return H.mix(w * _C1 + h1)
 
 
-def pair_key(w: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return H.mix(w * U64(0xD1342543DE82EF95) + h)
+def triple_key(pair: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return H.mix(pair * _C2 + h2)
+
+
+def context_key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return H.mix(h1 * _C3 + h2)
 
 
 def good_turing(n: list[float], k: int = MAX_RANK) -> np.ndarray:
@@ -73,56 +90,194 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= len(d), d[small - 1] * c, c - TAIL)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context and text index of every token of the texts, end tokens included."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every token of the texts, end tokens included: its word, the word before, the one before
+    that (40 bits), and its text's index."""
     h, first, _ = H.word_hashes(texts, lower=True)
     w = np.insert(h, first[1:], END)
-    c = np.insert(h, first[:-1], BEGIN)
-    return w, c, np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
+    h1 = np.insert(h, first[:-1], BEGIN)
+    h2 = np.empty_like(h1)
+    h2[1:] = h1[:-1]
+    h2[first[:-1] + np.arange(len(first) - 1)] = BEGIN
+    return w, h1, h2 >> SHORT, np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
+
+
+# -- arrays -------------------------------------------------------------------------------------
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each group starts in it."""
+    order = np.argsort(key)
+    s = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+
+
+def _sums(order: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values[order], starts) if len(starts) else values[:0]
+
+
+def _each(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The group of every entry."""
+    at = np.empty(len(order), np.int64)
+    at[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return at
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted are among the sorted keys, and their values, else 0.  Sorting them
+    first makes neighbours of the places that are looked at."""
+    if not len(keys) or not len(wanted):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), values.dtype)
+    order = np.argsort(wanted)
+    s = wanted[order]
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    same = keys[at] == s
+    hit, value = np.empty(len(s), bool), np.empty(len(s), values.dtype)
+    hit[order] = same
+    value[order] = np.where(same, values[at], values.dtype.type(0))
+    return hit, value
+
+
+class Few:
+    """Sorted keys, few enough to be looked up through a table of their first 20 bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        slot = (keys >> U64(44)).astype(np.int64)
+        self.table = np.full(1 << 20, -1, np.int32)
+        self.table[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
+        self.rest = np.flatnonzero(self.table[slot] != np.arange(len(keys)))  # behind another in their slot
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys) or not len(wanted):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), self.values.dtype)
+        if len(self.rest) > 200:
+            return _find(self.keys, self.values, wanted)
+        at = self.table[(wanted >> U64(44)).astype(np.int64)]
+        hit = self.keys[at] == wanted
+        for k in self.rest:
+            more = wanted == self.keys[k]
+            at[more] = k
+            hit |= more
+        return hit, np.where(hit, self.values[at], self.values.dtype.type(0))
+
+    def __reduce__(self):
+        return Few, (self.keys, self.values)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _small(n: np.ndarray) -> bytes:
+    """Counts, a byte each where all fit."""
+    return n.astype(np.uint8 if not len(n) or n.max() < 256 else np.uint32).tobytes()
+
+
+def _counts_of(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8 if len(blob) == size else np.uint32).astype(np.int64)
+
+
+def _runs(x: np.ndarray, starts: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    starts = _starts(x) if starts is None else starts
+    return x[starts].tobytes(), _small(np.diff(np.append(starts, len(x))))
+
+
+def _unrun(values: bytes, runs: bytes) -> np.ndarray:
+    u = np.frombuffer(values, U64)
+    return np.repeat(u, _counts_of(runs, len(u)))
+
+
+def _five(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unfive(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(U64)
+
+
+def _deal(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the entries by part, then by key, and each part's range in it."""
+    order = np.argsort(key)
+    order = order[np.argsort(part[order].astype(np.uint16 if not len(part) or part.max() < 65_536 else np.int64), kind="stable")]
+    starts = _starts(part[order]) if len(part) else np.zeros(0, np.int64)
+    return order, list(zip(part[order][starts].tolist(), starts.tolist(), np.append(starts[1:], len(part)).tolist()))
+
+
+def _row(part: int, kind: int, chunk: int, *blobs: bytes) -> tuple:
+    return (part, kind, chunk, *blobs, *[None] * (len(_COLUMNS) - len(blobs)))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * len(_COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _NAMES)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES).astype({"part": "int32", "kind": "int32", "chunk": "int64"})
+
+
+def _released(run: Callable) -> Callable:
+    """A function for applyInPandas that gives memory back after each group."""
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = run(pdf)
+        del pdf
+        release()
+        return out
+
+    return group
+
+
+# -- the model --------------------------------------------------------------------------------------
 
 
 @dataclass
 class Frequent:
-    """Counts of the words, and of the pairs, that are frequent; HOT of each at most."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    pairs: np.ndarray  # (second word, first word), by key
-    keys: np.ndarray
-    pair_counts: np.ndarray
+    """Counts of the words, pairs and triples that are frequent."""
+
+    words: Few
+    pairs: Few  # by pair_key
+    triples: Few  # by triple_key
+    pair: tuple[np.ndarray, np.ndarray]  # (w, h1) of the pairs, in their order
+    triple: tuple[np.ndarray, np.ndarray, np.ndarray]  # (w, h1, h2) of the triples
+    contexts: Few  # counts of frequent words as contexts, the begin mark's among them
     parts: int
 
-    def part(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
-        hot, _ = _find(self.words, self.counts, w)
-        return (H.mix(np.where(hot, pair_key(w, h), w) ^ U64(0xA5A5)) % U64(self.parts)).astype(np.int64)
+    def part(self, w: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> np.ndarray:
+        hot, _ = self.words.find(w)
+        key = np.where(hot, pair, w)
+        both = np.flatnonzero(hot)
+        more, _ = self.pairs.find(pair[both])
+        key[both[more]] = triple[both[more]]
+        return (H.mix(key ^ U64(0xA5A5)) % U64(self.parts)).astype(np.int64)
 
-    def part_of_context(self, h: np.ndarray) -> np.ndarray:
-        return (H.mix(h ^ U64(0xC3C3)) % U64(self.parts)).astype(np.int64)
+    def part_of_context(self, h1: np.ndarray, h2: np.ndarray | None = None) -> np.ndarray:
+        key = h1
+        if h2 is not None:
+            hot, _ = self.contexts.find(h1)
+            key = np.where(hot, context_key(h1, h2), h1)
+        return (H.mix(key ^ U64(0xC3C3)) % U64(self.parts)).astype(np.int64)
 
 
 @dataclass
 class Katz:
-    frequent: Frequent
     n: int  # training tokens
     v: int  # distinct ones
     documents: int
-    d1: np.ndarray
-    d2: np.ndarray
     unknown: float
-    pair_tables: list[DataFrame]  # by pass, a row a part: words, their pairs' contexts and counts
+    discounts: list[np.ndarray]  # of words, pairs, triples
+    frequent: Frequent
+    backoff: Few  # of frequent words as contexts
+    tables: list[DataFrame]  # by pass, a row a part: words, and their pairs' and triples' counts
     contexts: DataFrame  # a row a part: contexts, counts and backoff weights
 
-    def facts(self) -> dict:
-        return {k: getattr(self, k) for k in ("frequent", "n", "v", "documents", "d1", "d2", "unknown")}
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return hit, np.where(hit, values[at], values.dtype.type(0))
-
 
 def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, tuple]]:
     """Rows with their tokens, CHUNK_TOKENS or so at a time."""
@@ -138,290 +293,387 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
 
 
 def _counts(source: DataFrame, pick: Callable) -> DataFrame:
-    """(a, b, c): summed counts of the pairs of hashes that ``pick`` takes from the tokens."""
+    """(a, b, c, n): summed counts of the triples of hashes that ``pick`` takes from the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, c, held = [], [], [], 0
-
-        def packed():
-            x, y, n = np.concatenate(a), np.concatenate(b), np.concatenate(c)
-            key, at, inverse = np.unique(pair_key(x, y), return_index=True, return_inverse=True)
-            return x[at], y[at], np.bincount(inverse, n, len(key)).astype(np.int64)
-
-        for _, (w, h, _) in _chunks(batches, 0):
-            x, y = pick(w, h)
-            key, at, n = np.unique(pair_key(x, y), return_index=True, return_counts=True)
-            a.append(x[at])
-            b.append(y[at])
-            c.append(n)
-            held += len(at)
-            if held > 3_000_000:
-                x, y, n = packed()
-                yield pa.RecordBatch.from_arrays([pa.array(H.signed(x)), pa.array(H.signed(y)), pa.array(n)], ["a", "b", "c"])
-                a, b, c, held = [], [], [], 0
-        if held:
-            x, y, n = packed()
-            yield pa.RecordBatch.from_arrays([pa.array(H.signed(x)), pa.array(H.signed(y)), pa.array(n)], ["a", "b", "c"])
-
-    return source.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+        held: list[tuple] = []
+        size = 0
 
+        def merged(parts: list[tuple]) -> tuple:
+            a, b, c, n = (np.concatenate(x) for x in zip(*parts))
+            order, starts = _groups(triple_key(pair_key(a, b), c))
+            at = order[starts]
+            return a[at], b[at], c[at], _sums(order, starts, n)
 
-def _u64(rows, name: str) -> np.ndarray:
-    return np.array([r[name] for r in rows], np.int64).view(U64)
+        def rows():
+            a, b, c, n = merged(held)
+            return pa.RecordBatch.from_arrays([*(pa.array(H.signed(x)) for x in (a, b, c)), pa.array(n)], ["a", "b", "c", "n"])
 
+        for _, (w, h1, h2, _) in _chunks(batches, 0):
+            a, b, c = pick(w, h1, h2)
+            held.append(merged([(a, b, c, np.ones(len(a), np.int64))]))
+            size += len(held[-1][0])
+            if size > 3_000_000:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _NAMES)
-
+    return source.mapInArrow(lean(run), "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_NAMES).astype({"part": "int32", "kind": "int32", "chunk": "int64"})
-
-
-def _deal(part: np.ndarray, order_by: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of the entries by part, then by ``order_by``, and each part's range in it."""
-    order = np.lexsort((order_by, part))
-    ids, first, n = np.unique(part[order], return_index=True, return_counts=True)
-    return order, list(zip(ids.tolist(), first.tolist(), (first + n).tolist()))
 
+def _u64(rows, name: str) -> np.ndarray:
+    return np.array([r[name] for r in rows], np.int64).view(U64)
 
-def _runs(x: np.ndarray) -> tuple[bytes, bytes]:
-    u, n = np.unique(x, return_counts=True)
-    return u.tobytes(), n.astype(np.uint32).tobytes()
 
+def _sorted(keys: np.ndarray, values: np.ndarray, *columns: np.ndarray) -> tuple:
+    order = np.argsort(keys)
+    return Few(keys[order], values[order]), tuple(c[order] for c in columns)
 
-def _unrun(values: bytes, runs: bytes) -> np.ndarray:
-    return np.repeat(np.frombuffer(values, U64), np.frombuffer(runs, np.uint32))
 
+TABLE, TOKENS, NEEDS, SUMS, LOWER, UPPER, WEIGHTS, ROWS = range(8)
 
-PAIRS, TOKENS, NEEDS, SUMS, WEIGHTS, ROWS = range(6)
 
+def _table_exchange(source: DataFrame, f, g: int, passes: int) -> DataFrame:
+    """The counted triples of the parts of pass g, a row a part; ``f`` is a broadcast."""
 
-def _pair_exchange(source: DataFrame, f: Frequent, g: int, passes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (w, h, _) in _chunks(batches, 0):
-            key, at, n = np.unique(pair_key(w, h), return_index=True, return_counts=True)
-            heavy, _ = _find(f.keys, f.pair_counts, key)
+        q: Frequent = f.value
+        for _, (w, h1, h2, _) in _chunks(batches, 0):
+            pair = pair_key(w, h1)
+            triple = triple_key(pair, h2)
+            part = q.part(w, pair, triple)
+            mine = np.flatnonzero(part % passes == g)
+            order, starts = _groups(triple[mine])
+            n = np.diff(np.append(starts, len(order)))
+            at = mine[order[starts]]
+            heavy, _ = q.triples.find(triple[at])
             at, n = at[~heavy], n[~heavy]
-            w, h = w[at], h[at]
-            part = f.part(w, h)
-            mine = part % passes == g
-            w, h, n, part = w[mine], h[mine], n[mine], part[mine]
-            order, ranges = _deal(part, w)
-            w, h, n = w[order], h[order], n[order].astype(np.uint32)
-            rows = [(p, PAIRS, 0, *_runs(w[x:y]), h[x:y].tobytes(), n[x:y].tobytes(), None) for p, x, y in ranges]
+            order, ranges = _deal(part[at], w[at])
+            at, n = at[order], n[order]
+            rows = [_row(p, TABLE, 0, *_runs(w[at[x:y]]), h1[at[x:y]].tobytes(), _five(h2[at[x:y]]), _small(n[x:y])) for p, x, y in ranges]
             if rows:
                 yield _batch(rows)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        q: Frequent = f.value
         w = np.concatenate([_unrun(a, b) for a, b in zip(pdf["a"], pdf["b"])])
-        h = np.concatenate([np.frombuffer(c, U64) for c in pdf["c"]])
-        n = np.concatenate([np.frombuffer(d, np.uint32) for d in pdf["d"]])
-        _, at, inverse = np.unique(pair_key(w, h), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, n, len(at)).astype(np.uint32)
-        w, h = w[at], h[at]
-        order = np.lexsort((h, w))
-        w, h, n = w[order], h[order], n[order]
-        return _frame([(int(pdf["part"].iloc[0]), PAIRS, 0, *_runs(w), h.tobytes(), n.tobytes(), np.bincount(np.minimum(n, MAX_RANK + 2), minlength=MAX_RANK + 3).astype(np.int64).tobytes())])
-
-    return source.mapInArrow(run, _BLOBS).groupBy("part").applyInPandas(merge, _BLOBS)
-
-
-def _word_counts(f: Frequent, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted words of a part and their counts: summed over their pairs, all of which are
-    in the part, or for frequent words known beforehand."""
-    u, at = np.unique(w, return_inverse=True)
-    c = np.bincount(at, n, len(u)).astype(np.int64)
-    hot, known = _find(f.words, f.counts, u)
-    return u, np.where(hot, known, c)
+        h1 = np.concatenate([np.frombuffer(c, U64) for c in pdf["c"]])
+        h2 = np.concatenate([_unfive(d) for d in pdf["d"]])
+        n = np.concatenate([_counts_of(e, len(d) // 5) for d, e in zip(pdf["d"], pdf["e"])])
+        pair = pair_key(w, h1)
+        order, starts = _groups(triple_key(pair, h2))
+        at, n = order[starts], _sums(order, starts, n)
+        w, h1, h2, pair = w[at], h1[at], h2[at], pair[at]
+        # in the order of words, then of the words before; equal pairs side by side, nearly always
+        word = _each(*_groups(w))
+        order = np.argsort((word.astype(U64) << U64(40)) | (h1 >> SHORT))
+        w, h1, h2, n, pair = w[order], h1[order], h2[order], n[order], pair[order]
+        o, s = _groups(pair)
+        whole = ~q.pairs.find(pair[o[s]])[0]  # frequent pairs are in several parts
+        pairs = _sums(o, s, n)[whole]
+        seen = [np.bincount(np.minimum(x, MAX_RANK + 2), minlength=MAX_RANK + 3).astype(np.int64) for x in (pairs, n)]
+        return _frame([_row(int(pdf["part"].iloc[0]), TABLE, 0, *_runs(w), *_runs(h1, _starts(w, h1)), _five(h2), _small(n), np.stack(seen).tobytes())])
+
+    return source.mapInArrow(lean(run), _BLOBS).groupBy("part").applyInPandas(_released(merge), _BLOBS)
+
+
+def _load(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """w, h1, h2, n of a part's row."""
+    h2 = _unfive(r["e"])
+    return _unrun(r["a"], r["b"]), _unrun(r["c"], r["d"]), h2, _counts_of(r["f"], len(h2))
+
+
+def _known(f: Frequent, w: np.ndarray, h1: np.ndarray, n: np.ndarray) -> tuple:
+    """Of a part's triples: sorted words and counts; sorted pair keys and counts; each triple's
+    pair count, and whether it is the first of its pair."""
+    order, starts = _groups(w)
+    words, c = w[order][starts], _sums(order, starts, n)
+    hot, often = f.words.find(words)
+    pair = pair_key(w, h1)
+    order, starts = _groups(pair)
+    keys, n2 = pair[order][starts], _sums(order, starts, n)
+    heavy, many = f.pairs.find(keys)
+    n2 = np.where(heavy, many, n2)
+    first = np.zeros(len(w), bool)
+    first[order[starts][~heavy]] = True  # frequent pairs are told elsewhere
+    return words, np.where(hot, often, c), keys, n2, n2[_each(order, starts)], first
+
+
+def _contexts(table: DataFrame, f, m: dict, heavy: DataFrame, g: int, passes: int) -> DataFrame:
+    """Contexts of pass g: hashes, counts, and backoff weights."""
+    d1, d2, d3 = m["discounts"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q: Frequent = f.value
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                if r["kind"] == TABLE:
+                    w, h1, h2, n = _load(r)
+                    words, c, _, _, n2, first = _known(q, w, h1, n)
+                    lower = (w[first], h1[first], n2[first])
+                    c1 = c[np.searchsorted(words, lower[0])]
+                else:  # the frequent pairs and triples
+                    (w, h1, h2), n = q.triple, q.triples.values
+                    n2 = q.pairs.find(pair_key(w, h1))[1]
+                    lower = (*q.pair, q.pairs.values)
+                    c1 = q.words.find(lower[0])[1]
+                rows = []
+                # of pairs: sums by the word before
+                mine = q.part_of_context(lower[1]) % passes == g
+                h, x, p = lower[1][mine], lower[2][mine].astype(np.float64), (discounted(c1[mine], d1) / m["n"])
+                order, starts = _groups(h)
+                if len(h):
+                    key, sums = h[order][starts], [_sums(order, starts, y) for y in (x, discounted(x, d2), p)]
+                    order, ranges = _deal(q.part_of_context(key), key)
+                    key, sums = key[order], [y[order] for y in sums]
+                    rows += [_row(t, LOWER, 0, key[x:y].tobytes(), *(s[x:y].tobytes() for s in sums)) for t, x, y in ranges]
+                # of triples: each with its pair's count
+                part = q.part_of_context(h1, h2)
+                at = np.flatnonzero(part % passes == g)
+                order, ranges = _deal(part[at], h1[at])
+                at = at[order]
+                rows += [_row(t, UPPER, 0, *_runs(h1[at[x:y]]), _five(h2[at[x:y]]), _small(n[at[x:y]]), _small(n2[at[x:y]])) for t, x, y in ranges]
+                if rows:
+                    yield _batch(rows)
 
-def _contexts(pairs: DataFrame, m: dict, heavy: DataFrame, g: int, passes: int) -> DataFrame:
-    """Contexts of pass g: hash, count, and backoff weight."""
-    f: Frequent = m["frequent"]
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        q: Frequent = f.value
+        low, up = pdf[pdf["kind"] == LOWER], pdf[pdf["kind"] == UPPER]
+        h = np.concatenate([np.zeros(0, U64), *(np.frombuffer(a, U64) for a in low["a"])])
+        order, starts = _groups(h)
+        h, (count, kept, p) = h[order][starts], (_sums(order, starts, np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in low[c])])) for c in "bcd")
+        weight = (1.0 - kept / count) / np.maximum(1.0 - p, 1e-300)
+        h1 = np.concatenate([np.zeros(0, U64), *(_unrun(a, b) for a, b in zip(up["a"], up["b"]))])
+        h2 = np.concatenate([np.zeros(0, U64), *(_unfive(c) for c in up["c"])])
+        n3, n2 = (np.concatenate([np.zeros(0, np.int64), *(_counts_of(x, len(c) // 5) for c, x in zip(up["c"], up[col]))]) for col in "de")
+        often, total = q.contexts.find(h1)
+        total = np.where(often, total, _find(h, count, h1)[1])
+        order, starts = _groups(context_key(h1, h2))
+        at = order[starts]
+        c = _sums(order, starts, n3.astype(np.float64))
+        kept = _sums(order, starts, discounted(n3, d3))
+        p = _sums(order, starts, discounted(n2, d2) / np.maximum(total, 1))
+        value = _log(c) + _log((1.0 - kept / c) / np.maximum(1.0 - p, 1e-300)) if len(c) else c
+        h1, h2 = h1[at], h2[at]
+        order = np.argsort(h1)
+        h1, h2, value = h1[order], h2[order], value[order]
+        return _frame([_row(int(pdf["part"].iloc[0]), WEIGHTS, 0, h.tobytes(), count.tobytes(), weight.tobytes(), *(_runs(h1) if len(h1) else (b"", b"")), _five(h2), value.astype(np.float32).tobytes())])
+
+    return table.unionByName(heavy).mapInArrow(lean(run), _BLOBS).groupBy("part").applyInPandas(_released(merge), _BLOBS)
+
+
+def _frequent_contexts(contexts: DataFrame, f) -> Few:
+    """Backoff weights of the frequent words as contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q: Frequent = f.value
         for b in batches:
             for r in b.to_pylist():
-                w, h, n = _unrun(r["a"], r["b"]), np.frombuffer(r["c"], U64), np.frombuffer(r["d"], np.uint32)
-                if r["kind"] == PAIRS:
-                    u, c = _word_counts(f, w, n)
-                else:  # the heavy pairs: all words are frequent ones
-                    u, c = f.words, f.counts
-                p = (discounted(c, m["d1"]) / m["n"])[np.searchsorted(u, w)]
-                mine = f.part_of_context(h) % passes == g
-                h, n, p = h[mine], n[mine].astype(np.float64), p[mine]
-                if not len(h):
-                    continue
-                k, at = np.unique(h, return_inverse=True)
-                sums = [np.bincount(at, x, len(k)) for x in (n, discounted(n, m["d2"]), p)]
-                order, ranges = _deal(f.part_of_context(k), k)
-                k, sums = k[order], [x[order] for x in sums]
-                yield _batch([(q, WEIGHTS, 0, k[x:y].tobytes(), *(v[x:y].tobytes() for v in sums), None) for q, x, y in ranges])
+                h, weight = np.frombuffer(r["a"], U64), np.frombuffer(r["c"], np.float64)
+                hot, _ = q.contexts.find(h)
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(h[hot])), pa.array(weight[hot])], ["h", "x"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(a, U64) for a in pdf["a"]])
-        cols = [np.concatenate([np.frombuffer(x, np.float64) for x in pdf[c]]) for c in "bcd"]
-        k, at = np.unique(h, return_inverse=True)
-        count, kept, lower = (np.bincount(at, x, len(k)) for x in cols)
-        weight = (1.0 - kept / count) / np.maximum(1.0 - lower, 1e-300)
-        return _frame([(int(pdf["part"].iloc[0]), WEIGHTS, 0, k.tobytes(), count.tobytes(), weight.tobytes(), None, None)])
-
-    return pairs.unionByName(heavy).mapInArrow(run, _BLOBS).groupBy("part").applyInPandas(merge, _BLOBS)
+    got = contexts.select("a", "c").mapInArrow(lean(run), "h long, x double").toArrow()  # MOST at most
+    return _sorted(got.column("h").to_numpy().view(U64), got.column("x").to_numpy())[0]
 
 
 def fit(docs: DataFrame, text_col: str = "text", passes: int = PASSES, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Katz:
     spark = docs.sparkSession
     source = docs.select(text_col)
-    words = stage(_counts(source, lambda w, h: (w, np.zeros(len(w), U64))).select(F.col("a").alias("w"), "c"), "words")
+    none = lambda w: np.zeros(len(w), U64)
+    words = stage(_counts(source, lambda w, h1, h2: (w, none(w), none(w))).select(F.col("a").alias("w"), "n"), "words")
     release_shuffles(spark)
-    s = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *(F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, MAX_RANK + 2))).first()
+    s = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), *(F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, MAX_RANK + 2))).first()
     n, v = s["n"] or 0, s["v"]
     d1 = good_turing([float(s[f"n{r}"] or 0) for r in range(1, MAX_RANK + 2)])
     parts = max(MIN_PARTS, -(-n // part_tokens))
-    least = max(2.0, n / hot)
-    often = words.where(F.col("c") >= least).orderBy("w").limit(hot).collect()
-    top, c = _u64(often, "w"), np.array([r["c"] for r in often], np.int64)
-    order = np.argsort(top)
-    top, c = top[order], c[order]
-    known = np.sort(np.append(top, BEGIN))
-
-    def both(w: np.ndarray, h: np.ndarray):
-        yes = _find(top, c, w)[0] & _find(known, known.astype(np.int64), h)[0]
-        return w[yes], h[yes]
-
-    heavy = _counts(source, both).where(F.col("c") >= least).limit(hot).collect() if len(top) else []
-    hw, hh, hc = _u64(heavy, "a"), _u64(heavy, "b"), np.array([r["c"] for r in heavy], np.int64)
-    keys = pair_key(hw, hh)
-    order = np.argsort(keys)
-    f = Frequent(top, c, np.stack([hw[order], hh[order]]), keys[order], hc[order], int(parts))
-    spread = words.select(F.when(F.col("c") <= MAX_RANK, F.col("c") * F.element_at(F.array(*map(F.lit, d1.tolist())), F.least("c", F.lit(MAX_RANK)).cast("int"))).otherwise(F.col("c") - TAIL).alias("x"))
+    least = max(2.0, min(n / hot, part_tokens / 8), n / MOST)
+    top = words.where(F.col("n") >= least).collect()
+    documents = words.where(F.col("w") == int(H.signed(np.array([END]))[0])).agg(F.sum("n")).first()[0] or 0
+    spread = words.select(F.when(F.col("n") <= MAX_RANK, F.col("n") * F.element_at(F.array(*map(F.lit, d1.tolist())), F.least("n", F.lit(MAX_RANK)).cast("int"))).otherwise(F.col("n") - TAIL).alias("x"))
     unknown = 1.0 - (spread.agg(F.sum("x")).first()[0] or 0.0) / n if n else 1.0
-    documents = words.where(F.col("w") == int(H.signed(np.array([END]))[0])).agg(F.sum("c")).first()[0] or 0
     drop(words)
 
+    often, _ = _sorted(_u64(top, "w"), np.array([r["n"] for r in top], np.int64))
+    begin = [BEGIN] if documents else []
+    before, _ = _sorted(np.append(often.keys, np.array(begin, U64)), np.append(often.values, [documents] * len(begin)).astype(np.int64))
+    heavy = _counts(source, lambda w, h1, h2: _where(often.find(w)[0] & before.find(h1)[0], w, h1, none(w))).where(F.col("n") >= least).collect() if len(top) else []
+    pw, ph = _u64(heavy, "a"), _u64(heavy, "b")
+    pairs, pair = _sorted(pair_key(pw, ph), np.array([r["n"] for r in heavy], np.int64), pw, ph)
+    heavy = _counts(source, lambda w, h1, h2: _where(pairs.find(pair_key(w, h1))[0], w, h1, h2)).where(F.col("n") >= least).collect() if len(pw) else []
+    tw, t1, t2 = (_u64(heavy, c) for c in "abc")
+    triples, triple = _sorted(triple_key(pair_key(tw, t1), t2), np.array([r["n"] for r in heavy], np.int64), tw, t1, t2)
+    frequent = Frequent(often, pairs, triples, pair, triple, before, int(parts))
+    f = spark.sparkContext.broadcast(frequent)  # bounded by MOST
+
     tables = []
     for g in range(passes):
-        tables.append(stage(_pair_exchange(source, f, g, passes), "pairs"))
+        tables.append(stage(_table_exchange(source, f, g, passes), "triples"))
         release_shuffles(spark)
-    pairs = tables[0]
+    table = tables[0]
     for t in tables[1:]:
-        pairs = pairs.unionByName(t)
-    seen = np.zeros(MAX_RANK + 3, np.int64)
-    for r in pairs.select("e").collect():  # a row a part
-        seen += np.frombuffer(r["e"], np.int64)
-    np.add.at(seen, np.minimum(f.pair_counts, MAX_RANK + 2), 1)
-    d2 = good_turing([float(x) for x in seen[1 : MAX_RANK + 2]])
-    m = {"frequent": f, "n": n, "v": v, "documents": documents, "d1": d1, "d2": d2, "unknown": unknown}
-    order = np.argsort(f.pairs[0], kind="stable")
-    blob = [(0, ROWS, 0, *map(bytearray, _runs(f.pairs[0])), bytearray(f.pairs[1][order].tobytes()), bytearray(f.pair_counts[order].astype(np.uint32).tobytes()), None)] if len(f.keys) else []
-    extra = spark.createDataFrame(blob, _BLOBS)
+        table = table.unionByName(t)
+    seen = np.zeros((2, MAX_RANK + 3), np.int64)
+    for r in table.select("g").toLocalIterator():  # a row a part
+        seen += np.frombuffer(r["g"], np.int64).reshape(2, -1)
+    for k, few in enumerate((pairs, triples)):
+        np.add.at(seen[k], np.minimum(few.values, MAX_RANK + 2), 1)
+    discounts = [d1, *(good_turing([float(x) for x in seen[k, 1 : MAX_RANK + 2]]) for k in (0, 1))]
+    m = {"n": n, "discounts": discounts}
+    extra = spark.createDataFrame([_row(0, ROWS, 0)] if len(pw) else [], _BLOBS)
     weights = []
     for g in range(passes):
-        weights.append(stage(_contexts(pairs, m, extra, g, passes), "contexts"))
+        weights.append(stage(_contexts(table, f, m, extra, g, passes), "contexts"))
         release_shuffles(spark)
     contexts = weights[0]
     for t in weights[1:]:
         contexts = contexts.unionByName(t)
-    return Katz(f, n, v, documents, d1, d2, unknown, tables, contexts)
+    return Katz(n, v, documents, unknown, discounts, frequent, _frequent_contexts(contexts, f), tables, contexts)
+
+
+def _where(mask: np.ndarray, *columns: np.ndarray) -> tuple:
+    return tuple(c[mask] for c in columns)
 
 
 def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-300))
 
 
-def _token_exchange(source: DataFrame, m: dict, g: int, passes: int) -> DataFrame:
+# -- scores ----------------------------------------------------------------------------------------------
+
+
+def _doc_sums(doc: np.ndarray, c: np.ndarray, score: np.ndarray, m: dict) -> tuple[bytes, bytes, bytes, bytes]:
+    """Texts; tokens and known tokens; base score; score: sums over a chunk's tokens."""
+    n = np.bincount(doc)
+    u = np.flatnonzero(n)
+    known, base, total = np.bincount(doc, c > 0), np.bincount(doc, np.log10((c + 1.0) / (m["n"] + m["v"] + 1.0))), np.bincount(doc, score)
+    return u.astype(np.uint32).tobytes(), np.stack([n[u], known[u].astype(np.int64)]).astype(np.uint32).tobytes(), base[u].tobytes(), total[u].tobytes()
+
+
+def _token_exchange(source: DataFrame, f, m: dict, g: int, passes: int) -> DataFrame:
     """Tokens of pass g by part, with the ids and text keys of each chunk's rows and the
     sums of the tokens that need no part."""
-    f: Frequent = m["frequent"]
+    d3 = m["discounts"][2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        q: Frequent = f.value
         chunk = TaskContext.get().partitionId() << 32
-        for rows_of, (w, h, doc) in _chunks(batches, 1):
-            home = int(H.mix(np.array([chunk], U64))[0] % U64(f.parts))
+        for rows_of, (w, h1, h2, doc) in _chunks(batches, 1):
+            home = int(H.mix(np.array([chunk], U64))[0] % U64(q.parts))
             ids = rows_of.column(0).to_pylist()
             keys = b"".join(hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in rows_of.column(1).to_pylist())
-            rows = [(home, ROWS, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), keys, None, None)]
-            heavy, n2 = _find(f.keys, f.pair_counts, pair_key(w, h))
-            if g == 0 and heavy.any():
-                hw = w[heavy]
-                c = _find(f.words, f.counts, hw)[1]
-                score = _log(discounted(n2[heavy], m["d2"])) - np.where(hw == END, 0.0, _log(c))
-                rows.append((home, SUMS, chunk, *_doc_sums(doc[heavy], c, score, m), None))
-            rest = ~heavy
-            w, h, doc = w[rest], h[rest], doc[rest]
-            part = f.part(w, h)
-            mine = part % passes == g
-            w, h, doc, part = w[mine], h[mine], doc[mine].astype(np.uint32), part[mine]
-            order, ranges = _deal(part, w)
-            w, h, doc = w[order], h[order], doc[order]
-            if rows_of.num_rows <= 65_536:
-                doc = doc.astype(np.uint16)
-            rows += [(p, TOKENS, chunk, *_runs(w[x:y]), h[x:y].tobytes(), doc[x:y].tobytes(), None) for p, x, y in ranges]
+            rows = [_row(home, ROWS, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), keys)]
+            pair = pair_key(w, h1)
+            triple = triple_key(pair, h2)
+            part = q.part(w, pair, triple)
+            mine = np.flatnonzero(part % passes == g)
+            heavy, n3 = q.triples.find(triple[mine])
+            if heavy.any():
+                at = mine[heavy]
+                c, n2 = q.words.find(w[at])[1], q.pairs.find(pair[at])[1]
+                score = _log(discounted(n3[heavy], d3)) - np.where(w[at] == END, 0.0, _log(n2))
+                rows.append(_row(home, SUMS, chunk, *_doc_sums(doc[at], c, score, m)))
+                mine = mine[~heavy]
+            order, ranges = _deal(part[mine], w[mine])
+            at = mine[order]
+            texts = doc[at].astype(np.uint16 if rows_of.num_rows <= 65_536 else np.uint32)
+            rows += [_row(p, TOKENS, chunk, *_runs(w[at[x:y]]), h1[at[x:y]].tobytes(), _five(h2[at[x:y]]), texts[x:y].tobytes()) for p, x, y in ranges]
             yield _batch(rows)
             chunk += 1
 
-    return source.mapInArrow(run, _BLOBS)
+    return source.mapInArrow(lean(run), _BLOBS)
 
 
-def _doc_sums(doc: np.ndarray, c: np.ndarray, score: np.ndarray, m: dict) -> tuple[bytes, bytes, bytes, bytes]:
-    """Texts; tokens and known tokens; base score; score: sums over a chunk's tokens."""
-    u, at = np.unique(doc, return_inverse=True)
-    base = np.log10((c + 1.0) / (m["n"] + m["v"] + 1.0))
-    n = np.stack([np.bincount(at, minlength=len(u)), np.bincount(at, c > 0, len(u)).astype(np.int64)]).astype(np.uint32)
-    return u.astype(np.uint32).tobytes(), n.tobytes(), np.bincount(at, base, len(u)).tobytes(), np.bincount(at, score, len(u)).tobytes()
+def _together(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that have about ``most`` entries together."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if held and held + n > most:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
-def _score_part(m: dict) -> Callable:
-    f: Frequent = m["frequent"]
+def _score_part(f, m: dict) -> Callable:
+    d1, d2, d3 = m["discounts"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stored, tokens = pdf[pdf["kind"] == PAIRS], pdf[pdf["kind"] == TOKENS]
+        q: Frequent = f.value
+        stored, tokens = pdf[pdf["kind"] == TABLE], pdf[pdf["kind"] == TOKENS]
         out = list(pdf[pdf["kind"].isin([ROWS, SUMS])].itertuples(index=False, name=None))
-        words, counts = f.words, f.counts
-        keys, n2 = np.zeros(0, U64), np.zeros(0, np.uint32)
-        for a, b, c, d in zip(stored["a"], stored["b"], stored["c"], stored["d"]):  # one at most
-            w, n2 = _unrun(a, b), np.frombuffer(d, np.uint32)
-            words, counts = _word_counts(f, w, n2)
-            keys = pair_key(w, np.frombuffer(c, U64))
-            order = np.argsort(keys)
-            keys, n2 = keys[order], n2[order]
-        for chunk, a, b, c, d in zip(tokens["chunk"], tokens["a"], tokens["b"], tokens["c"], tokens["d"]):
-            w, h = _unrun(a, b), np.frombuffer(c, U64)
-            doc = np.frombuffer(d, np.uint16 if len(d) == 2 * len(h) else np.uint32).astype(np.int64)
-            hot, at_hot = _find(f.words, f.counts, w)
-            known = np.where(hot, at_hot, _find(words, counts, w)[1])
-            seen, pair = _find(keys, n2, pair_key(w, h))
-            single = np.where(known > 0, discounted(np.maximum(known, 1), m["d1"]) / max(1, m["n"]), m["unknown"])
-            # as the next token's context the word divides by its count; undone where that is not seen
-            own = np.where((known > 0) & (w != END), _log(known), 0.0)
-            score = np.where(seen, _log(discounted(np.maximum(pair, 1), m["d2"])), _log(single)) - own
-            out.append((-1, SUMS, chunk, *_doc_sums(doc, known, score, m), None))
-            if not seen.all():
-                h, doc = h[~seen], doc[~seen]
-                order, ranges = _deal(f.part_of_context(h), h)
-                h, doc = h[order], doc[order].astype(np.uint32)
-                out += [(p, NEEDS, chunk, *_runs(h[x:y]), doc[x:y].tobytes(), None, None) for p, x, y in ranges]
+        words, counts, keys, pairs, order = q.words.keys[:0], q.words.values[:0], np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        triples, n = np.zeros(0, U64), np.zeros(0, np.int64)
+        for _, r in stored.iterrows():  # one at most
+            w, h1, h2, n = _load(r)
+            words, counts, keys, pairs, _, _ = _known(q, w, h1, n)
+            triples = triple_key(pair_key(w, h1), h2)
+            del w, h1, h2
+            order = np.argsort(triples)
+            triples, n = triples[order], n[order]
+        chunks, blobs = tokens["chunk"].to_numpy(), {c: list(tokens[c]) for c in "abcde"}
+        for a, b in _together([len(x) // 8 for x in blobs["c"]], 2_000_000):
+            w = np.concatenate([_unrun(x, y) for x, y in zip(blobs["a"][a:b], blobs["b"][a:b])])
+            h1 = np.concatenate([np.frombuffer(x, U64) for x in blobs["c"][a:b]])
+            h2 = np.concatenate([_unfive(x) for x in blobs["d"][a:b]])
+            sizes = [len(x) // 8 for x in blobs["c"][a:b]]
+            doc = np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * k else np.uint32).astype(np.int64) for x, k in zip(blobs["e"][a:b], sizes)])
+            hot, often = q.words.find(w)
+            c = np.where(hot, often, _find(words, counts, w)[1])
+            pair = pair_key(w, h1)
+            heavy, many = q.pairs.find(pair)
+            n2 = np.where(heavy, many, _find(keys, pairs, pair)[1])
+            seen, n3 = _find(triples, n, triple_key(pair, h2))
+            single = np.where(c > 0, discounted(np.maximum(c, 1), d1) / max(1, m["n"]), m["unknown"])
+            score = np.where(seen, _log(discounted(np.maximum(n3, 1), d3)), np.where(n2 > 0, _log(discounted(np.maximum(n2, 1), d2)), _log(single)))
+            # the pair is the next token's context and divides by its count; undone where that is not seen
+            score -= np.where((n2 > 0) & (w != END), _log(n2), 0.0)
+            edges = np.cumsum([0, *sizes])
+            for k in range(b - a):
+                x, y = edges[k], edges[k + 1]
+                out.append(_row(-1, SUMS, int(chunks[a + k]), *_doc_sums(doc[x:y], c[x:y], score[x:y], m)))
+                open_ = x + np.flatnonzero(~seen[x:y])
+                order, ranges = _deal(q.part_of_context(h1[open_], h2[open_]), h1[open_])
+                open_ = open_[order]
+                for p, i, j in ranges:
+                    at = open_[i:j]
+                    out.append(_row(p, NEEDS, int(chunks[a + k]), *_runs(h1[at]), _five(h2[at]), (n2[at] > 0).astype(np.uint8).tobytes(), doc[at].astype(np.uint32).tobytes()))
         return _frame(out)
 
     return run
 
 
-def _weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Log of count times backoff weight, of the contexts whose pairs were not seen."""
-    h, value = np.zeros(0, U64), np.zeros(0)
-    for a, b, c in zip(*(pdf[pdf["kind"] == WEIGHTS][x] for x in "abc")):
-        h, value = np.frombuffer(a, U64), _log(np.frombuffer(b, np.float64)) + _log(np.frombuffer(c, np.float64))
-    out, need = [], pdf[pdf["kind"] == NEEDS]
-    for chunk, a, b, c in zip(need["chunk"], need["a"], need["b"], need["c"]):
-        got = _find(h, value, _unrun(a, b))[1]
-        u, at = np.unique(np.frombuffer(c, np.uint32), return_inverse=True)
-        zero = np.zeros(len(u))
-        out.append((-1, SUMS, chunk, u.tobytes(), np.zeros((2, len(u)), np.uint32).tobytes(), zero.tobytes(), np.bincount(at, got, len(u)).tobytes(), None))
-    return _frame(out)
+def _weigh(f, m: dict) -> Callable:
+    """What contexts add to tokens whose triples were not seen: their count times backoff weight,
+    and for pairs seen the count of the word before, or for others its backoff weight."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, backoff = f.value, m["backoff"]
+        h, count, weight, keys, value = np.zeros(0, U64), np.zeros(0), np.zeros(0), np.zeros(0, U64), np.zeros(0, np.float32)
+        for _, r in pdf[pdf["kind"] == WEIGHTS].iterrows():  # one at most
+            h, count, weight = np.frombuffer(r["a"], U64), np.frombuffer(r["b"], np.float64), np.frombuffer(r["c"], np.float64)
+            keys, value = context_key(_unrun(r["d"], r["e"]), _unfive(r["f"])), np.frombuffer(r["g"], np.float32)
+            order = np.argsort(keys)
+            keys, value = keys[order], value[order]
+        out, need = [], pdf[pdf["kind"] == NEEDS]
+        for chunk, a, b, c, d, e in zip(need["chunk"], *(need[x] for x in "abcde")):
+            h1, doc = _unrun(a, b), np.frombuffer(e, np.uint32)
+            got = _find(keys, value, context_key(h1, _unfive(c)))[1].astype(np.float64)
+            often, n1 = q.contexts.find(h1)
+            known, local = _find(h, count, h1)
+            n1 = np.where(often, n1, local)
+            x = np.where(often, backoff.find(h1)[1], _find(h, weight, h1)[1])
+            got += np.where(np.frombuffer(d, np.uint8) > 0, -_log(n1), np.where(often | known, _log(x), 0.0))
+            u = np.flatnonzero(np.bincount(doc))
+            out.append(_row(-1, SUMS, chunk, u.astype(np.uint32).tobytes(), np.zeros((2, len(u)), np.uint32).tobytes(), np.zeros(len(u)).tobytes(), np.bincount(doc, got)[u].tobytes()))
+        return _frame(out)
+
+    return run
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -443,19 +695,21 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def score(model: Katz, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of every row (log10)."""
-    m, passes = model.facts(), len(model.pair_tables)
+    spark, passes = docs.sparkSession, len(model.tables)
+    m = {"n": model.n, "v": model.v, "unknown": model.unknown, "discounts": model.discounts, "backoff": model.backoff}
+    f = spark.sparkContext.broadcast(model.frequent)  # bounded by MOST
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sums = []
     for g in range(passes):
-        dealt = _token_exchange(source, m, g, passes).unionByName(model.pair_tables[g])
-        scored = stage(dealt.groupBy("part").applyInPandas(_score_part(m), _BLOBS), "scored")
-        release_shuffles(docs.sparkSession)
+        dealt = _token_exchange(source, f, m, g, passes).unionByName(model.tables[g])
+        scored = stage(dealt.groupBy("part").applyInPandas(_released(_score_part(f, m)), _BLOBS), "scored")
+        release_shuffles(spark)
         asked = scored.where(f"kind = {NEEDS}").unionByName(model.contexts)
-        backed = stage(asked.groupBy("part").applyInPandas(_weigh, _BLOBS), "backed")
+        backed = stage(asked.groupBy("part").applyInPandas(_released(_weigh(f, m)), _BLOBS), "backed")
         known = scored.where(f"kind IN ({SUMS}, {ROWS})").unionByName(backed)
         sums.append(stage(known.groupBy("chunk").applyInPandas(_gather, "id long, key binary, n long, known long, base double, score double"), "sums"))
         drop(scored, backed)
-        release_shuffles(docs.sparkSession)
+        release_shuffles(spark)
     total = sums[0]
     for t in sums[1:]:
         total = total.unionByName(t)
