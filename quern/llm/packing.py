@@ -17,7 +17,6 @@ gives a row of length 0 in no sequence (null); an empty table gives an empty res
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,8 +35,6 @@ WINDOW_ROWS, WINDOW_TOKENS = 2048, 4_000_000
 #: A gap below this many tokens is left as padding rather than filled with a cut.
 MIN_PIECE = 8
 END = 1
-#: Bytes of words kept with their ids in a task, for words recur; bytes of one beside its letters and ids.
-CACHE, ENTRY = 32 << 20, 220
 
 
 @dataclass
@@ -137,81 +134,26 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-#: White space other than the space.
-_OTHER_SPACE = re.compile(r"[^\S ]").finditer
+class Coder:
+    """Ids of whole texts; added tokens of the file stand for themselves wherever a text has
+    their content."""
 
-
-def _plain(text: str) -> bool:
-    """Whether every space stands between two characters that are not white space."""
-    if not text or "  " in text or text[0].isspace() or text[-1].isspace():
-        return False
-    return all(text[m.start() - 1] != " " != text[m.start() + 1] for m in _OTHER_SPACE(text))
-
-
-class WordTokenizer:
-    """Ids of byte-level BPE, word by word.
-
-    A space between two characters that are not white space always starts a pre-token, so
-    a text without other spaces may be cut there: the ids of " word" depend on the word
-    alone, and are kept.  A word of letters is a single pre-token, with or without the
-    punctuation mark after it, which is one of its own.  Any other text is encoded whole.
-    Added tokens of the file stand for themselves wherever a text has their content."""
-
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         self.model = byte_bpe(path)
-        self.piece = self.model._core_bpe.encode_single_piece
-        self.marks = {c: self.piece(c.encode()) for c in ".,;:!?"}
-        self.known: dict[str, list[int]] = {}
-        self.cache, self.held = cache, 0
-        self.added = sorted(self.model._special_tokens)
-
-    def encode(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
-            return self.model.encode(text, allowed_special="all")
-        return self.model.encode_ordinary(text)
-
-    def after_space(self, word: str) -> list[int]:
-        mark = self.marks.get(word[-1])
-        if mark is not None and len(word) > 1 and word[:-1].isalpha():
-            head = word[:-1]
-            got = (self.known.get(head) or self.after_space(head)) + mark
-        elif word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            got = self.piece(b" " + word.encode())
-        else:
-            got = self.model.encode_ordinary(" " + word)
-        if len(word) <= 32:
-            self.known[word] = got
-            self.held += ENTRY + len(word) + 8 * len(got)
-        return got
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.held = 0
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        known, find, out = self.known, self.after_space, []
-        for text in texts:
-            if not _plain(text) or any(a in text for a in self.added):
-                out.append(np.array(self.encode(text), np.uint32))
-                continue
-            if self.held > self.cache:
-                self.forget()
-            first, *rest = text.split(" ")
-            ids = self.model.encode_ordinary(first)
-            for w in rest:
-                got = known.get(w)
-                ids += find(w) if got is None else got
-            out.append(np.array(ids, np.uint32))
-        return out
+        encode = self.model.encode_to_numpy
+        return [encode(t, allowed_special="all", disallowed_special=()) for t in texts]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_coders: dict[str, Coder] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str) -> Coder:
+    """The coder of a file, one a worker."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
 
 
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("n_loss", pa.int64()), ("sequence_length", pa.int64())]
@@ -271,7 +213,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield _emit(items, limits, base, arrow, id_col)[0]
 
     schema = T.StructType([T.StructField(id_col, kind)] + [T.StructField(n, T.LongType()) for n, _ in _FIELDS])
-    return source.mapInArrow(lean(run, lambda: tokenizer(tokenizer_path).forget()), schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None = None, limits: Limits | None = None) -> DataFrame:

@@ -19,15 +19,13 @@ def release() -> None:
         pass
 
 
-def lean(run: Callable, *after: Callable[[], None]) -> Callable:
-    """A function for mapInArrow that, however its task ends, calls ``after`` and releases."""
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that releases memory however its task ends."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            for f in after:
-                f()
             release()
 
     return task

@@ -21,7 +21,8 @@ def test_ids_equal_the_library(exact):
     rng = random.Random(3)
     bits = ["a", "B", "é", " ", " ", " ", "\n", "\t", "1", "'s", "'", ".", ",", "!!", "  ", "\r\n", "日", "<|endoftext|>", "😀", "\x1c", "\x85", " ", "word", "Ærlig", "²"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(5000)]
-    assert [list(x) for x in P.WordTokenizer(PATH, cache=5000).batch(texts)] == exact(texts)
+    texts += ["x" * 30_000, "é" * 5000, "ab " * 9000, " " * 3000]
+    assert [list(x) for x in P.Coder(PATH).batch(texts)] == exact(texts)
 
 
 def test_pieces_rebuild_the_documents(spark, exact):
