@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result
 as Parquet in the shared folder and gives the next stage what it reads back.  All stages but
-the last return the columns of documents.
+the last return the columns of documents, and pass over other columns.
+
+Defined cases: a text that is null or has no letter is rejected by the first stage, as is one
+whose language is not sure; a null language teaches nothing and rejects nothing; rows with a
+null id are kept wherever their text is not a copy of another row's; of rows with equal texts
+one stays, whatever their ids; texts of one id are one document for the near duplicates; a null
+source is a source of its own; an empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession

@@ -93,3 +93,26 @@ def test_links_of_an_id_with_different_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.near_dedup(df).collect()), key=str)
     assert got == brute(rows, 5, 80)
+
+
+def test_recall_on_documents(spark):
+    """Every document whose id is divisible by 50, against all rows by plain sets: whatever is linked
+    to it is in its component."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, at = {r["doc_id"]: shingles(r["text"], 4) for r in df.select("doc_id", "text").collect()}, {}
+    for k, x in sets.items():
+        for s in x:
+            at.setdefault(s, []).append(k)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_dedup(df, words=4, threshold=80).collect()}
+    links = 0
+    for k in sets:
+        if k % 50 == 0:
+            common = {}
+            for s in sets[k]:
+                for other in at[s]:
+                    common[other] = common.get(other, 0) + 1
+            for other, n in common.items():
+                if other != k and 100 * n >= 80 * (len(sets[k]) + len(sets[other]) - n):
+                    links += 1
+                    assert got[k] == got[other]
+    assert links > 0
