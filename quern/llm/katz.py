@@ -1,7 +1,8 @@
-"""Katz backoff language model of order 3 with Good-Turing discounts, kept in partitioned tables.
+"""Katz backoff language model of order 2 or 3 with Good-Turing discounts, kept in partitioned tables.
 
 P(w | h2 h1) = c*(h2 h1 w) / c(h2 h1) for triples seen in training, else
-backoff(h2 h1) * P(w | h1); P(w | h1) likewise from pairs and backoff(h1) * P(w); P(w) =
+backoff(h2 h1) * P(w | h1); P(w | h1), where a model of order 2 starts, likewise from pairs and
+backoff(h1) * P(w); P(w) =
 c*(w) / N for known words, else the mass that the known ones leave, all unknown words being
 one class.  c* is the Good-Turing count up to MAX_RANK and c - TAIL beyond, with discounts of
 each order, so that every context keeps some mass for what it has not shown; its backoff
@@ -43,7 +44,8 @@ from quern.llm.workers import lean, release
 
 MAX_RANK, TAIL = 5, 0.5
 HOT, MOST = 4096, 1 << 20
-PART_TOKENS, MIN_PARTS, PASSES = 2_000_000, 24, 5
+ORDER = 2
+PART_TOKENS, MIN_PARTS, PASSES = 2_000_000, 24, 3
 CHUNK_TOKENS = 1_500_000
 U64 = H.U64
 BEGIN, END = U64(0x8BADF00D5EED0001), U64(0x8BADF00D5EED0002)
@@ -90,12 +92,14 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= len(d), d[small - 1] * c, c - TAIL)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every token of the texts, end tokens included: its word, the word before, the one before
-    that (40 bits), and its text's index."""
+    that (40 bits; 0 in a model of order 2), and its text's index."""
     h, first, _ = H.word_hashes(texts, lower=True)
     w = np.insert(h, first[1:], END)
     h1 = np.insert(h, first[:-1], BEGIN)
+    if order == 2:
+        return w, h1, np.zeros(len(w), U64), np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
     h2 = np.empty_like(h1)
     h2[1:] = h1[:-1]
     h2[first[:-1] + np.arange(len(first) - 1)] = BEGIN
@@ -193,11 +197,16 @@ def _unrun(values: bytes, runs: bytes) -> np.ndarray:
 
 
 def _five(x: np.ndarray) -> bytes:
+    """The low 40 bits of every number; nothing where all are 0."""
+    if not x.any():
+        return b""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _unfive(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
+def _unfive(blob: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    if not len(blob):
+        return out.view(U64).ravel()
     out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel().astype(U64)
 
@@ -249,18 +258,28 @@ class Frequent:
     triple: tuple[np.ndarray, np.ndarray, np.ndarray]  # (w, h1, h2) of the triples
     contexts: Few  # counts of frequent words as contexts, the begin mark's among them
     parts: int
+    order: int
 
-    def part(self, w: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> np.ndarray:
+    @property
+    def top(self) -> Few:
+        """Those of the model's order."""
+        return self.pairs if self.order == 2 else self.triples
+
+    def keys(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the tokens' pairs, and of their n-grams of the model's order; and their parts."""
+        pair = pair_key(w, h1)
+        triple = triple_key(pair, h2) if self.order > 2 else pair
         hot, _ = self.words.find(w)
         key = np.where(hot, pair, w)
-        both = np.flatnonzero(hot)
-        more, _ = self.pairs.find(pair[both])
-        key[both[more]] = triple[both[more]]
-        return (H.mix(key ^ U64(0xA5A5)) % U64(self.parts)).astype(np.int64)
+        if self.order > 2:
+            both = np.flatnonzero(hot)
+            more, _ = self.pairs.find(pair[both])
+            key[both[more]] = triple[both[more]]
+        return pair, triple, (H.mix(key ^ U64(0xA5A5)) % U64(self.parts)).astype(np.int64)
 
     def part_of_context(self, h1: np.ndarray, h2: np.ndarray | None = None) -> np.ndarray:
         key = h1
-        if h2 is not None:
+        if h2 is not None and self.order > 2:
             hot, _ = self.contexts.find(h1)
             key = np.where(hot, context_key(h1, h2), h1)
         return (H.mix(key ^ U64(0xC3C3)) % U64(self.parts)).astype(np.int64)
@@ -279,7 +298,7 @@ class Katz:
     contexts: DataFrame  # a row a part: contexts, counts and backoff weights
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+def _chunks(batches: Iterator[pa.RecordBatch], text: int, order: int) -> Iterator[tuple[pa.RecordBatch, tuple]]:
     """Rows with their tokens, CHUNK_TOKENS or so at a time."""
     for b in batches:
         at = 0
@@ -288,11 +307,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
             length = np.cumsum(np.diff(H.buffers(sizes)[1]))
             n = max(1, int(np.searchsorted(length, 4 * CHUNK_TOKENS, "right")))
             part = b.slice(at, n)
-            yield part, _tokens(part.column(text))
+            yield part, _tokens(part.column(text), order)
             at += part.num_rows
 
 
-def _counts(source: DataFrame, pick: Callable) -> DataFrame:
+def _counts(source: DataFrame, order_: int, pick: Callable) -> DataFrame:
     """(a, b, c, n): summed counts of the triples of hashes that ``pick`` takes from the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +328,7 @@ def _counts(source: DataFrame, pick: Callable) -> DataFrame:
             a, b, c, n = merged(held)
             return pa.RecordBatch.from_arrays([*(pa.array(H.signed(x)) for x in (a, b, c)), pa.array(n)], ["a", "b", "c", "n"])
 
-        for _, (w, h1, h2, _) in _chunks(batches, 0):
+        for _, (w, h1, h2, _) in _chunks(batches, 0, order_):
             a, b, c = pick(w, h1, h2)
             held.append(merged([(a, b, c, np.ones(len(a), np.int64))]))
             size += len(held[-1][0])
@@ -339,15 +358,13 @@ def _table_exchange(source: DataFrame, f, g: int, passes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Frequent = f.value
-        for _, (w, h1, h2, _) in _chunks(batches, 0):
-            pair = pair_key(w, h1)
-            triple = triple_key(pair, h2)
-            part = q.part(w, pair, triple)
+        for _, (w, h1, h2, _) in _chunks(batches, 0, q.order):
+            pair, triple, part = q.keys(w, h1, h2)
             mine = np.flatnonzero(part % passes == g)
             order, starts = _groups(triple[mine])
             n = np.diff(np.append(starts, len(order)))
             at = mine[order[starts]]
-            heavy, _ = q.triples.find(triple[at])
+            heavy, _ = q.top.find(triple[at])
             at, n = at[~heavy], n[~heavy]
             order, ranges = _deal(part[at], w[at])
             at, n = at[order], n[order]
@@ -359,10 +376,10 @@ def _table_exchange(source: DataFrame, f, g: int, passes: int) -> DataFrame:
         q: Frequent = f.value
         w = np.concatenate([_unrun(a, b) for a, b in zip(pdf["a"], pdf["b"])])
         h1 = np.concatenate([np.frombuffer(c, U64) for c in pdf["c"]])
-        h2 = np.concatenate([_unfive(d) for d in pdf["d"]])
-        n = np.concatenate([_counts_of(e, len(d) // 5) for d, e in zip(pdf["d"], pdf["e"])])
+        h2 = np.concatenate([_unfive(d, len(c) // 8) for c, d in zip(pdf["c"], pdf["d"])])
+        n = np.concatenate([_counts_of(e, len(c) // 8) for c, e in zip(pdf["c"], pdf["e"])])
         pair = pair_key(w, h1)
-        order, starts = _groups(triple_key(pair, h2))
+        order, starts = _groups(triple_key(pair, h2) if q.order > 2 else pair)
         at, n = order[starts], _sums(order, starts, n)
         w, h1, h2, pair = w[at], h1[at], h2[at], pair[at]
         # in the order of words, then of the words before; equal pairs side by side, nearly always
@@ -380,8 +397,8 @@ def _table_exchange(source: DataFrame, f, g: int, passes: int) -> DataFrame:
 
 def _load(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """w, h1, h2, n of a part's row."""
-    h2 = _unfive(r["e"])
-    return _unrun(r["a"], r["b"]), _unrun(r["c"], r["d"]), h2, _counts_of(r["f"], len(h2))
+    w = _unrun(r["a"], r["b"])
+    return w, _unrun(r["c"], r["d"]), _unfive(r["e"], len(w)), _counts_of(r["f"], len(w))
 
 
 def _known(f: Frequent, w: np.ndarray, h1: np.ndarray, n: np.ndarray) -> tuple:
@@ -402,7 +419,7 @@ def _known(f: Frequent, w: np.ndarray, h1: np.ndarray, n: np.ndarray) -> tuple:
 
 def _contexts(table: DataFrame, f, m: dict, heavy: DataFrame, g: int, passes: int) -> DataFrame:
     """Contexts of pass g: hashes, counts, and backoff weights."""
-    d1, d2, d3 = m["discounts"]
+    d1, d2, d3 = [*m["discounts"], None][:3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Frequent = f.value
@@ -429,12 +446,12 @@ def _contexts(table: DataFrame, f, m: dict, heavy: DataFrame, g: int, passes: in
                     order, ranges = _deal(q.part_of_context(key), key)
                     key, sums = key[order], [y[order] for y in sums]
                     rows += [_row(t, LOWER, 0, key[x:y].tobytes(), *(s[x:y].tobytes() for s in sums)) for t, x, y in ranges]
-                # of triples: each with its pair's count
-                part = q.part_of_context(h1, h2)
-                at = np.flatnonzero(part % passes == g)
-                order, ranges = _deal(part[at], h1[at])
-                at = at[order]
-                rows += [_row(t, UPPER, 0, *_runs(h1[at[x:y]]), _five(h2[at[x:y]]), _small(n[at[x:y]]), _small(n2[at[x:y]])) for t, x, y in ranges]
+                if q.order > 2:  # of triples: each with its pair's count
+                    part = q.part_of_context(h1, h2)
+                    at = np.flatnonzero(part % passes == g)
+                    order, ranges = _deal(part[at], h1[at])
+                    at = at[order]
+                    rows += [_row(t, UPPER, 0, *_runs(h1[at[x:y]]), _five(h2[at[x:y]]), _small(n[at[x:y]]), _small(n2[at[x:y]])) for t, x, y in ranges]
                 if rows:
                     yield _batch(rows)
 
@@ -445,16 +462,17 @@ def _contexts(table: DataFrame, f, m: dict, heavy: DataFrame, g: int, passes: in
         order, starts = _groups(h)
         h, (count, kept, p) = h[order][starts], (_sums(order, starts, np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in low[c])])) for c in "bcd")
         weight = (1.0 - kept / count) / np.maximum(1.0 - p, 1e-300)
-        h1 = np.concatenate([np.zeros(0, U64), *(_unrun(a, b) for a, b in zip(up["a"], up["b"]))])
-        h2 = np.concatenate([np.zeros(0, U64), *(_unfive(c) for c in up["c"])])
-        n3, n2 = (np.concatenate([np.zeros(0, np.int64), *(_counts_of(x, len(c) // 5) for c, x in zip(up["c"], up[col]))]) for col in "de")
+        each = [_unrun(a, b) for a, b in zip(up["a"], up["b"])]
+        h1 = np.concatenate([np.zeros(0, U64), *each])
+        h2 = np.concatenate([np.zeros(0, U64), *(_unfive(c, len(x)) for c, x in zip(up["c"], each))])
+        n3, n2 = (np.concatenate([np.zeros(0, np.int64), *(_counts_of(y, len(x)) for y, x in zip(up[col], each))]) for col in "de")
         often, total = q.contexts.find(h1)
         total = np.where(often, total, _find(h, count, h1)[1])
         order, starts = _groups(context_key(h1, h2))
         at = order[starts]
         c = _sums(order, starts, n3.astype(np.float64))
-        kept = _sums(order, starts, discounted(n3, d3))
-        p = _sums(order, starts, discounted(n2, d2) / np.maximum(total, 1))
+        kept = _sums(order, starts, discounted(n3, d3)) if len(n3) else c
+        p = _sums(order, starts, discounted(n2, d2) / np.maximum(total, 1)) if len(n3) else c
         value = _log(c) + _log((1.0 - kept / c) / np.maximum(1.0 - p, 1e-300)) if len(c) else c
         h1, h2 = h1[at], h2[at]
         order = np.argsort(h1)
@@ -479,11 +497,13 @@ def _frequent_contexts(contexts: DataFrame, f) -> Few:
     return _sorted(got.column("h").to_numpy().view(U64), got.column("x").to_numpy())[0]
 
 
-def fit(docs: DataFrame, text_col: str = "text", passes: int = PASSES, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Katz:
+def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, passes: int = PASSES, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Katz:
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     source = docs.select(text_col)
     none = lambda w: np.zeros(len(w), U64)
-    words = stage(_counts(source, lambda w, h1, h2: (w, none(w), none(w))).select(F.col("a").alias("w"), "n"), "words")
+    words = stage(_counts(source, 2, lambda w, h1, h2: (w, none(w), none(w))).select(F.col("a").alias("w"), "n"), "words")
     release_shuffles(spark)
     s = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), *(F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, MAX_RANK + 2))).first()
     n, v = s["n"] or 0, s["v"]
@@ -499,13 +519,13 @@ def fit(docs: DataFrame, text_col: str = "text", passes: int = PASSES, hot: int
     often, _ = _sorted(_u64(top, "w"), np.array([r["n"] for r in top], np.int64))
     begin = [BEGIN] if documents else []
     before, _ = _sorted(np.append(often.keys, np.array(begin, U64)), np.append(often.values, [documents] * len(begin)).astype(np.int64))
-    heavy = _counts(source, lambda w, h1, h2: _where(often.find(w)[0] & before.find(h1)[0], w, h1, none(w))).where(F.col("n") >= least).collect() if len(top) else []
+    heavy = _counts(source, 2, lambda w, h1, h2: _where(often.find(w)[0] & before.find(h1)[0], w, h1, none(w))).where(F.col("n") >= least).collect() if len(top) else []
     pw, ph = _u64(heavy, "a"), _u64(heavy, "b")
     pairs, pair = _sorted(pair_key(pw, ph), np.array([r["n"] for r in heavy], np.int64), pw, ph)
-    heavy = _counts(source, lambda w, h1, h2: _where(pairs.find(pair_key(w, h1))[0], w, h1, h2)).where(F.col("n") >= least).collect() if len(pw) else []
+    heavy = _counts(source, order, lambda w, h1, h2: _where(pairs.find(pair_key(w, h1))[0], w, h1, h2)).where(F.col("n") >= least).collect() if len(pw) and order > 2 else []
     tw, t1, t2 = (_u64(heavy, c) for c in "abc")
     triples, triple = _sorted(triple_key(pair_key(tw, t1), t2), np.array([r["n"] for r in heavy], np.int64), tw, t1, t2)
-    frequent = Frequent(often, pairs, triples, pair, triple, before, int(parts))
+    frequent = Frequent(often, pairs, triples, pair, triple, before, int(parts), order)
     f = spark.sparkContext.broadcast(frequent)  # bounded by MOST
 
     tables = []
@@ -520,7 +540,7 @@ def fit(docs: DataFrame, text_col: str = "text", passes: int = PASSES, hot: int
         seen += np.frombuffer(r["g"], np.int64).reshape(2, -1)
     for k, few in enumerate((pairs, triples)):
         np.add.at(seen[k], np.minimum(few.values, MAX_RANK + 2), 1)
-    discounts = [d1, *(good_turing([float(x) for x in seen[k, 1 : MAX_RANK + 2]]) for k in (0, 1))]
+    discounts = [d1, *(good_turing([float(x) for x in seen[k, 1 : MAX_RANK + 2]]) for k in range(order - 1))]
     m = {"n": n, "discounts": discounts}
     extra = spark.createDataFrame([_row(0, ROWS, 0)] if len(pw) else [], _BLOBS)
     weights = []
@@ -555,27 +575,26 @@ def _doc_sums(doc: np.ndarray, c: np.ndarray, score: np.ndarray, m: dict) -> tup
 def _token_exchange(source: DataFrame, f, m: dict, g: int, passes: int) -> DataFrame:
     """Tokens of pass g by part, with the ids and text keys of each chunk's rows and the
     sums of the tokens that need no part."""
-    d3 = m["discounts"][2]
+    top = m["discounts"][-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         q: Frequent = f.value
         chunk = TaskContext.get().partitionId() << 32
-        for rows_of, (w, h1, h2, doc) in _chunks(batches, 1):
+        for rows_of, (w, h1, h2, doc) in _chunks(batches, 1, q.order):
             home = int(H.mix(np.array([chunk], U64))[0] % U64(q.parts))
             ids = rows_of.column(0).to_pylist()
             keys = b"".join(hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in rows_of.column(1).to_pylist())
             rows = [_row(home, ROWS, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), keys)]
-            pair = pair_key(w, h1)
-            triple = triple_key(pair, h2)
-            part = q.part(w, pair, triple)
+            pair, triple, part = q.keys(w, h1, h2)
             mine = np.flatnonzero(part % passes == g)
-            heavy, n3 = q.triples.find(triple[mine])
+            heavy, n = q.top.find(triple[mine])
             if heavy.any():
                 at = mine[heavy]
-                c, n2 = q.words.find(w[at])[1], q.pairs.find(pair[at])[1]
-                score = _log(discounted(n3[heavy], d3)) - np.where(w[at] == END, 0.0, _log(n2))
+                c = q.words.find(w[at])[1]
+                own = c if q.order == 2 else q.pairs.find(pair[at])[1]
+                score = _log(discounted(n[heavy], top)) - np.where(w[at] == END, 0.0, _log(own))
                 rows.append(_row(home, SUMS, chunk, *_doc_sums(doc[at], c, score, m)))
                 mine = mine[~heavy]
             order, ranges = _deal(part[mine], w[mine])
@@ -601,38 +620,42 @@ def _together(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def _score_part(f, m: dict) -> Callable:
-    d1, d2, d3 = m["discounts"]
+    d1, d2, d3 = [*m["discounts"], None][:3]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q: Frequent = f.value
         stored, tokens = pdf[pdf["kind"] == TABLE], pdf[pdf["kind"] == TOKENS]
         out = list(pdf[pdf["kind"].isin([ROWS, SUMS])].itertuples(index=False, name=None))
-        words, counts, keys, pairs, order = q.words.keys[:0], q.words.values[:0], np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words, counts, keys, pairs = q.words.keys[:0], q.words.values[:0], np.zeros(0, U64), np.zeros(0, np.int64)
         triples, n = np.zeros(0, U64), np.zeros(0, np.int64)
         for _, r in stored.iterrows():  # one at most
             w, h1, h2, n = _load(r)
             words, counts, keys, pairs, _, _ = _known(q, w, h1, n)
-            triples = triple_key(pair_key(w, h1), h2)
+            if q.order > 2:
+                triples = triple_key(pair_key(w, h1), h2)
+                order = np.argsort(triples)
+                triples, n = triples[order], n[order]
             del w, h1, h2
-            order = np.argsort(triples)
-            triples, n = triples[order], n[order]
         chunks, blobs = tokens["chunk"].to_numpy(), {c: list(tokens[c]) for c in "abcde"}
         for a, b in _together([len(x) // 8 for x in blobs["c"]], 2_000_000):
             w = np.concatenate([_unrun(x, y) for x, y in zip(blobs["a"][a:b], blobs["b"][a:b])])
             h1 = np.concatenate([np.frombuffer(x, U64) for x in blobs["c"][a:b]])
-            h2 = np.concatenate([_unfive(x) for x in blobs["d"][a:b]])
             sizes = [len(x) // 8 for x in blobs["c"][a:b]]
+            h2 = np.concatenate([_unfive(x, k) for x, k in zip(blobs["d"][a:b], sizes)])
             doc = np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * k else np.uint32).astype(np.int64) for x, k in zip(blobs["e"][a:b], sizes)])
             hot, often = q.words.find(w)
             c = np.where(hot, often, _find(words, counts, w)[1])
             pair = pair_key(w, h1)
             heavy, many = q.pairs.find(pair)
             n2 = np.where(heavy, many, _find(keys, pairs, pair)[1])
-            seen, n3 = _find(triples, n, triple_key(pair, h2))
             single = np.where(c > 0, discounted(np.maximum(c, 1), d1) / max(1, m["n"]), m["unknown"])
-            score = np.where(seen, _log(discounted(np.maximum(n3, 1), d3)), np.where(n2 > 0, _log(discounted(np.maximum(n2, 1), d2)), _log(single)))
-            # the pair is the next token's context and divides by its count; undone where that is not seen
-            score -= np.where((n2 > 0) & (w != END), _log(n2), 0.0)
+            score = np.where(n2 > 0, _log(discounted(np.maximum(n2, 1), d2)), _log(single))
+            seen, own = n2 > 0, c
+            if q.order > 2:
+                seen, n3 = _find(triples, n, triple_key(pair, h2))
+                score, own = np.where(seen, _log(discounted(np.maximum(n3, 1), d3)), score), n2
+            # this is the next token's context and divides by its count; undone where that is not seen
+            score -= np.where((own > 0) & (w != END), _log(own), 0.0)
             edges = np.cumsum([0, *sizes])
             for k in range(b - a):
                 x, y = edges[k], edges[k + 1]
@@ -649,26 +672,32 @@ def _score_part(f, m: dict) -> Callable:
 
 
 def _weigh(f, m: dict) -> Callable:
-    """What contexts add to tokens whose triples were not seen: their count times backoff weight,
-    and for pairs seen the count of the word before, or for others its backoff weight."""
+    """What contexts add to tokens whose n-grams were not seen: their count times backoff weight;
+    with order 3, besides, the count of the word before where the pair was seen, else its
+    backoff weight."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, backoff = f.value, m["backoff"]
         h, count, weight, keys, value = np.zeros(0, U64), np.zeros(0), np.zeros(0), np.zeros(0, U64), np.zeros(0, np.float32)
         for _, r in pdf[pdf["kind"] == WEIGHTS].iterrows():  # one at most
             h, count, weight = np.frombuffer(r["a"], U64), np.frombuffer(r["b"], np.float64), np.frombuffer(r["c"], np.float64)
-            keys, value = context_key(_unrun(r["d"], r["e"]), _unfive(r["f"])), np.frombuffer(r["g"], np.float32)
-            order = np.argsort(keys)
-            keys, value = keys[order], value[order]
+            if q.order > 2:
+                value = np.frombuffer(r["g"], np.float32)
+                keys = context_key(_unrun(r["d"], r["e"]), _unfive(r["f"], len(value)))
+                order = np.argsort(keys)
+                keys, value = keys[order], value[order]
         out, need = [], pdf[pdf["kind"] == NEEDS]
         for chunk, a, b, c, d, e in zip(need["chunk"], *(need[x] for x in "abcde")):
             h1, doc = _unrun(a, b), np.frombuffer(e, np.uint32)
-            got = _find(keys, value, context_key(h1, _unfive(c)))[1].astype(np.float64)
             often, n1 = q.contexts.find(h1)
             known, local = _find(h, count, h1)
             n1 = np.where(often, n1, local)
             x = np.where(often, backoff.find(h1)[1], _find(h, weight, h1)[1])
-            got += np.where(np.frombuffer(d, np.uint8) > 0, -_log(n1), np.where(often | known, _log(x), 0.0))
+            if q.order > 2:
+                got = _find(keys, value, context_key(h1, _unfive(c, len(h1))))[1].astype(np.float64)
+                got += np.where(np.frombuffer(d, np.uint8) > 0, -_log(n1), np.where(often | known, _log(x), 0.0))
+            else:
+                got = np.where(often | known, _log(n1) + _log(x), 0.0)
             u = np.flatnonzero(np.bincount(doc))
             out.append(_row(-1, SUMS, chunk, u.astype(np.uint32).tobytes(), np.zeros((2, len(u)), np.uint32).tobytes(), np.zeros(len(u)).tobytes(), np.bincount(doc, got)[u].tobytes()))
         return _frame(out)

@@ -15,9 +15,10 @@ def tokens(text):
 
 
 class Brute:
-    """Order 3 in plain dictionaries."""
+    """Orders 2 and 3 in plain dictionaries."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order):
+        self.order = order
         self.uni, self.ctx = Counter(), [None, defaultdict(Counter), defaultdict(Counter)]
         for t in texts:
             h = ("<s>", "<s>")
@@ -55,7 +56,7 @@ class Brute:
     def score(self, text):
         h, total = ("<s>", "<s>"), 0.0
         for w in tokens(text):
-            total += math.log10(self.p(h, w))
+            total += math.log10(self.p(h[3 - self.order :], w))
             h = (h[1], w)
         return total
 
@@ -66,19 +67,20 @@ def corpus(seed, n):
     return [" ".join(rng.choice(words) if rng.random() < 0.6 else rng.choice(words[:4]) for _ in range(rng.choice([0, 1, 5, 30, 90]))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("options", [{}, {"passes": 2, "hot": 64, "part_tokens": 50}, {"passes": 3, "hot": 10_000, "part_tokens": 4000}])
-def test_against_brute_force(spark, options):
+def test_against_brute_force(spark, options, order):
     train, other = corpus(1, 80), corpus(2, 30)
     rows = [(k, t, 0) for k, t in enumerate(train)]
     new = [(1000 + k, t, 1) for k, t in enumerate(other)] + [(2000, None, 1), (2001, "", 1), (None, "the of", 1), (7, "the of the", 1), (7, "the of the", 1)]
     df = spark.createDataFrame([*rows, *new], "doc_id long, text string, part int").repartition(3)
-    model = katz.fit(df.where("part = 0"), **options)
-    b = Brute(train)
+    model = katz.fit(df.where("part = 0"), order=order, **options)
+    b = Brute(train, order)
     assert model.n == b.n and model.v == len(b.uni) and model.documents == 80
     assert abs(model.unknown - b.unknown) < 1e-9
     f = model.frequent
     if options.get("hot") == 64:  # frequent words, pairs and triples all take their own ways
-        assert len(f.words.keys) and len(f.pairs.keys) and len(f.triples.keys) and f.parts > 24
+        assert len(f.words.keys) and len(f.pairs.keys) and bool(len(f.triples.keys)) == (order > 2) and f.parts > 24
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(model, df).collect()), key=str)
     v = len(b.uni)
     want = []
@@ -99,7 +101,8 @@ def test_empty(spark):
     assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == (3, 0, 0.0, 0.0)
 
 
-def test_no_part_grows_with_a_frequent_word(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_no_part_grows_with_a_frequent_word(spark, order):
     """One word at 5 % of all tokens, one pair at 2 %: their triples are spread over the parts."""
     rng = random.Random(5)
     texts = []
@@ -109,10 +112,10 @@ def test_no_part_grows_with_a_frequent_word(spark):
             words += ["of", "the"] if rng.random() < 0.03 else ["the" if rng.random() < 0.04 else f"w{rng.randrange(4000)}"]
         texts.append(" ".join(words))
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
-    model = katz.fit(df, passes=1, part_tokens=400)
-    sizes = [len(r["e"]) // 5 for t in model.tables for r in t.select("e").collect()]
+    model = katz.fit(df, order=order, passes=1, part_tokens=400)
+    sizes = [len(r["f"]) for t in model.tables for r in t.select("f").collect()]
     assert len(sizes) == model.frequent.parts > 40 and max(sizes) < 3 * 400
-    contexts = [len(r["f"]) // 5 for r in model.contexts.select("f").collect()]
+    contexts = [len(r["a"]) // 8 + len(r["f"]) // 5 for r in model.contexts.select("a", "f").collect()]
     assert max(contexts) < 3 * 400
 
 
@@ -126,4 +129,4 @@ def test_lookups():
     want = [at.get(int(x), 0) for x in wanted]
     assert few.find(wanted)[1].tolist() == want == katz._find(keys, np.arange(len(keys)) + 1, wanted)[1].tolist()
     x = rng.randint(0, 2**40, 1000, dtype=np.int64).astype(np.uint64)
-    assert (katz._unfive(katz._five(x)) == x).all()
+    assert (katz._unfive(katz._five(x), 1000) == x).all()
