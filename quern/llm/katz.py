@@ -17,10 +17,10 @@ their last word too.  Scores need two hops: what a word's part knows of a token,
 triples it has not seen, what the context's part knows: backoff weights and counts.
 
 A word that holds more than an eighth of a part, or 1/HOT of all tokens, is dealt by the word
-before it as well; a pair as frequent as that by all three words; and a triple as frequent
-is resolved where it is read.  Tasks hold the counts of these (MOST of each at most, in fact
-far fewer).  The exchange runs in PASSES passes over the parts, which divides the disk that
-shuffles need.
+before it as well; with order 3, a pair as frequent as that by all three words.  Tokens of an
+n-gram of the model's order that is as frequent are scored where they are read.  Tasks hold
+the counts of these (MOST of each at most, in fact far fewer).  The exchange runs in PASSES
+passes over the parts, which divides the disk that shuffles need.
 
 Defined cases: a null text is empty, and has its end token only; rows that repeat are
 scored and counted one by one; without training texts every word is unknown and the end
@@ -45,7 +45,7 @@ from quern.llm.workers import lean, release
 MAX_RANK, TAIL = 5, 0.5
 HOT, MOST = 4096, 1 << 20
 ORDER = 2
-PART_TOKENS, MIN_PARTS, PASSES = 2_000_000, 24, 3
+PART_TOKENS, MIN_PARTS, PASSES = 2_000_000, 24, 2
 CHUNK_TOKENS = 1_500_000
 U64 = H.U64
 BEGIN, END = U64(0x8BADF00D5EED0001), U64(0x8BADF00D5EED0002)
@@ -238,7 +238,7 @@ def _released(run: Callable) -> Callable:
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         out = run(pdf)
         del pdf
-        release()
+        release(cycles=False)
         return out
 
     return group
@@ -252,19 +252,12 @@ class Frequent:
     """Counts of the words, pairs and triples that are frequent."""
 
     words: Few
-    pairs: Few  # by pair_key
-    triples: Few  # by triple_key
+    pairs: Few  # by pair_key; with order 3 only
     pair: tuple[np.ndarray, np.ndarray]  # (w, h1) of the pairs, in their order
-    triple: tuple[np.ndarray, np.ndarray, np.ndarray]  # (w, h1, h2) of the triples
     contexts: Few  # counts of frequent words as contexts, the begin mark's among them
     parts: int
     order: int
 
-    @property
-    def top(self) -> Few:
-        """Those of the model's order."""
-        return self.pairs if self.order == 2 else self.triples
-
     def keys(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the tokens' pairs, and of their n-grams of the model's order; and their parts."""
         pair = pair_key(w, h1)
@@ -293,6 +286,7 @@ class Katz:
     unknown: float
     discounts: list[np.ndarray]  # of words, pairs, triples
     frequent: Frequent
+    grams: Few  # counts of frequent n-grams of the model's order
     backoff: Few  # of frequent words as contexts
     tables: list[DataFrame]  # by pass, a row a part: words, and their pairs' and triples' counts
     contexts: DataFrame  # a row a part: contexts, counts and backoff weights
@@ -311,34 +305,73 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int, order: int) -> Iterato
             at += part.num_rows
 
 
-def _counts(source: DataFrame, order_: int, pick: Callable) -> DataFrame:
-    """(a, b, c, n): summed counts of the triples of hashes that ``pick`` takes from the tokens."""
+def _word_table(source: DataFrame) -> DataFrame:
+    """Words and their counts, a row a part, with the numbers of words of each small count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
-        def merged(parts: list[tuple]) -> tuple:
-            a, b, c, n = (np.concatenate(x) for x in zip(*parts))
-            order, starts = _groups(triple_key(pair_key(a, b), c))
-            at = order[starts]
-            return a[at], b[at], c[at], _sums(order, starts, n)
-
         def rows():
-            a, b, c, n = merged(held)
-            return pa.RecordBatch.from_arrays([*(pa.array(H.signed(x)) for x in (a, b, c)), pa.array(n)], ["a", "b", "c", "n"])
-
-        for _, (w, h1, h2, _) in _chunks(batches, 0, order_):
-            a, b, c = pick(w, h1, h2)
-            held.append(merged([(a, b, c, np.ones(len(a), np.int64))]))
-            size += len(held[-1][0])
-            if size > 3_000_000:
+            w, n = (np.concatenate(x) for x in zip(*held))
+            order, starts = _groups(w)
+            w, n = w[order][starts], _sums(order, starts, n)
+            order, ranges = _deal((H.mix(w ^ U64(0xA5A5)) % U64(MIN_PARTS)).astype(np.int64), w)
+            w, n = w[order], n[order]
+            return _batch([_row(p, TABLE, 0, w[x:y].tobytes(), n[x:y].astype(np.int64).tobytes()) for p, x, y in ranges])
+
+        for _, (w, _, _, _) in _chunks(batches, 0, 2):
+            order, starts = _groups(w)
+            held.append((w[order][starts], np.diff(np.append(starts, len(order)))))
+            size += len(starts)
+            if size > 2_000_000:
                 yield rows()
                 held, size = [], 0
         if size:
             yield rows()
 
-    return source.mapInArrow(lean(run), "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.concatenate([np.frombuffer(a, U64) for a in pdf["a"]])
+        order, starts = _groups(w)
+        n = _sums(order, starts, np.concatenate([np.frombuffer(b, np.int64) for b in pdf["b"]]))
+        w = w[order][starts]
+        seen = np.bincount(np.minimum(n, MAX_RANK + 2), minlength=MAX_RANK + 3).astype(np.int64)
+        more = n[n > MAX_RANK]
+        return _frame([_row(int(pdf["part"].iloc[0]), TABLE, 0, w.tobytes(), n.tobytes(), seen.tobytes(), np.array([n.sum(), len(n), more.sum(), len(more)], np.int64).tobytes())])
+
+    return source.mapInArrow(lean(run), _BLOBS).groupBy("part").applyInPandas(_released(merge), _BLOBS)
+
+
+def _often(table: DataFrame, least: float, kind: str) -> tuple[np.ndarray, ...]:
+    """Hashes and counts of the words (a, n), or n-grams (w, h1, h2, n), that occur ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                if kind == "words":
+                    w, n = np.frombuffer(r["a"], U64), np.frombuffer(r["b"], np.int64)
+                    h1 = h2 = np.zeros(len(w), U64)
+                else:
+                    w, h1, h2, n = _load(r)
+                at = np.flatnonzero(n >= least)
+                yield pa.RecordBatch.from_arrays([*(pa.array(H.signed(x[at])) for x in (w, h1, h2)), pa.array(n[at].astype(np.int64))], ["w", "h1", "h2", "n"])
+
+    got = table.mapInArrow(lean(run), "w long, h1 long, h2 long, n long").toArrow()  # MOST at most
+    return *(got.column(c).to_numpy().view(U64) for c in ("w", "h1", "h2")), got.column("n").to_numpy()
+
+
+def _pair_counts(source: DataFrame, pick: Callable) -> DataFrame:
+    """(a, b, n): summed counts of the pairs that ``pick`` takes from the tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (w, h1, _, _) in _chunks(batches, 0, 2):
+            a, b = pick(w, h1)
+            order, starts = _groups(pair_key(a, b))
+            at, n = order[starts], np.diff(np.append(starts, len(order)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(H.signed(x[at])) for x in (a, b)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+    return source.mapInArrow(lean(run), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _u64(rows, name: str) -> np.ndarray:
@@ -364,8 +397,6 @@ def _table_exchange(source: DataFrame, f, g: int, passes: int) -> DataFrame:
             order, starts = _groups(triple[mine])
             n = np.diff(np.append(starts, len(order)))
             at = mine[order[starts]]
-            heavy, _ = q.top.find(triple[at])
-            at, n = at[~heavy], n[~heavy]
             order, ranges = _deal(part[at], w[at])
             at, n = at[order], n[order]
             rows = [_row(p, TABLE, 0, *_runs(w[at[x:y]]), h1[at[x:y]].tobytes(), _five(h2[at[x:y]]), _small(n[x:y])) for p, x, y in ranges]
@@ -431,9 +462,9 @@ def _contexts(table: DataFrame, f, m: dict, heavy: DataFrame, g: int, passes: in
                     words, c, _, _, n2, first = _known(q, w, h1, n)
                     lower = (w[first], h1[first], n2[first])
                     c1 = c[np.searchsorted(words, lower[0])]
-                else:  # the frequent pairs and triples
-                    (w, h1, h2), n = q.triple, q.triples.values
-                    n2 = q.pairs.find(pair_key(w, h1))[1]
+                else:  # the frequent pairs
+                    w = h1 = h2 = np.zeros(0, U64)
+                    n = n2 = np.zeros(0, np.int64)
                     lower = (*q.pair, q.pairs.values)
                     c1 = q.words.find(lower[0])[1]
                 rows = []
@@ -502,55 +533,55 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, passes: int
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     source = docs.select(text_col)
-    none = lambda w: np.zeros(len(w), U64)
-    words = stage(_counts(source, 2, lambda w, h1, h2: (w, none(w), none(w))).select(F.col("a").alias("w"), "n"), "words")
+    words = stage(_word_table(source), "words")
     release_shuffles(spark)
-    s = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), *(F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, MAX_RANK + 2))).first()
-    n, v = s["n"] or 0, s["v"]
-    d1 = good_turing([float(s[f"n{r}"] or 0) for r in range(1, MAX_RANK + 2)])
+    seen, sums = np.zeros((order, MAX_RANK + 3), np.int64), np.zeros(4, np.int64)
+    for r in words.select("c", "d").collect():  # MIN_PARTS rows
+        seen[0] += np.frombuffer(r["c"], np.int64)
+        sums += np.frombuffer(r["d"], np.int64)
+    n, v = int(sums[0]), int(sums[1])
+    d1 = good_turing([float(x) for x in seen[0, 1 : MAX_RANK + 2]])
+    kept = float((seen[0, 1 : MAX_RANK + 1] * d1 * np.arange(1, MAX_RANK + 1)).sum() + sums[2] - TAIL * sums[3])
     parts = max(MIN_PARTS, -(-n // part_tokens))
     least = max(2.0, min(n / hot, part_tokens / 8), n / MOST)
-    top = words.where(F.col("n") >= least).collect()
-    documents = words.where(F.col("w") == int(H.signed(np.array([END]))[0])).agg(F.sum("n")).first()[0] or 0
-    spread = words.select(F.when(F.col("n") <= MAX_RANK, F.col("n") * F.element_at(F.array(*map(F.lit, d1.tolist())), F.least("n", F.lit(MAX_RANK)).cast("int"))).otherwise(F.col("n") - TAIL).alias("x"))
-    unknown = 1.0 - (spread.agg(F.sum("x")).first()[0] or 0.0) / n if n else 1.0
+    top, _, _, count = _often(words, least, "words")
+    often, _ = _sorted(top, count)
+    documents = docs.count()  # each has one end token
     drop(words)
-
-    often, _ = _sorted(_u64(top, "w"), np.array([r["n"] for r in top], np.int64))
     begin = [BEGIN] if documents else []
     before, _ = _sorted(np.append(often.keys, np.array(begin, U64)), np.append(often.values, [documents] * len(begin)).astype(np.int64))
-    heavy = _counts(source, 2, lambda w, h1, h2: _where(often.find(w)[0] & before.find(h1)[0], w, h1, none(w))).where(F.col("n") >= least).collect() if len(top) else []
+    heavy = []
+    if order > 2 and len(top):
+        heavy = _pair_counts(source, lambda w, h1: _where(often.find(w)[0] & before.find(h1)[0], w, h1)).where(F.col("n") >= least).collect()
     pw, ph = _u64(heavy, "a"), _u64(heavy, "b")
     pairs, pair = _sorted(pair_key(pw, ph), np.array([r["n"] for r in heavy], np.int64), pw, ph)
-    heavy = _counts(source, order, lambda w, h1, h2: _where(pairs.find(pair_key(w, h1))[0], w, h1, h2)).where(F.col("n") >= least).collect() if len(pw) and order > 2 else []
-    tw, t1, t2 = (_u64(heavy, c) for c in "abc")
-    triples, triple = _sorted(triple_key(pair_key(tw, t1), t2), np.array([r["n"] for r in heavy], np.int64), tw, t1, t2)
-    frequent = Frequent(often, pairs, triples, pair, triple, before, int(parts), order)
+    frequent = Frequent(often, pairs, pair, before, int(parts), order)
     f = spark.sparkContext.broadcast(frequent)  # bounded by MOST
 
     tables = []
     for g in range(passes):
-        tables.append(stage(_table_exchange(source, f, g, passes), "triples"))
+        tables.append(stage(_table_exchange(source, f, g, passes), "n-grams"))
         release_shuffles(spark)
     table = tables[0]
     for t in tables[1:]:
         table = table.unionByName(t)
-    seen = np.zeros((2, MAX_RANK + 3), np.int64)
     for r in table.select("g").toLocalIterator():  # a row a part
-        seen += np.frombuffer(r["g"], np.int64).reshape(2, -1)
-    for k, few in enumerate((pairs, triples)):
-        np.add.at(seen[k], np.minimum(few.values, MAX_RANK + 2), 1)
-    discounts = [d1, *(good_turing([float(x) for x in seen[k, 1 : MAX_RANK + 2]]) for k in range(order - 1))]
+        seen[1:] += np.frombuffer(r["g"], np.int64).reshape(2, -1)[: order - 1]
+    np.add.at(seen[1], np.minimum(pairs.values, MAX_RANK + 2), 1)
+    discounts = [good_turing([float(x) for x in seen[k, 1 : MAX_RANK + 2]]) for k in range(order)]
+    w, h1, h2, count = _often(table, least, "n-grams")
+    key = pair_key(w, h1)
+    grams, _ = _sorted(triple_key(key, h2) if order > 2 else key, count)
     m = {"n": n, "discounts": discounts}
     extra = spark.createDataFrame([_row(0, ROWS, 0)] if len(pw) else [], _BLOBS)
-    weights = []
-    for g in range(passes):
-        weights.append(stage(_contexts(table, f, m, extra, g, passes), "contexts"))
+    weights, rounds = [], passes if order > 2 else 1  # those of pairs are small
+    for g in range(rounds):
+        weights.append(stage(_contexts(table, f, m, extra, g, rounds), "contexts"))
         release_shuffles(spark)
     contexts = weights[0]
     for t in weights[1:]:
         contexts = contexts.unionByName(t)
-    return Katz(n, v, documents, unknown, discounts, frequent, _frequent_contexts(contexts, f), tables, contexts)
+    return Katz(n, v, documents, 1.0 - kept / n if n else 1.0, discounts, frequent, grams, _frequent_contexts(contexts, f), tables, contexts)
 
 
 def _where(mask: np.ndarray, *columns: np.ndarray) -> tuple:
@@ -589,7 +620,7 @@ def _token_exchange(source: DataFrame, f, m: dict, g: int, passes: int) -> DataF
             rows = [_row(home, ROWS, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), keys)]
             pair, triple, part = q.keys(w, h1, h2)
             mine = np.flatnonzero(part % passes == g)
-            heavy, n = q.top.find(triple[mine])
+            heavy, n = m["grams"].find(triple[mine])
             if heavy.any():
                 at = mine[heavy]
                 c = q.words.find(w[at])[1]
@@ -725,7 +756,7 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
 def score(model: Katz, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of every row (log10)."""
     spark, passes = docs.sparkSession, len(model.tables)
-    m = {"n": model.n, "v": model.v, "unknown": model.unknown, "discounts": model.discounts, "backoff": model.backoff}
+    m = {"n": model.n, "v": model.v, "unknown": model.unknown, "discounts": model.discounts, "grams": model.grams, "backoff": model.backoff}
     f = spark.sparkContext.broadcast(model.frequent)  # bounded by MOST
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sums = []

@@ -178,7 +178,7 @@ def _plan(docs: DataFrame, targets: dict | None, cap: float) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         some = pdf[pdf["size"] > 0]
         lam = solve(some["size"].to_numpy(float), some["n"].to_numpy(float), float(pdf["target"].iloc[0]), cap)
-        release()
+        release(cycles=False)
         return pdf[["source", "words", "target", "mean"]].iloc[:1].assign(lam=[lam])
 
     kind = docs.schema["source"].dataType.simpleString()

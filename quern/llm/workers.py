@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 
-def release() -> None:
-    """Give freed memory back to the system."""
-    gc.collect()
+def release(cycles: bool = True) -> None:
+    """Give freed memory back to the system; ``cycles``: after a search for objects that only
+    refer to each other, which takes a twentieth of a second."""
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
