@@ -23,6 +23,16 @@ def logistic(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def logit(p: Column) -> Column:
+    """The inverse of the logistic function."""
+    return F.log(p / (1.0 - p))
+
+
+def logistic_gradient(p: Column) -> Column:
+    """From the function's value."""
+    return p * (1.0 - p)
+
+
 UNARY: dict[str, Callable[[Column], Column]] = {
     "floor": lambda x: F.floor(x).cast("double"),
     "ceil": lambda x: F.ceil(x).cast("double"),

@@ -72,6 +72,18 @@ def full_batches(df: DataFrame, size: int, key: str, *ties: str) -> DataFrame:
     return batches(df, size, key, *ties)
 
 
+def to_columns(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
+    """A row a batch, with an array of each column's values in order."""
+    row = F.array_sort(F.collect_list(F.struct(order, *(F.col(c).alias(f"_{c}") for c in columns))))
+    return df.groupBy(batch).agg(row.alias("_rows")).select(batch, *(F.col("_rows").getField(f"_{c}").alias(c) for c in columns))
+
+
+def to_rows(df: DataFrame, batch: str, columns: list[str]) -> DataFrame:
+    """Its inverse: a row for each entry, with its place."""
+    zipped = F.arrays_zip(*columns)
+    return df.select(batch, F.posexplode(zipped).alias("place", "_row")).select(batch, "place", *(F.col("_row")[c].alias(c) for c in columns))
+
+
 def augmented(df: DataFrame, streams: dict[str, Column], whole: bool = True, batch: str = "batch_id") -> DataFrame:
     """Adds columns that are made from others: of a row alone, or with aggregates over the whole
     table (as losses need) or over each batch."""

@@ -448,6 +448,27 @@ class Network:
         schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{k}` array<double>" for k in leaves)
         return df.select(key, batch, *dict.fromkeys(inputs.values())).groupBy(batch).applyInPandas(one, schema)
 
+    def input_gradients(self, df: DataFrame, inputs: dict[str, str], grads: dict[str, str], key: str) -> DataFrame:
+        """key, and for each input the gradient that the leaves' gradients (columns by leaf) give."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            net = shared.value
+            for pdf in parts:
+                if not len(pdf):
+                    continue
+                out, kept = net.forward({k: np.stack([np.asarray(v, float) for v in pdf[c]]) for k, c in inputs.items()}, True)
+                got = {k: np.stack([np.asarray(v, float) for v in pdf[c]]) for k, c in grads.items()}
+                for x in reversed(net.layers):
+                    if x.type != "input" and x.id in got:
+                        back, _ = K.backward(net, x, [out[p] for p in x.parents], out[x.id], kept.get(x.id), got[x.id])
+                        for p, g in zip(x.parents, back):
+                            got[p] = got[p] + g if p in got else g
+                yield pd.DataFrame({key: pdf[key], **{k: list(got[k]) for k in inputs}})
+
+        schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{k}` array<double>" for k in inputs)
+        return df.select(key, *dict.fromkeys([*inputs.values(), *grads.values()])).mapInPandas(run, schema)
+
     def _followed(self) -> tuple[list[str], list[str]]:
         """Layers whose running moments, and layers whose centres, a step moves."""
         moments = [x.id for x in self.layers if x.type == "batch_normalization"]

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from quern.functions import arrays as A
 from quern.functions import tensors as X
 from quern.functions import utils as U
+from quern.functions.objectives import GRADIENTS
 from quern.operators import detect, rows
 from quern.plans import network as N
 from quern.plans import optimizers
-from quern.registry import _BATCH, _E, _KEYS, _LABELLED, _LINE, _PREDICTED, _T, _W, _boxes, _embeddings, _greedy_sql, _iou_sql, _long, _r, _sides_sql, _target, _weight, register
+from quern.registry import _BATCH, _BOX, _CELLS, _E, _S, _KEYS, _LABELLED, _LINE, _PREDICTED, _T, _W, _boxes, _embeddings, _greedy_sql, _iou_sql, _long, _r, _sides_sql, _target, _weight, register
 from quern.sources.io import table
 
 # -- views ------------------------------------------------------------------------------------------
@@ -299,3 +300,171 @@ UNION ALL SELECT class, l, p, m, {_M.format(a="m", b="l")}, {_M.format(a="m", b=
 def box_all_metrics(spark, sf):
     m = detect.all_metrics(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), "image", "label_id", "pred_id", 0.2)
     return m.select("class", "n_labels", "n_predictions", "n_matches", *(_r(F.col(c)).alias(c) for c in ("sensitivity", "precision", "f1", "class_accuracy", "global_f1")))
+
+
+# -- labels and columns ------------------------------------------------------------------------------------------------
+
+
+@register("one_hot_index", "SELECT vec_id, CAST(i AS INT) AS i, CASE WHEN i = label THEN 1.0::DOUBLE ELSE 0 END AS x FROM embeddings CROSS JOIN (SELECT unnest(range(10)) AS i)")
+def one_hot_index(spark, sf):
+    return _long(_embeddings(spark, sf), A.one_hot(F.col("label"), 10), "vec_id")
+
+
+@register("one_hot_silent", "WITH c AS (SELECT unnest(['F', 'O']) AS s, CAST(unnest(range(2)) AS INT) AS i) SELECT o_orderkey, i, CASE WHEN o_orderstatus = s THEN 1.0::DOUBLE ELSE 0 END AS x FROM orders CROSS JOIN c")
+def one_hot_silent(spark, sf):
+    return _long(table(spark, sf, "orders"), A.one_hot_label(["F", "O"], F.col("o_orderstatus"), strict=False), "o_orderkey")
+
+
+@register("nan_labels", _E + " SELECT vec_id, i, CASE WHEN i % 3 = 0 THEN 0 ELSE round(v, 6) END AS x, CASE WHEN i % 3 = 0 THEN 0.0::DOUBLE ELSE 1 END AS mask FROM e")
+def nan_labels(spark, sf):
+    v = F.transform("v", lambda x, i: F.when(i % 3 == 0, F.lit(float("nan"))).otherwise(x))
+    e = _embeddings(spark, sf).withColumn("t", v)
+    both = F.arrays_zip(A.nan_to_zero(F.col("t")).alias("x"), A.nan_mask(F.col("t")).alias("mask"))
+    return e.select("vec_id", F.posexplode(both).alias("i", "b")).select("vec_id", "i", _r(F.col("b.x")).alias("x"), F.col("b.mask").alias("mask"))
+
+
+@register("unit_vector", _E + ", m AS (SELECT vec_id, max(v) AS top FROM e GROUP BY vec_id), a AS (SELECT vec_id, max(i) AS k FROM e JOIN m USING (vec_id) WHERE v = top GROUP BY vec_id) SELECT vec_id, i, CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0 END AS x FROM e JOIN a USING (vec_id)")
+def unit_vector(spark, sf):
+    return _long(_embeddings(spark, sf), A.unit_vector(F.col("v")), "vec_id")
+
+
+@register("batch_columns", f"SELECT CAST({_BATCH} AS BIGINT) AS batch_id, string_agg(label, ',' ORDER BY vec_id) AS labels, count(*) AS n FROM embeddings GROUP BY 1")
+def batch_columns(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("batch_id"))
+    c = rows.to_columns(e, "batch_id", "vec_id", ["label"])
+    return c.select("batch_id", F.array_join(F.col("label").cast("array<string>"), ",").alias("labels"), F.size("label").cast("long").alias("n"))
+
+
+@register("columns_to_rows", f"SELECT CAST({_BATCH} AS BIGINT) AS batch_id, row_number() OVER (PARTITION BY {_BATCH} ORDER BY vec_id) - 1 AS place, vec_id, label FROM embeddings")
+def columns_to_rows(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("batch_id"))
+    back = rows.to_rows(rows.to_columns(e, "batch_id", "vec_id", ["vec_id", "label"]), "batch_id", ["vec_id", "label"])
+    return back.withColumn("place", F.col("place").cast("long"))
+
+
+_CELL = "WITH b AS (SELECT " + _BOX.format(id="box_id") + ", o_orderpriority AS class FROM orders), c AS (SELECT *, (x + w / 2) / 110 * 13 AS cx, (y + h / 2) / 110 * 13 AS cy FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY image, floor(cx), floor(cy) ORDER BY box_id DESC) AS r FROM c)"
+
+
+@register("box_label_cells", _CELL + " SELECT image, CAST(floor(cx) AS BIGINT) AS col, CAST(floor(cy) AS BIGINT) AS row, round(cx - floor(cx), 6) AS dx, round(cy - floor(cy), 6) AS dy, round(w / 110, 6) AS fw, round(h / 110, 6) AS fh, 1.0::DOUBLE AS confidence, class FROM k WHERE r = 1")
+def box_label_cells(spark, sf):
+    """Pixel boxes as the truth of a 13 x 13 grid; of the boxes in a cell the last stays."""
+    cells = detect.realize_labels(_boxes(spark, sf, "true", "box_id"), "image", "box_id", (13, 13), 110.0, 110.0)
+    return cells.select("image", "col", "row", *(_r(F.col(c)).alias(c) for c in ("dx", "dy", "fw", "fh")), "confidence", "class")
+
+
+@register("box_corners", "SELECT box_id, x - w / 2 AS x0, y - h / 2 AS y0, x + w / 2 AS x1, y + h / 2 AS y1 FROM (SELECT " + _BOX.format(id="box_id") + " FROM orders)")
+def box_corners(spark, sf):
+    c = detect.corners(*(F.col(x) for x in detect.BOX))
+    return _boxes(spark, sf, "true", "box_id").withColumn("c", c).select("box_id", *(F.col("c")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+_DECODED = """, x AS (SELECT vec_id, i // 32 AS c, i // 16 % 2 AS r, i // 8 % 2 AS a, i % 8 AS k, v FROM e),
+b AS (SELECT vec_id, c, r, a, (c + 1 / (1 + exp(-max(CASE WHEN k = 0 THEN v END)))) / 2 AS x, (r + 1 / (1 + exp(-max(CASE WHEN k = 1 THEN v END)))) / 2 AS y, sqrt(exp(max(CASE WHEN k = 2 THEN v END)) * (a + 1) / 2) AS w, sqrt(exp(max(CASE WHEN k = 3 THEN v END)) * (a + 2) / 2) AS h, 1 / (1 + exp(-max(CASE WHEN k = 4 THEN v END))) AS conf FROM x GROUP BY 1, 2, 3, 4),
+p AS (SELECT vec_id, c AS r, r AS c, a, k - 5 AS cls, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id, c, r, a) AS p FROM x WHERE k >= 5), q AS (SELECT *, row_number() OVER (PARTITION BY vec_id, c, r, a ORDER BY p DESC, cls DESC) AS place FROM p)"""
+
+
+@register("decode_boxes", _E + _DECODED + " SELECT vec_id, CAST(c * 4 + r * 2 + a AS INT) AS box_id, ['a', 'b', 'c'][cls + 1] AS class, round(conf * p, 6) AS score, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM b JOIN q USING (vec_id, c, r, a) WHERE place = 1 AND conf * p > 0.15::DOUBLE")
+def decode_boxes(spark, sf):
+    """Vectors as detector output: boxes with their best class, where that is likely enough."""
+    boxes = detect.decode_boxes(_embeddings(spark, sf), "vec_id", "v", (2, 2), ((1.0, 2.0), (2.0, 3.0)), ["a", "b", "c"], 0.15)
+    return boxes.select("vec_id", "box_id", "class", *(_r(F.col(c)).alias(c) for c in ("score", *detect.BOX)))
+
+
+# -- gradients and joins ----------------------------------------------------------------------------------------------------
+
+_SIG = "1 / (1 + exp(-o))"
+_GRADIENT_SQL = {
+    "tanh": ("(exp(y) - exp(-y)) / (exp(y) + exp(-y))", "1 - o * o"),
+    "relu": ("greatest(y, 0)", "CASE WHEN o > 0 THEN 1 ELSE 0 END"),
+    "swish": (f"y * {_S}", f"{_SIG} + o * {_SIG} * (1 - {_SIG})"),
+    "selu": (f"{A.SELU_SCALE}::DOUBLE * CASE WHEN y > 0 THEN y ELSE {A.SELU_ALPHA}::DOUBLE * exp(y) - {A.SELU_ALPHA}::DOUBLE END", f"{A.SELU_SCALE}::DOUBLE * CASE WHEN o > 0 THEN 1 ELSE {A.SELU_ALPHA}::DOUBLE * exp(o) END"),
+}
+for _k, (_o, _g) in _GRADIENT_SQL.items():
+    register(f"gradient_{_k}", _E + f", t AS (SELECT vec_id, i, v AS g, {_o} AS o FROM (SELECT *, v * 8 AS y FROM e)) SELECT vec_id, i, round(({_g}) * g, 6) AS x FROM t")(
+        lambda spark, sf, k=_k: _long(_embeddings(spark, sf), A.activation_gradient(k, A.activate(k, F.transform("v", lambda x: x * 8.0)), F.col("v")), "vec_id")
+    )
+
+
+@register("logit_round_trip", _E + " SELECT vec_id, i, round(v, 6) AS x, round(1 / (1 + exp(-v)) * (1 - 1 / (1 + exp(-v))), 6) AS slope FROM e")
+def logit_round_trip(spark, sf):
+    p = F.transform("v", lambda x: F.struct(A.logit(A.logistic(x)).alias("x"), A.logistic_gradient(A.logistic(x)).alias("slope")))
+    return _embeddings(spark, sf).select("vec_id", F.posexplode(p).alias("i", "p")).select("vec_id", "i", _r(F.col("p.x")).alias("x"), _r(F.col("p.slope")).alias("slope"))
+
+
+@register("mse_gradient", _E + f" SELECT vec_id, i, round(2.0 / 64 * (v - {_T}), 6) AS x FROM e")
+def mse_gradient(spark, sf):
+    return _long(_embeddings(spark, sf), A.mse_gradient(F.col("v"), _target()), "vec_id")
+
+
+@register(
+    "network_joins",
+    _E + ", a AS (SELECT vec_id, i, greatest(v, 0) AS r, v * 1 / (1 + exp(-v)) AS s FROM e) SELECT vec_id, i, round(r + s, 6) AS x FROM a UNION ALL SELECT vec_id, CAST(i + 64 AS INT), round(v, 6) FROM e",
+)
+def network_joins(spark, sf):
+    """split, two activations, a join of them, then a concatenation with the split's other branch;
+    dropouts pass everything on."""
+    net = N.Network.build([
+        N.input_(64, id="in"), N.split(id="s"), N.relu(id="r", parents=["s"]), N.swish(id="w", parents=["s"]), N.join(operation="+", id="j", parents=["r", "w"]),
+        N.multiplicative_dropout(0.3, id="d", parents=["s"]), N.concatenate(id="out", parents=["j", "d"]),
+    ])
+    return _long(net.project(_embeddings(spark, sf), "v"), F.col("output"), "vec_id")
+
+
+def _back(spark, sf, layer, cells):
+    """The input's gradient of an image layer whose output's gradient is the first ``cells`` entries."""
+    net = N.Network.build([N.input_(8, 8, 1, id="in"), layer])
+    e = _embeddings(spark, sf).select("vec_id", "v", F.slice("v", 1, cells).alias("g"))
+    return _long(net.input_gradients(e, {"in": "v"}, {layer.id: "g"}, "vec_id"), F.col("in"), "vec_id")
+
+
+_TILE = "i // 16 * 4 + i % 8 // 2"
+
+
+@register("pool_gradient_avg", _E + f", t AS (SELECT *, {_TILE} AS c FROM e) SELECT t.vec_id, t.i, round(g.v / 4, 6) AS x FROM t JOIN e g ON g.vec_id = t.vec_id AND g.i = t.c")
+def pool_gradient_avg(spark, sf):
+    return _back(spark, sf, N.max_pooling(2, 0, 2, op="avg", id="pool"), 16)
+
+
+@register("pool_gradient_max", _E + f", t AS (SELECT *, {_TILE} AS c FROM e), m AS (SELECT vec_id, c, max(v) AS top FROM t GROUP BY 1, 2) SELECT t.vec_id, t.i, round(CASE WHEN t.v = top THEN g.v ELSE 0 END, 6) AS x FROM t JOIN m USING (vec_id, c) JOIN e g ON g.vec_id = t.vec_id AND g.i = t.c")
+def pool_gradient_max(spark, sf):
+    return _back(spark, sf, N.max_pooling(2, 0, 2, id="pool"), 16)
+
+
+@register("conv_gradient", _E + ", " + _CELLS.format(n=8, k=3, s=1, p=1) + ", o AS (SELECT vec_id, i // 8 AS oy, i % 8 AS ox, v AS d FROM e) SELECT vec_id, CAST(y * 8 + x AS INT) AS i, round(sum(d * (a * 3 + b - 4) / 10.0::DOUBLE), 6) AS x FROM c JOIN o USING (vec_id, oy, ox) WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 GROUP BY vec_id, y, x")
+def conv_gradient(spark, sf):
+    layer = N.convolutional(3, 1, 1, 1, id="conv", weights=[(k - 4) / 10 for k in range(9)])
+    return _back(spark, sf, layer, 64)
+
+
+@register("linear_gradient", _E + f", w AS (SELECT r, i, {_W} AS w FROM (SELECT unnest(range(10)) AS r) CROSS JOIN (SELECT unnest(range(64)) AS i)), g AS (SELECT vec_id, i AS r, v AS d FROM e WHERE i < 10) SELECT vec_id, CAST(w.i AS INT) AS i, round(sum(d * w), 6) AS x FROM g JOIN w USING (r) GROUP BY vec_id, w.i")
+def linear_gradient(spark, sf):
+    layer = N.linear(10, id="out", weights=[[_weight(r, i) for i in range(64)] for r in range(10)])
+    return _back(spark, sf, layer, 10)
+
+
+# -- sequences ----------------------------------------------------------------------------------------------------------------
+
+
+@register("interleave_vectors", _E + ", a AS (SELECT vec_id, CASE WHEN i < 5 THEN i * 10 ELSE (i - 5) * 10 + 1 END AS k, v FROM e WHERE i < 13) SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY k) - 1 AS INT) AS i, round(v, 6) AS x FROM a")
+def interleave_vectors(spark, sf):
+    """5 and 8 entries in turn, the rest of the longer one behind."""
+    return _long(_embeddings(spark, sf), A.interleave(F.slice("v", 1, 5), F.slice("v", 6, 8)), "vec_id")
+
+
+@register("pad_vectors", _E + " SELECT vec_id, i, round(v, 6) AS x FROM e WHERE i < 6 UNION ALL SELECT vec_id, CAST(i AS INT), 0.0 FROM (SELECT DISTINCT vec_id FROM e) CROSS JOIN (SELECT unnest(range(6, 9)) AS i)")
+def pad_vectors(spark, sf):
+    return _long(_embeddings(spark, sf), A.pad(F.slice("v", 1, 6), 9, F.array_repeat(F.lit(0.0), 9)), "vec_id")
+
+
+_SLOPES = {
+    "de_jong": "2 * v", "axis_parallel": "2 * n * v", "moved_axis": "10 * n * v", "rastrigin": "2 * v + 20 * pi() * sin(2 * pi() * v)",
+    "powers": "(n + 1) * pow(abs(v), n) * sign(v)", "schwefel": "CASE WHEN v = 0 THEN 0 ELSE -sin(sqrt(abs(v))) - v * cos(sqrt(abs(v))) * sign(v) / (2 * sqrt(abs(v))) END",
+}
+
+
+@register("objective_gradients", _E + ", t AS (SELECT vec_id, CAST(i // 4 AS INT) AS block, CAST(i % 4 AS INT) AS i, i % 4 + 1 AS n, v + 0.5 AS v FROM e) SELECT vec_id, block, i, " + ", ".join(f"round({s}, 6) AS g_{k}" for k, s in _SLOPES.items()) + " FROM t")
+def objective_gradients(spark, sf):
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.transform(F.slice("v", 4 * b + 1, 4), lambda x: x + 0.5))
+    e = _embeddings(spark, sf).select("vec_id", F.posexplode(blocks).alias("block", "p"))
+    each = F.arrays_zip(*(GRADIENTS[k](F.col("p")).alias(k) for k in _SLOPES))
+    return e.select("vec_id", "block", F.posexplode(each).alias("i", "g")).select("vec_id", "block", "i", *(_r(F.col("g")[k]).alias(f"g_{k}") for k in _SLOPES))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.stats import global_whiten
+
 IMAGES, LABELS = 2051, 2049
 
 
@@ -63,6 +65,19 @@ def zip_columns(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def digits(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    """row, data, label of the "train" or "test" images of a folder of IDX files, gzipped or not."""
+    stem = {"train": "train", "test": "t10k"}[part]
+    return zip_columns(idx_images(spark, f"{folder}/{stem}-images-idx3-ubyte*"), idx_labels(spark, f"{folder}/{stem}-labels-idx1-ubyte*"))
+
+
+def whitened_digits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both parts, whitened by the statistics of them together."""
+    both = digits(spark, folder, "train").withColumn("part", F.lit("train")).unionByName(digits(spark, folder, "test").withColumn("part", F.lit("test")))
+    white = global_whiten(both, "data")
+    return white.where("part = 'train'").drop("part"), white.where("part = 'test'").drop("part")
+
+
 def labelled_folder(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """path, content, class of the files below ``path``; the class is the parent folder's name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -138,7 +153,28 @@ def list_networks(spark: SparkSession, pattern: str) -> DataFrame:
     return heads.select(F.input_file_name().alias("path"), F.get_json_object("facts", "$.cv_loss").cast("double").alias("cv_loss"), "facts").orderBy("cv_loss")
 
 
-def log_metrics(spark: SparkSession, path: str, epoch: int, values: dict[str, float]) -> None:
-    """Appends (epoch, name, value) rows."""
-    rows = [(epoch, k, float(v)) for k, v in values.items()]
-    spark.createDataFrame(rows, "epoch int, name string, value double").coalesce(1).write.mode("append").parquet(path)
+def upgrade_network(record: dict) -> dict:
+    """A saved description of the former form, with packed parameters (values and shape) and
+    gradients, in the present one: nested lists, without gradients."""
+    out = {k: v for k, v in record.items() if k != "gradients"}
+    out["parameters"] = {k: np.asarray(v["values"], float).reshape(v["shape"]).tolist() if isinstance(v, dict) else v for k, v in record.get("parameters", {}).items() if not k.endswith(".gradient")}
+    return out
+
+
+def load_arrays(net, arrays: dict[str, np.ndarray], channels_last: bool = True) -> None:
+    """Weights of another library's export (name -> array) put into a network's parameters:
+    dense kernels are (in, out), convolution kernels (height, width, in, out)."""
+    for name, values in arrays.items():
+        have, x = net.parameters[name], np.asarray(values, float)
+        if name.endswith(".weights") and channels_last:
+            x = x.transpose(3, 2, 0, 1) if x.ndim == 4 else x.T if x.ndim == 2 else x
+        if x.size != have.size:
+            raise ValueError(f"{name} has {have.size} entries, not {x.size}")
+        net.parameters[name] = x.reshape(have.shape).copy()
+
+
+def log_metrics(spark: SparkSession, path: str, epoch: int, values: dict) -> None:
+    """Appends (epoch, name, value, entries) rows: numbers, or arrays (a layer's weights), whose
+    value is their mean."""
+    rows = [(epoch, k, float(np.mean(v)), np.ravel(v).astype(float).tolist() if np.ndim(v) else None) for k, v in values.items()]
+    spark.createDataFrame(rows, "epoch int, name string, value double, entries array<double>").coalesce(1).write.mode("append").parquet(path)

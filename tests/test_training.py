@@ -243,3 +243,81 @@ def test_staging_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         staging.shared_folder(Session())
+
+
+def idx(path, magic, shape, data):
+    import gzip
+    import struct
+
+    raw = struct.pack(f">{1 + len(shape)}i", magic, *shape) + bytes(data)
+    path.write_bytes(gzip.compress(raw) if path.name.endswith(".gz") else raw)
+
+
+def test_digits_and_weights(spark, tmp_path):
+    from quern.sources import io
+
+    rng = np.random.RandomState(8)
+    images = {part: rng.randint(0, 256, (n, 784)) for part, n in (("train", 5), ("t10k", 3))}
+    for part, x in images.items():
+        idx(tmp_path / f"{part}-images-idx3-ubyte.gz", 2051, (len(x), 28, 28), x.astype(np.uint8).tobytes())
+        idx(tmp_path / f"{part}-labels-idx1-ubyte", 2049, (len(x),), [k % 10 for k in range(len(x))])
+    train, test = io.digits(spark, str(tmp_path), "train"), io.digits(spark, str(tmp_path), "test")
+    assert train.count() == 5 and test.count() == 3
+    assert np.allclose(np.array([r["data"] for r in test.orderBy("row").collect()]), images["t10k"] / 255 - 0.5)
+    a, b = io.whitened_digits(spark, str(tmp_path))
+    both = np.concatenate([np.array([r["data"] for r in x.orderBy("row").collect()]) for x in (a, b)])
+    raw = np.concatenate([images["train"], images["t10k"]]) / 255 - 0.5
+    raw = raw / raw.mean()
+    assert np.allclose(both, raw / np.sqrt((raw**2).mean()))
+
+    net = N.Network.build([N.input_(4, 4, 2, id="in"), N.convolutional(3, 1, 1, 5, id="c"), N.linear(2, id="out")])
+    kernel, dense = rng.normal(size=(3, 3, 2, 5)), rng.normal(size=(80, 2))
+    io.load_arrays(net, {"c.weights": kernel, "out.weights": dense, "c.bias": np.ones(5)})
+    x = rng.normal(size=(1, 2, 4, 4))
+    out, _ = net.forward({"in": x.reshape(1, -1)})
+    padded = np.pad(x[0], ((0, 0), (1, 1), (1, 1)))
+    want = sum(padded[c, 1 : 4, 2 : 5].ravel() @ kernel[:, :, c, 3].ravel() for c in range(2)) + 1
+    assert out["c"].reshape(5, 4, 4)[3, 1, 2] == pytest.approx(want)
+    assert np.allclose(out["out"], out["c"] @ dense)
+    old = {"layers": [], "parameters": {"a": {"values": [1, 2, 3, 4], "shape": [2, 2]}, "a.gradient": {"values": [0], "shape": [1]}}, "gradients": 1}
+    assert io.upgrade_network(old) == {"layers": [], "parameters": {"a": [[1.0, 2.0], [3.0, 4.0]]}}
+    io.log_metrics(spark, str(tmp_path / "m"), 1, {"loss": 0.5, "w": np.array([1.0, 3.0])})
+    assert {(r["name"], r["value"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {("loss", 0.5), ("w", 2.0)}
+
+
+def test_plain_helpers():
+    from quern.functions import tensors as X
+    from quern.functions import utils as U
+
+    assert U.merged({"a": {"b": 1}, "c": 2}, {"a": {"d": 3}}, None) == {"a": {"b": 1, "d": 3}, "c": 2}
+    assert U.vectorize({"k": (1, [np.array([2, 3])], "s")}) == {"k": [1, [[2, 3]], "s"]}
+    assert U.fresh_id("a", {"a-1", "a-2"}) == "a-3" and U.row_ranges(3, 10) == [(0, 3), (3, 3), (6, 4)]
+    assert U.cpu_time(lambda: 5)[0] == 5
+    with pytest.raises(U.QuernError):
+        U.row_ranges(1, 10)
+    d = X.Dims.of(4, 6)
+    part = d.select([1, 2], [0, 1, 2])
+    assert d.dense and not part.dense and part.access_increasing and part.as_dense() is None and d.as_dense() is d
+    assert part.reshape(2, 1, 3).strides == (6, 1, 1) or part.reshape(2, 1, 3).extents == (2, 1, 3)
+    for bad in ((7, 6), (5, 5)):
+        with pytest.raises(U.QuernError):
+            d.reshape(*bad)
+    with pytest.raises(U.QuernError):
+        part.reshape(6)
+    with pytest.raises(U.QuernError):
+        d.transpose((1, 0)).reshape(24)
+    with pytest.raises(U.QuernError):
+        X.broadcast_shape(X.Dims.of(4), X.Dims.of(3))
+    assert X.broadcast_shape(X.Dims.of(4, 1), X.Dims.of(2, 3)) == (4, 3)
+    assert d.as_row_vector().extents == (24,) and d.as_column_vector().extents == (24, 1) and X.Dims.of(2, 3, 4).as_batch_matrix().extents == (2, 12) and X.Dims.of(2, 3, 4).as_2d_matrix().extents == (6, 4)
+    assert X.Dims.of(2, 3, 4).minimize().extents == (24,) and X.numbers("max", 2, 3) == 3
+    with pytest.raises(U.QuernError):
+        X.numbers("eq", 1, 1)
+
+
+def test_random_matrix(spark):
+    from quern.functions import tensors as X
+
+    x = np.array([r["x"] for r in X.random_matrix(spark, 50, 40, 3).collect()])
+    assert len(x) == 2000 and abs(x.mean()) < 0.1 and abs(x.std() - 1) < 0.1
+    assert X.to_numpy(spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>"), "v").tolist() == [[1, 2], [3, 4]]
