@@ -691,12 +691,15 @@ def _score_part(f, m: dict) -> Callable:
             for k in range(b - a):
                 x, y = edges[k], edges[k + 1]
                 out.append(_row(-1, SUMS, int(chunks[a + k]), *_doc_sums(doc[x:y], c[x:y], score[x:y], m)))
-                open_ = x + np.flatnonzero(~seen[x:y])
-                order, ranges = _deal(q.part_of_context(h1[open_], h2[open_]), h1[open_])
-                open_ = open_[order]
-                for p, i, j in ranges:
-                    at = open_[i:j]
-                    out.append(_row(p, NEEDS, int(chunks[a + k]), *_runs(h1[at]), _five(h2[at]), (n2[at] > 0).astype(np.uint8).tobytes(), doc[at].astype(np.uint32).tobytes()))
+            # what a context's part is asked comes from all these chunks together
+            open_ = np.flatnonzero(~seen)
+            order, ranges = _deal(q.part_of_context(h1[open_], h2[open_]), h1[open_])
+            open_ = open_[order]
+            which = (np.searchsorted(edges, open_, "right") - 1).astype(np.uint16 if b - a < 65_536 else np.uint32)
+            names = chunks[a:b].astype(np.int64).tobytes()
+            for p, i, j in ranges:
+                at = open_[i:j]
+                out.append(_row(p, NEEDS, 0, *_runs(h1[at]), _five(h2[at]), (n2[at] > 0).astype(np.uint8).tobytes(), doc[at].astype(np.uint32).tobytes(), which[i:j].tobytes(), names))
         return _frame(out)
 
     return run
@@ -718,19 +721,29 @@ def _weigh(f, m: dict) -> Callable:
                 order = np.argsort(keys)
                 keys, value = keys[order], value[order]
         out, need = [], pdf[pdf["kind"] == NEEDS]
-        for chunk, a, b, c, d, e in zip(need["chunk"], *(need[x] for x in "abcde")):
-            h1, doc = _unrun(a, b), np.frombuffer(e, np.uint32)
+        blobs = {c: list(need[c]) for c in "abcdefg"}
+        sizes = [len(x) for x in blobs["d"]]
+        for a, b in _together(sizes, 2_000_000):
+            h1 = np.concatenate([_unrun(x, y) for x, y in zip(blobs["a"][a:b], blobs["b"][a:b])])
+            doc = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["e"][a:b]])
+            chunk = np.concatenate([np.frombuffer(g, np.int64)[np.frombuffer(x, np.uint16 if len(x) == 2 * k else np.uint32)] for g, x, k in zip(blobs["g"][a:b], blobs["f"][a:b], sizes[a:b])])
             often, n1 = q.contexts.find(h1)
             known, local = _find(h, count, h1)
             n1 = np.where(often, n1, local)
             x = np.where(often, backoff.find(h1)[1], _find(h, weight, h1)[1])
             if q.order > 2:
-                got = _find(keys, value, context_key(h1, _unfive(c, len(h1))))[1].astype(np.float64)
-                got += np.where(np.frombuffer(d, np.uint8) > 0, -_log(n1), np.where(often | known, _log(x), 0.0))
+                h2 = np.concatenate([_unfive(y, k) for y, k in zip(blobs["c"][a:b], sizes[a:b])])
+                paired = np.concatenate([np.frombuffer(y, np.uint8) for y in blobs["d"][a:b]]) > 0
+                got = _find(keys, value, context_key(h1, h2))[1].astype(np.float64)
+                got += np.where(paired, -_log(n1), np.where(often | known, _log(x), 0.0))
             else:
                 got = np.where(often | known, _log(n1) + _log(x), 0.0)
-            u = np.flatnonzero(np.bincount(doc))
-            out.append(_row(-1, SUMS, chunk, u.astype(np.uint32).tobytes(), np.zeros((2, len(u)), np.uint32).tobytes(), np.zeros(len(u)).tobytes(), np.bincount(doc, got)[u].tobytes()))
+            order = np.argsort(chunk, kind="stable")
+            starts = np.append(_starts(chunk[order]), len(order))
+            for i, j in zip(starts, starts[1:]):
+                at = order[i:j]
+                u = np.flatnonzero(np.bincount(doc[at]))
+                out.append(_row(-1, SUMS, int(chunk[at[0]]), u.astype(np.uint32).tobytes(), np.zeros((2, len(u)), np.uint32).tobytes(), np.zeros(len(u)).tobytes(), np.bincount(doc[at], got[at])[u].tobytes()))
         return _frame(out)
 
     return run
