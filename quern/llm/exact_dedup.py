@@ -1,7 +1,7 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-A normalised text is cut where its own content says so, so equal passages give equal
-chunks wherever they stand.  Every distinct chunk is compared by content once and gets a
+A normalised text is cut where its own content says so (see CUT; text of scripts that have no
+such place is cut at MAX_CHARS), so equal passages give equal chunks wherever they stand.  Every distinct chunk is compared by content once and gets a
 verified identifier; a document is then the ordered list of its chunks' identifiers (its
 recipe), and documents are compared by these short lists.  A text is shuffled at most once,
 as chunks that a map-side aggregate has already thinned; recipes carry everything after that.
@@ -21,7 +21,15 @@ from quern.llm.scratch import stage
 #: A chunk has MIN_CHARS characters or more, ends after the next place where the content
 #: allows a cut, and has MAX_CHARS at most.
 MIN_CHARS, MAX_CHARS = 512, 4096
-CUT = "[aeiou]\\p{javaLowerCase}[,. ]"
+#: A cut follows a word whose last letter but one, and the two letters after it, are each one of
+#: a few in alphabets of several scripts; or, where words are not spaced, a common sign and two of
+#: a part of the others.  Such places are some hundred characters apart, so that two texts that
+#: share a passage soon cut it alike.
+_END, _GAP = "[aeiouAEIOU0-4аеиоαειοاوي][\\p{L}\\p{N}]", "[,. ،]"
+_START = "[aeiostAEIOST0-3аеиовнαειοτσابول][bcdijkBCDIJK5-7бвглмнβγλμبتن]"
+CUT = f"(?:{_END}{_GAP}{_START}|[的了是在不のにをはと][一-嘀][一-俿])"
+#: Characters of a cut at most.
+CUT_CHARS = 5
 
 
 def normalised(text: Column | str) -> Column:
@@ -31,7 +39,7 @@ def normalised(text: Column | str) -> Column:
 
 def chunks(text: Column, low: int = MIN_CHARS, high: int = MAX_CHARS) -> Column:
     """The content-defined chunks of a text, in order; together they are the text."""
-    pattern = f"(?s)(.{{{low},{high - 3}}}?{CUT}|.{{1,{high}}})"
+    pattern = f"(?s)(.{{{low},{high - CUT_CHARS}}}?{CUT}|.{{1,{high}}})"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup as E
 
@@ -58,3 +59,17 @@ def test_the_query_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = E.exact_dedup(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_cuts_follow_the_content_in_several_scripts(spark):
+    """A passage behind different beginnings gives the same chunks but for the first few."""
+    rng = random.Random(3)
+    alphabets = {"latin": "abcdefghijklmnoprstu", "upper": "ABCDEFGHIJKLMNOPRSTU", "digits": "0123456789", "cyrillic": "абвгдежзиклмнопрстуф", "greek": "αβγδεζηθικλμνοπρστυφ", "arabic": "ابتثجحخدذرزسشصضوي", "han": "的了是在不人我他这中大来上国个到说们为子和你地出道也时年" * 9 + "".join(map(chr, range(0x4E00, 0x9FFF, 97)))}
+    for name, letters in alphabets.items():
+        word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+        text = lambda n: ("" if name == "han" else " ").join(word() for _ in range(n))
+        passage = text(6000)
+        df = spark.createDataFrame([(text(40) + passage,), (text(71) + passage,)], "t string")
+        a, b = (r["c"] for r in df.select(E.chunks(F.col("t")).alias("c")).collect())
+        assert "".join(a).endswith(passage) and "".join(b).endswith(passage)
+        assert len(a) > 10 and len(set(a) & set(b)) > 0.6 * len(a), name
