@@ -99,6 +99,14 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return grid.join(counts, ["actual", "predicted"], "left").fillna(0, ["n"])
 
 
+def sample_view(train: DataFrame, test: DataFrame, key: str, n: int = 50, seed: int = 0) -> DataFrame:
+    """What a look at a dataset shows: the first n training rows and n test rows in a seeded
+    order, with their part and place."""
+    first = train.orderBy(key).limit(n).withColumn("part", F.lit("training"))
+    mixed = test.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).withColumn("part", F.lit("test"))
+    return first.unionByName(mixed)
+
+
 def top_per_cell(df: DataFrame, cell: list[str], score: str, id_col: str, k: int = 100) -> DataFrame:
     """The k best rows of each cell.  Every task keeps its own best first, so a hot cell
     sends k rows a task at most to the final ranking."""

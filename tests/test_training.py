@@ -321,3 +321,34 @@ def test_random_matrix(spark):
     x = np.array([r["x"] for r in X.random_matrix(spark, 50, 40, 3).collect()])
     assert len(x) == 2000 and abs(x.mean()) < 0.1 and abs(x.std() - 1) < 0.1
     assert X.to_numpy(spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>"), "v").tolist() == [[1, 2], [3, 4]]
+
+
+def test_pictures(spark, tmp_path):
+    from quern.operators import metrics
+    from quern.sources import images, io
+
+    rng = np.random.RandomState(9)
+    for cls in ("cat", "dog"):
+        (tmp_path / cls).mkdir()
+        for k in range(4):
+            rgb = rng.randint(0, 256, (6, 8, 3)).astype(np.uint8)
+            (tmp_path / cls / f"{k}.ppm").write_bytes(b"P6\n# made here\n8 6\n255\n" + rgb.tobytes())
+    (tmp_path / "cat" / "bad.ppm").write_bytes(b"P6 no picture")
+    got = images.prepare(io.labelled_folder(spark, str(tmp_path), "*.ppm"), 2).collect()
+    assert sorted(r["class"] for r in got) == ["cat"] * 4 + ["dog"] * 4 and all(len(r["data"]) == 4 for r in got)
+    x = images.decode_netpbm((tmp_path / "dog" / "3.ppm").read_bytes())
+    assert x.shape == (6, 8, 3)
+    small = images.resized(images.grey(x), 2, 2)
+    assert np.allclose(small, images.grey(x).reshape(2, 3, 2, 4).mean(axis=(1, 3)))
+    assert any(np.allclose(r["data"], (small - 0.5).ravel()) for r in got)
+    assert np.allclose(images.resized(np.ones((5, 7)), 3, 4), 1)
+    df = spark.createDataFrame([(k, r["class"], r["data"]) for k, r in enumerate(got)], "k int, class string, data array<double>")
+    train, test = images.train_and_test(df, "k")
+    assert train.count() == test.count() == 4 and not {r["k"] for r in train.collect()} & {r["k"] for r in test.collect()}
+    assert sorted((r["part"], r["count"]) for r in metrics.sample_view(train, test, "k", 3).groupBy("part").count().collect()) == [("test", 3), ("training", 3)]
+
+
+def test_session(spark):
+    from quern.session import session
+
+    assert session().sparkContext is spark.sparkContext
