@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives the SQL's rows; the others run."""
+"""Every registered query gives its SQL's rows."""
 
 import math
 
@@ -39,6 +39,5 @@ def test_against_sql(spark, duck, name):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 * max(1.0, abs(x)) for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"network_train", "forest_vote"}))
-def test_others_run(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
