@@ -89,7 +89,8 @@ def test_against_brute_force(spark, options, order):
         want.append((k, len(ts), sum(b.uni[w] > 0 for w in ts), round(sum(math.log10((b.uni[w] + 1) / (b.n + v + 1)) for w in ts), 6), round(b.score(t), 6)))
     want.sort(key=str)
     assert [g[:3] for g in got] == [w[:3] for w in want]
-    assert all(abs(x - y) < 2e-4 for g, w in zip(got, want) for x, y in zip(g[3:], w[3:]))
+    near = 1e-5 if order == 2 else 2e-4  # backoff weights of pairs are stored in single precision
+    assert all(abs(x - y) < near for g, w in zip(got, want) for x, y in zip(g[3:], w[3:]))
     for h in [("<s>", "<s>"), ("the", "of"), ("of", "the"), ("w1", "cc"), ("never", "the"), ("the", "never")]:
         assert abs(sum(b.p(h, w) for w in b.uni) + b.p(h, "unseen word") - 1) < 1e-9
 
