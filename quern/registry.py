@@ -475,8 +475,7 @@ _PAIRS = f"j AS (SELECT l.image AS image, label_id, pred_id, round({_iou_sql('l'
 
 
 def _pairs(spark, sf) -> DataFrame:
-    p = detect.iou_pairs(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), "image", "label_id", "pred_id", 0.2)
-    return p.withColumn("iou", F.round("iou", 9))
+    return detect.iou_pairs(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), "image", "label_id", "pred_id", 0.2, digits=9)
 
 
 @register("iou_pairs", f"WITH {_sides_sql()}, {_PAIRS} SELECT image, label_id, pred_id, round(iou, 6) AS iou FROM j")
