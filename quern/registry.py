@@ -474,18 +474,19 @@ UNION ALL SELECT w.g, k.r, CASE WHEN w.free THEN list_append(w.ls, w.label_id) E
 _PAIRS = f"j AS (SELECT l.image AS image, label_id, pred_id, round({_iou_sql('l', 'p')}, 9) AS iou FROM l JOIN p ON l.image = p.image WHERE {_iou_sql('l', 'p')} >= 0.2::DOUBLE)"
 
 
-def _pairs(spark, sf) -> DataFrame:
-    return detect.iou_pairs(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), "image", "label_id", "pred_id", 0.2, digits=9)
-
-
 @register("iou_pairs", f"WITH {_sides_sql()}, {_PAIRS} SELECT image, label_id, pred_id, round(iou, 6) AS iou FROM j")
 def iou_pairs(spark, sf):
-    return _pairs(spark, sf).withColumn("iou", _r(F.col("iou")))
+    p = detect.iou_pairs(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), "image", "label_id", "pred_id", 0.2, digits=9)
+    return p.withColumn("iou", _r(F.col("iou")))
+
+
+def _matches(spark, sf) -> DataFrame:
+    return detect.match_boxes(_boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id"), ["image"], "label_id", "pred_id", 0.2)
 
 
 @register("box_greedy_match", f"WITH RECURSIVE {_sides_sql()}, {_PAIRS}, {_greedy_sql('m', 'j', 'image')} SELECT g AS image, label_id, pred_id, round(iou, 6) AS iou FROM m")
 def box_greedy_match(spark, sf):
-    return detect.greedy_match(_pairs(spark, sf), "image", "label_id", "pred_id").withColumn("iou", _r(F.col("iou")))
+    return _matches(spark, sf).withColumn("iou", _r(F.col("iou")))
 
 
 @register(
@@ -494,7 +495,7 @@ def box_greedy_match(spark, sf):
 )
 def box_location_metrics(spark, sf):
     labels, preds = _boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id")
-    m = detect.location_metrics(labels, preds, detect.greedy_match(_pairs(spark, sf), "image", "label_id", "pred_id"))
+    m = detect.location_metrics(labels, preds, detect.greedy_match(detect.iou_pairs(labels, preds, "image", "label_id", "pred_id", 0.2, digits=9), "image", "label_id", "pred_id"))
     return m.select("n_labels", "n_predictions", "n_matches", *(_r(F.col(c)).alias(c) for c in ("sensitivity", "precision", "f1")))
 
 
