@@ -495,7 +495,7 @@ def box_greedy_match(spark, sf):
 )
 def box_location_metrics(spark, sf):
     labels, preds = _boxes(spark, sf, _LABELLED, "label_id"), _boxes(spark, sf, _PREDICTED, "pred_id")
-    m = detect.location_metrics(labels, preds, detect.greedy_match(detect.iou_pairs(labels, preds, "image", "label_id", "pred_id", 0.2, digits=9), "image", "label_id", "pred_id"))
+    m = detect.location_metrics(labels, preds, _matches(spark, sf))
     return m.select("n_labels", "n_predictions", "n_matches", *(_r(F.col(c)).alias(c) for c in ("sensitivity", "precision", "f1")))
 
 
